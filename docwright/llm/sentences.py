@@ -36,6 +36,7 @@ MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august"
 GAP = re.compile(r"\n[^\S\n]*\n\s*")
 MARK = re.compile(r"[.!?…]+|[。！？｡।॥؟]+[.!?…]*")
 CLOSERS = "\"'”’»)]}“」』）】›"
+OPENERS = "([“„«\"'‘"
 SPACES = "     "
 QUOTES = re.compile(r"“[^“”\"]{1,400}?”|„[^„“”]{1,400}?[“”]|«[^«»]{1,400}?»|「[^「」]{1,400}?」|『[^『』]{1,400}?』|\"[^\"]{1,400}?\"", re.S)
 BULLET = re.compile(r"\s*(?:[•·▪▸◦*–—-]+|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)]|\d{1,3}(?:\.\d{1,3})+\.?)\s+")
@@ -104,6 +105,8 @@ def ends(text: str, start: int, m_start: int, m_end: int, after: int, end: int,
     # a single period, white space after it
     if closed:
         return kind in ("upper", "digit", "caseless", "open") or kind == "other" and text[nxt] not in ",;:)»”–-"
+    if text[max(start, m_start - 8) : m_start].split(" ")[-1].split("\n")[-1].lstrip(OPENERS).lower() in TITLES:
+        return False
     word = WORD_BEFORE.search(text, max(start, m_start - 24), m_start)
     if word:
         w = word[1].lower()
