@@ -156,3 +156,10 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def both_kinds(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     part = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", "content")
     return part(documents, "document").unionByName(part(chunks, "chunk"))
+
+
+def membership(records: DataFrame) -> DataFrame:
+    """(record_kind, id, class_id, links): each record that takes part, the least id of its text's class, and the class's links to others."""
+    pairs, members = similar(records)
+    ends = pairs.select("kind", F.explode(F.array("id_a", "id_b")).alias("leader")).groupBy("kind", "leader").agg(F.count("*").alias("links"))
+    return members.join(ends, ["kind", "leader"], "left").select(F.col("kind").alias("record_kind"), "id", F.col("leader").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
