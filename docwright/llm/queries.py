@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boilerplate, encoding, leakage, neardup, neighbours, sentences, splitting, truncation
+from . import boilerplate, encoding, leakage, neardup, neighbours, ocr, sentences, splitting, truncation
 from .common import WHITE, table
 
 
@@ -27,6 +27,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "app_document")).select("document_id", "chunk_index", "content", "overlap_tokens_prev").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.noise(table(spark, d, "ocr_result"))
+
+
+def p3_text(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.repaired(table(spark, d, "ocr_result"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expanded(*neardup.similar(neardup.both_kinds(table(spark, d, "app_document"), table(spark, d, "app_chunk"))))
 
@@ -60,7 +68,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_clean, p2_found, p2_pieces, p4_found, p4_members, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_rates)
+    made = (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_members, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_rates)
     return {f.__name__: f for f in made}
 
 
