@@ -6,9 +6,9 @@ trimmed, at least 800 characters). Similarity is Jaccard's; threshold 0.6.
 1. One pass over the contents gives each record the hash of its text, the size of its set and `BANDS` list keys, each of
    `ROWS` minima of a one-permutation hash. Records of one text are one class; only its least id goes on, and the class
    takes over that set's answers as they are (a set's answers derived from an equal set's).
-2. Index lists: the records of one list key, split into blocks by set size (`block`, a step of the threshold). A list is
-   joined block with block: only the same and the next block can hold a partner, all others are skipped; inside, the
-   sizes' ratio must reach the threshold. Lists are joined by key, so adaptive execution splits a hot one.
+2. Index lists: the records of one list key, in blocks by set size (`BLOCK_STEPS` steps of the threshold wide). A record
+   visits its own block, and the next only where a partner's size can reach into it; all other blocks are skipped, and
+   inside the sizes' ratio must reach the threshold. Lists are joined by key, so adaptive execution splits a hot one.
 3. Candidate pairs are verified by their exact sets. Records are visited by leader (`id_a`), whose set is built once.
 
 At a similarity of 0.6 a pair shares a list with a probability of 0.998, at 0.65 of 0.9998.
@@ -26,14 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut_lineage, strip
+from .common import cut_lineage
 
-RUN, LEAST, THRESHOLD, BANDS, ROWS = 16, 800, 0.6, 44, 4
+RUN, LEAST, THRESHOLD, BANDS, ROWS, BLOCK_STEPS = 16, 800, 0.6, 44, 4, 4
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def normal(content: F.Column) -> F.Column:
-    return strip(F.regexp_replace(F.lower(content), f"[{WHITE}]+", " "))
+def normal(content: str) -> str:
+    """Lower case, white-space runs of Unicode one space, ends trimmed. Python does it in a tenth of the time that the JVM's patterns take."""
+    return " ".join(content.lower().split())
 
 
 def scrambled(h: np.ndarray) -> np.ndarray:
@@ -78,9 +79,9 @@ def list_keys(h: np.ndarray) -> np.ndarray:
     return (key.astype(np.uint64) ^ scrambled(np.arange(BANDS, dtype=np.uint64))).view(np.int64)
 
 
-def contents(records: DataFrame, least: int = LEAST) -> DataFrame:
-    """(kind, id, text) of the records that take part. records: kind, id, content."""
-    return records.where("id is not null and content is not null").select("kind", "id", normal(F.col("content")).alias("text")).where(F.length("text") >= least)
+def contents(records: DataFrame) -> DataFrame:
+    """(kind, id, text) of the records that can take part, not yet normalised. records: kind, id, content. Lower case at most triples a length."""
+    return records.where("id is not null and content is not null").select("kind", "id", F.col("content").alias("text")).where(F.length("text") * 3 >= LEAST)
 
 
 def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,6 +90,9 @@ def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
         for kind, id_, text in zip(b["kind"].tolist(), b["id"].tolist(), b["text"].tolist()):
+            text = normal(text)
+            if len(text) < LEAST:
+                continue
             h = run_set(text)
             rows.append((kind, id_, xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), len(h), list_keys(h)))
         yield pd.DataFrame(rows, columns=["kind", "id", "same", "size", "keys"])
@@ -103,7 +107,7 @@ class Sets:
 
     def get(self, key: tuple, text: str) -> np.ndarray:
         s = self.kept.pop(key, None)
-        self.kept[key] = s = run_set(text) if s is None else s
+        self.kept[key] = s = run_set(normal(text)) if s is None else s
         if len(self.kept) > self.most:
             self.kept.popitem(last=False)
         return s
@@ -128,13 +132,14 @@ def similar(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = cut_lineage(texts.mapInPandas(signatures, "kind string, id long, same binary, size int, keys array<long>"))
     leaders = signed.groupBy("kind", "same").agg(F.min("id").alias("leader"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     members = signed.select("kind", "same", "id").distinct().join(leaders.select("kind", "same", "leader"), ["kind", "same"]).select("kind", "leader", "id")
-    block = F.floor(F.log("size") / -np.log(THRESHOLD)).cast("int")
-    lists = leaders.select("kind", F.col("leader").alias("id"), "size", block.alias("block"), F.explode("keys").alias("key"))
-    left = lists.select("kind", "key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), F.col("block").alias("own"))
-    right = lists.select("kind", "key", F.col("id").alias("b"), F.col("size").alias("size_b"), "block")
-    fits = (F.col("size_a") >= F.col("size_b") * THRESHOLD) & ((F.col("own") < F.col("block")) | (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))))
-    order = (F.col("size_a") <= F.col("size_b")) & fits
-    candidates = left.join(right, ["kind", "key", "block"]).where(order).select("kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).where("id_a <> id_b").distinct()
+    step = -BLOCK_STEPS * float(np.log(THRESHOLD))
+    block = lambda size: F.floor(F.log(size) / step).cast("int")
+    lists = leaders.select("kind", F.col("leader").alias("id"), "size", F.explode("keys").alias("key"))
+    reach = F.array_distinct(F.array(block(F.col("size")), block(F.col("size") / THRESHOLD)))
+    left = lists.select("kind", "key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.explode(reach).alias("block"))
+    right = lists.select("kind", "key", F.col("id").alias("b"), F.col("size").alias("size_b"), block(F.col("size")).alias("block"))
+    fits = (F.col("size_a") >= F.col("size_b") * THRESHOLD) & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))))
+    candidates = left.join(right, ["kind", "key", "block"]).where(fits).select("kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
     candidates = cut_lineage(candidates)
     taking = candidates.select("kind", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     held = cut_lineage(texts.join(taking, ["kind", "id"], "left_semi").dropDuplicates(["kind", "id"]))
