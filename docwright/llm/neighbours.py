@@ -4,7 +4,7 @@
    k + 1 are set apart: their k nearest are the k smallest other ids of the same vector, so a vector that a third of all
    rows share never fills a cell.
 2. Cells: centroids of a spherical k-means on a bounded sample (`SAMPLE` rows; the only thing fitted on a sample). Every
-   vector is indexed in its nearest cell and asks its `probes` nearest cells. A cell expected to hold more than `BLOCK`
+   vector is indexed in its nearest cell and asks its `probes` nearest cells as far as their cosines are within `MARGIN`. A cell expected to hold more than `BLOCK`
    rows is dealt to blocks of data and of queries, so no task gets an unbounded group.
 3. In a block every vector has one projection on each of `LINES` fixed random lines, kept as a sorted array of levels. A
    query's window on a line is centred on the query; virtual rehashing widens all windows at once, round by round, until k
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cores
+from .common import cut_lineage
 
 K, DIM = 5, 384
-SAMPLE, CELL, CELLS, BLOCK, PROBES = 16_384, 1_000, 2_048, 4_000, 3
+SAMPLE, CELL, CELLS, BLOCK, PROBES, MARGIN = 16_384, 1_000, 2_048, 4_000, 4, 0.05
 LINES, COLLISIONS, SEED = 40, 24, 11
+#: Kinds of vectors with many copies that are sent to all workers at most; more of them are joined by hash.
+HOT_SENT = 50_000
 #: Half widths of the windows, round by round, for lines scaled so that vectors at distance d differ by d on average (rms).
 WIDTHS = (0.6, 0.9, 1.2, 1.6)
 
@@ -102,14 +104,20 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     many = ids.distinct().groupBy("h1", "h2").agg(F.count("*").alias("copies"))
     total = many.agg(F.count("*").alias("n")).first()["n"] or 0
     hot = many.where(F.col("copies") > k + 1).select("h1", "h2")
-    first = Window.partitionBy("h1", "h2").orderBy("id")
-    held = ids.join(hot, ["h1", "h2"], "left_semi").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    among = ids.join(hot, ["h1", "h2"], "left_semi").distinct().join(held.select("h1", "h2", F.col("id").alias("neighbour"), "r"), ["h1", "h2"]).where("id <> neighbour and r <= " + str(k + 1))
-    copies = among.select("id", "neighbour", F.lit(1.0).alias("cosine"))
-    own = keyed.join(hot, ["h1", "h2"], "left_anti").select("id", "embedding").unionByName(keyed.join(held.select("id"), "id", "left_semi").select("id", "embedding"))
+    hot = cut_lineage(hot)
+    kinds = hot.count()
+    if kinds:
+        side = F.broadcast(hot) if kinds <= HOT_SENT else hot
+        first = Window.partitionBy("h1", "h2").orderBy("id")
+        inside = ids.join(side, ["h1", "h2"], "left_semi").distinct()
+        held = inside.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+        copies = inside.join(held.select("h1", "h2", F.col("id").alias("neighbour")), ["h1", "h2"]).where("id <> neighbour").select("id", "neighbour", F.lit(1.0).alias("cosine"))
+        own = keyed.join(side, ["h1", "h2"], "left_anti").select("id", "embedding").unionByName(keyed.join(held.select("id"), "id", "left_semi").select("id", "embedding"))
+    else:
+        copies, own = spark.createDataFrame([], "id long, neighbour long, cosine double"), keyed.select("id", "embedding")
 
     if total == 0:
-        return copies.select("id", "neighbour", F.col("cosine").cast("double"))
+        return copies
     every = max(1, -(-total // SAMPLE))
     drawn = usable(vectors, dim).where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("embedding").limit(2 * SAMPLE).toPandas()
     if not len(drawn):
@@ -129,13 +137,16 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
             if not len(b):
                 continue
             x = unit(b["embedding"])
-            top = np.argsort(-(x @ centre.T), axis=1, kind="stable")[:, :ask]
+            near = x @ centre.T
+            top = np.argsort(-near, axis=1, kind="stable")[:, :ask]
+            near = np.take_along_axis(near, top, 1)
+            asks = (near >= near[:, :1] - MARGIN).sum(axis=1)  # sorted, so these are the first ones
             scale = np.abs(x).max(axis=1)
             levels = np.rint(x / scale[:, None] * 32767).astype(np.int16)
             rows = []
             for i, (id_, cell) in enumerate(zip(b["id"].tolist(), top)):
                 v, s = levels[i].tobytes(), float(scale[i])
-                for p, at in enumerate(cell.tolist()):
+                for p, at in enumerate(cell[: asks[i]].tolist()):
                     qb, db = id_ % nq[at], (id_ // 7) % nd[at]
                     for d in range(nd[at]):
                         for q in range(nq[at]):
@@ -156,7 +167,7 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     routed = own.mapInPandas(route, "cell int, d int, q int, id long, data boolean, query boolean, scale float, v binary")
     found = routed.groupBy("cell", "d", "q").applyInPandas(look, "id long, neighbour long, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    both = found.unionByName(copies).distinct() if True else found
+    both = found.unionByName(copies).distinct()
     return both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("id", "neighbour", "cosine")
 
 
