@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-RUN, RANK, ITEMS, SEED = 12, 512, 2_000, 5
+RUN, RANK, ITEMS, SEED = 12, 640, 2_000, 5
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -69,6 +69,7 @@ class Index:
         self.padded = np.vstack([self.terms[0], np.zeros((1, v.shape[1]), np.float32)])  # row -1: no word
         self.latent = a @ v
         self.rest = np.sqrt(np.maximum(0, (a**2).sum(1) - (self.latent**2).sum(1)))
+        self.bounded = np.column_stack([self.latent, self.rest]).astype(np.float32)  # last factor: what truncation can hide
         # a shared run of n words gives each distinct word w the product tf * tf * idf^2 of at least its tf in the run
         self.least = np.array([min((idf[p[s : s + n]] ** 2).sum() for s in range(max(1, len(p) - n + 1))) for _, p in passages], np.float32)
         rng = np.random.default_rng(SEED)
@@ -77,6 +78,11 @@ class Index:
         self.grams = [self.rolled(c) for _, c in coded]
         self.every = np.unique(np.concatenate(self.grams))
         self.coded = [c for _, c in coded]
+        self.places: list[dict[int, list[int]]] = []
+        for g in self.grams:
+            self.places.append({})
+            for j, h in enumerate(g.tolist()):
+                self.places[-1].setdefault(h, []).append(j)
 
     def rolled(self, c: np.ndarray) -> np.ndarray:
         h = np.zeros(max(0, len(c) - self.n + 1), np.uint64)
@@ -98,17 +104,22 @@ class Index:
         real = at < stop[:, None]
         w = np.where(real, c[np.minimum(at, len(c) - 1)], -1)
         w.sort(axis=1)
-        # squared norm of tf * idf: every occurrence of a word counts its idf^2 times the word's frequency in the passage
-        same = sum((w == np.roll(w, k, axis=1)).astype(np.float32) for k in range(w.shape[1]))
-        norm2 = np.where(w >= 0, self.terms[1][w] ** 2 * same, 0).sum(axis=1)
+        # squared norm of tf * idf: runs of one word in a sorted passage, each (count * idf)^2
+        flat, step = w.ravel(), w.shape[1]
+        fresh = np.concatenate(([True], flat[1:] != flat[:-1]))
+        fresh[::step] = True
+        runs = np.flatnonzero(fresh)
+        count_ = np.diff(np.append(runs, len(flat)))
+        part = np.where(flat[runs] >= 0, (self.terms[1][flat[runs]] * count_) ** 2, 0)
+        norm2 = np.add.reduceat(part, np.searchsorted(runs, np.arange(0, len(flat), step)))
         pairs = []
         for s in range(0, len(w), 2048):
             block = w[s : s + 2048]
-            g = np.zeros((len(block), r), np.float32)
+            g = np.zeros((len(block), r + 1), np.float32)
             for k in range(block.shape[1]):
-                g += self.padded[block[:, k]]
-            lost = np.sqrt(np.maximum(0, norm2[s : s + 2048] - (g**2).sum(axis=1)))
-            i, k = np.nonzero(g @ self.latent.T + lost[:, None] * self.rest >= self.least - 1e-2)
+                g[:, :r] += self.padded[block[:, k]]
+            g[:, r] = np.sqrt(np.maximum(0, norm2[s : s + 2048] - np.einsum("ij,ij->i", g, g)))
+            i, k = np.nonzero(g @ self.bounded.T >= self.least - 1e-2)
             pairs.append(owner[s + i].astype(np.int64) * len(self.item) + self.text[k])
         both = np.unique(np.concatenate(pairs))
         return both // len(self.item), both % len(self.item)
@@ -129,19 +140,23 @@ class Index:
         if not stretches or not len(self.item):
             return []
         near, text = self.candidates(stretches)
-        rolled = {k: self.rolled(stretches[k]) for k in np.unique(near).tolist()}
-        size = np.array([len(v) for v in rolled.values()])
-        hit = np.isin(np.concatenate(list(rolled.values())), self.every) if rolled else np.array([], bool)
-        some = np.array(list(rolled), int)[np.logical_or.reduceat(hit, np.cumsum(size) - size)] if rolled else np.array([], int)
-        keep = np.isin(near, some)  # stretches without a run of any item fail with every candidate
+        length = np.array([len(x) for x in stretches])
+        base = np.cumsum(length) - length
+        rolled = self.rolled(np.concatenate(stretches))
+        slot = np.minimum(np.searchsorted(self.every, rolled), len(self.every) - 1)
+        at = np.flatnonzero(self.every[slot] == rolled)
+        of = np.searchsorted(base, at, "right") - 1
+        at, of = at[fits := at + n <= (base + length)[of]], of[fits]
+        hits: dict[int, list[tuple[int, int]]] = {}
+        for k, place_, h in zip(of.tolist(), (at - base[of]).tolist(), rolled[at].tolist()):
+            hits.setdefault(k, []).append((place_, h))
+        some = np.zeros(len(stretches), bool)
+        some[of] = True
+        keep = some[near]  # stretches without a run of any item fail with every candidate
         for s, t in zip(near[keep].tolist(), text[keep].tolist()):
-            c, own = stretches[s], rolled[s]
-            if (key := (place[s], int(self.item[t]))) in found:
-                continue
-            for at in np.flatnonzero(np.isin(own, self.grams[t])):
-                if any((self.coded[t][j : j + n] == c[at : at + n]).all() for j in np.flatnonzero(self.grams[t] == own[at])):
-                    found.add(key)
-                    break
+            c, grams = stretches[s], self.places[t]
+            if (key := (place[s], int(self.item[t]))) not in found and any((self.coded[t][j : j + n] == c[p : p + n]).all() for p, h in hits[s] for j in grams.get(h, ())):
+                found.add(key)
         return sorted(found)
 
 
