@@ -117,6 +117,8 @@ def ends(text: str, start: int, m_start: int, m_end: int, after: int, end: int,
             return False
         if len(last) == 1 and word[1][-1].isupper() and kind in ("upper", "other"):
             return False  # an initial
+        if len(last) == 1 and (last in LEADING and kind == "digit" or text[nxt + 1 : nxt + 2] == "." and text[nxt].isalpha()):
+            return False  # a page number, or the first half of a pair such as "z. B."
         if w in ENDING or last in ENDING:
             return kind in ("upper", "open") and text[nxt : nxt + 3] not in ("UU.",)
         if last == "ee" and text[nxt : nxt + 2] == "UU":

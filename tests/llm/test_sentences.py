@@ -1,0 +1,47 @@
+import pytest
+from docwright.llm.sentences import sentence_units, sentences
+
+CASES = [
+    ["Dr. Smith met Mr. J. R. Okstead at 4:30 p.m. on Monday.", "He left."],
+    ["The firm Tolbrek Inc. stamped 87,582 tenders.", "See Fig. 28 and Sec. 28.41 of the platform.", "pH values near 17.33 were good... and fine?!", "Why?"],
+    ["“Is the pipeline hollow?” asked the glossary.", "The label reads \"Do not open! early box.\" in grey letters..."],
+    ["Laut Abs. 12 Nr. 66 zählte die Gemeinde am 75. März zuletzt.", "„Wo bleibt der Kessel?“, fragte Hr. Yarlowen.", "Der Vertrag ersetzte z. B. die Werkstatt bzw. das Lager."],
+    ["« Où est le calendrier ? » demande le devis.", "Selon l’art. 3, cf. p. 89 du dossier, c’est fini !"],
+    ["«¡Cuidado con el acta!» gritó la factura.", "¿Quién limpió el almacén?", "El Sr. Quarnby cerró (núm. 44) en EE. UU. hoy."],
+    ["डॉ. Hobbelink ने रेलगाड़ी को बदला।", "किसने जल्दी पंप को खोला?", "नहर ने सड़क को देखा।"],
+    ["نقل د. Fennimoor اللجنة ليلا.", "هل أغلق الخطة المضخة؟", "وزن العقد 44.21 كغ."],
+]
+
+
+@pytest.mark.parametrize("units", CASES)
+def test_units_with_spaces(units):
+    text = "  " + " ".join(units) + "\n"
+    assert [text[a:b] for a, b in sentences(text)] == units
+
+
+def test_scripts_without_spaces():
+    units = ["编号GA-6952的记录再次被合同统计。", "记录说：“仓库在哪里？”然后确认了火车。", "设备打开了……"]
+    assert [("".join(units))[a:b] for a, b in sentences("".join(units))] == units
+    units = ["「荷物はどこですか。」と手引書が言った。", "橋を変更した！", "なぜ？"]
+    assert [("".join(units))[a:b] for a, b in sentences("".join(units))] == units
+
+
+def test_lines_and_lists():
+    text = "A heading without mark\n\n1. First item goes\non here. And more.\n \n- Item two\n\nThe end of it\nPage 5 of 244 - Saltmere Notices timetable"
+    assert [text[a:b] for a, b in sentences(text)] == ["A heading without mark", "1. First item goes\non here.", "And more.", "- Item two", "The end of it", "Page 5 of 244 - Saltmere Notices timetable"]
+
+
+def test_units_cover_everything_but_white_space():
+    for text in (None, "", " \n ", "...", "。。", "“", "a" * 100_000, ("One. Two! " * 5000)):
+        got = sentences(text)
+        rest = list(text or "")
+        for a, b in got:
+            assert a < b and not text[a].isspace() and not text[b - 1].isspace()
+            rest[a:b] = " " * (b - a)
+        assert not "".join(rest).strip()
+
+
+def test_rows(spark):
+    df = spark.createDataFrame([("document", 1, "A b. C d."), ("document", 1, "A b. C d."), ("block", 1, None), ("block", None, "x"), ("block", 2, "")], "unit_kind string, unit_id long, text string")
+    assert sorted(tuple(r) for r in sentence_units(df).collect()) == [("document", 1, 0, 4), ("document", 1, 5, 9)]
+    assert sentence_units(df.limit(0)).count() == 0
