@@ -160,13 +160,24 @@ class Index:
         return sorted(found)
 
 
+def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """(item, text) pairs, at most 2 * ITEMS + 1 at once; neither the driver nor a broadcast holds more."""
+    block: set[tuple[int, str]] = set()
+    for r in items.select("item_id", "prompt", "answer").where("item_id is not null").toLocalIterator():
+        block |= {(r[0], t) for t in r[1:] if t}
+        if len(block) >= 2 * ITEMS:
+            yield sorted(block)
+            block = set()
+    if block:
+        yield sorted(block)
+
+
 def leaked(documents: DataFrame, items: DataFrame, n: int = RUN, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id) for every document that holds n consecutive words of the item's prompt or of its answer."""
-    rows = sorted({(r[0], t) for r in items.select("item_id", "prompt", "answer").toLocalIterator() if r[0] is not None for t in r[1:] if t})
     spark, out = documents.sparkSession, None
     texts = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
-    for at in range(0, max(1, len(rows)), 2 * ITEMS):
-        index = spark.sparkContext.broadcast(Index(rows[at : at + 2 * ITEMS], n, rank))
+    for block in blocks(items):
+        index = spark.sparkContext.broadcast(Index(block, n, rank))
 
         def look(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             x = index.value
@@ -177,4 +188,4 @@ def leaked(documents: DataFrame, items: DataFrame, n: int = RUN, rank: int = RAN
 
         part = texts.mapInPandas(look, "doc_id long, item_id long")
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out.distinct() if out is not None else spark.createDataFrame([], "doc_id long, item_id long")
