@@ -82,18 +82,32 @@ def big_enough(cells: Column) -> Column:
     return (F.size(cells) >= 2) & (F.size(F.get(cells, F.lit(0))) >= 2)
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def markdown(cells: Column) -> Column:
     """A padded table; the first row is its header if it looks like one, else columns are named col_0, col_1, ..."""
-    rows = F.transform(cells, lambda r: F.transform(r, clean_cell))
-    first = F.get(rows, F.lit(0))
-    named = looks_like_header(first)
-    head = F.when(named, first).otherwise(F.transform(first, lambda _, i: F.concat(F.lit("col_"), i.cast("string"))))
-    body = F.when(named, F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(rows)
-    every = F.concat(F.array(head), body)
-    widths = F.transform(head, lambda _, i: F.array_max(F.transform(every, lambda r: F.length(F.coalesce(F.get(r, i), F.lit(""))))))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c, i: F.rpad(c, F.get(widths, i), F.lit(" "))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(widths, lambda w: F.repeat(F.lit("-"), w)), " | "), F.lit(" |"))
-    return F.array_join(F.concat(F.array(line(head)), F.array(rule), F.transform(body, line)), "\n")
+
+    def padded(every: Column) -> Column:
+        head = F.get(every, F.lit(0))
+
+        def lines(widths: Column) -> Column:
+            line = lambda r: F.concat(F.lit("| "), F.array_join(F.zip_with(r, widths, lambda c, w: F.rpad(c, w, F.lit(" "))), " | "), F.lit(" |"))
+            rule = F.concat(F.lit("| "), F.array_join(F.transform(widths, lambda w: F.repeat(F.lit("-"), w)), " | "), F.lit(" |"))
+            all_lines = F.transform(every, line)
+            return let(all_lines, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.array(rule), F.slice(x, 2, F.size(x))), "\n"))
+
+        widths = F.aggregate(every, F.transform(head, lambda _: F.lit(0)), lambda most, r: F.zip_with(most, r, lambda w, c: F.greatest(w, F.length(F.coalesce(c, F.lit(""))))))
+        return let(widths, lines)
+
+    def named(rows: Column) -> Column:
+        first = F.get(rows, F.lit(0))
+        numbered = F.transform(first, lambda _, i: F.concat(F.lit("col_"), i.cast("string")))
+        return let(F.when(looks_like_header(first), rows).otherwise(F.concat(F.array(numbered), rows)), padded)
+
+    return let(F.transform(cells, lambda r: F.transform(r, clean_cell)), named)
 
 
 def assemble_pages(pages: DataFrame, tables: DataFrame, ocr: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def query_lexemes(queries: DataFrame, stem: bool = False) -> DataFrame:
 def hits(index: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, id, lexeme, pos, needed) of the texts that have every lexeme of a question. Questions join postings by lexeme."""
     both = index.join(query_lexemes(queries, stem), "lexeme")
-    full = both.groupBy("qid", "id", "needed").agg(F.count_distinct("lexeme").alias("have")).where("have = needed").select("qid", "id")
-    return both.join(full, ["qid", "id"], "left_semi")
+    have = F.size(F.collect_set("lexeme").over(Window.partitionBy("qid", "id")))
+    return both.withColumn("have", have).where("have = needed").drop("have")
 
 
 def match(index: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
@@ -49,17 +49,14 @@ def match(index: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame
 
 def rank_cd(index: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, id, score): over all minimal covers of the question's lexemes, 0.1 / (1 + words in between that match nothing)."""
-    h = hits(index, queries, stem).distinct()
-    per = h.groupBy("qid", "id", "needed").agg(F.sort_array(F.collect_list(F.struct("pos", "lexeme"))).alias("at"))
-    covers = F.expr(
-        """filter(transform(at, (p, i) -> named_struct('stop', p.pos, 'last',
-             transform(array_distinct(transform(at, z -> z.lexeme)), w -> array_max(transform(filter(slice(at, 1, i + 1), z -> z.lexeme = w), z -> z.pos))))),
-           c -> not exists(c.last, v -> v is null))"""
-    )
-    spans = per.select("qid", "id", "at", F.explode(covers).alias("c")).select("qid", "id", "at", F.array_min("c.last").alias("start"), F.col("c.stop").alias("stop"))
-    minimal = spans.groupBy("qid", "id", "start").agg(F.min("stop").alias("stop"), F.first("at").alias("at"))
-    inside = F.expr("size(filter(at, z -> z.pos between start and stop))")
-    noise = F.col("stop") - F.col("start") - (inside - 1)
+    place = Window.partitionBy("qid", "id").orderBy("pos")
+    h = hits(index, queries, stem).distinct().withColumn("at", F.struct("pos", F.row_number().over(place).alias("i")))
+    each = query_lexemes(queries, stem).select("qid", F.col("lexeme").alias("of"))
+    so_far = Window.partitionBy("qid", "id", "of").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lasts = h.join(each, "qid").withColumn("last", F.last(F.when(F.col("lexeme") == F.col("of"), F.col("at")), ignorenulls=True).over(so_far))
+    covers = lasts.groupBy("qid", "id", "needed", F.col("at").alias("stop")).agg(F.min("last").alias("start"), F.count("last").alias("have")).where("have = needed")
+    minimal = covers.groupBy("qid", "id", "start").agg(F.min("stop").alias("stop"))
+    noise = (F.col("stop.pos") - F.col("start.pos")) - (F.col("stop.i") - F.col("start.i"))
     return minimal.groupBy("qid", "id").agg(F.round(F.sum(F.lit(CLASS_WEIGHT) / (1 + noise)), 12).alias("score"))
 
 

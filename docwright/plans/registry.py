@@ -524,7 +524,7 @@ _TYPED = rf"""typed AS (SELECT b.*, CASE WHEN t = '' THEN 'paragraph' WHEN font_
   WHEN length(t) < 80 AND t NOT LIKE '%.' AND t NOT LIKE '%…' AND font_size < body THEN 'caption' ELSE 'paragraph' END AS kind
   FROM (SELECT b.*, f.body, regexp_replace(coalesce(b.text, ''), '^[{T.WHITE}]+|[{T.WHITE}]+$', '', 'g') AS t FROM blocks b JOIN font f USING (document_id, page_number)) b)"""
 _FONT = """font AS (SELECT document_id, page_number, s AS body FROM (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY n DESC, first_at) AS r FROM (
-  SELECT document_id, page_number, round(font_size, 1) AS s, sum(length(coalesce(text, ''))) AS n, min(block_id) AS first_at FROM blocks WHERE font_size IS NOT NULL GROUP BY 1, 2, 3)) WHERE r = 1)"""
+  SELECT document_id, page_number, round(font_size::VARCHAR::DECIMAL(28, 17), 1)::DOUBLE AS s, sum(length(coalesce(text, ''))) AS n, min(block_id) AS first_at FROM blocks WHERE font_size IS NOT NULL GROUP BY 1, 2, 3)) WHERE r = 1)"""
 
 
 def _spans(spark, d):
