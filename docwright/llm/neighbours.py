@@ -29,7 +29,7 @@ from .common import cut_lineage
 
 K, DIM = 5, 384
 SAMPLE, CELL, CELLS, BLOCK, PROBES, MARGIN = 16_384, 1_000, 2_048, 4_000, 4, 0.05
-LINES, COLLISIONS, SEED = 40, 24, 11
+LINES, COLLISIONS, SEED = 40, 22, 11
 #: Kinds of vectors with many copies that are sent to all workers at most; more of them are joined by hash.
 HOT_SENT = 50_000
 #: Half widths of the windows, round by round, for lines scaled so that vectors at distance d differ by d on average (rms).
@@ -85,9 +85,9 @@ def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: in
             m = min(k, sims.shape[1])
             top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
             val = np.take_along_axis(sims, top, 1)
-            # a pair at distance d collides on a line with the probability that |N(0, d)| is below w; the round vouches for d up to 1.05 w
+            # a pair at distance d collides on a line with the probability that |N(0, d)| is below w; the round vouches for d up to 0.95 w
             last = i == len(WIDTHS) - 1
-            done = np.full(len(open_), last) | ((m == k) & (val.min(axis=1) >= 1 - (1.05 * w) ** 2 / 2))
+            done = np.full(len(open_), last) | ((m == k) & (val.min(axis=1) >= 1 - (0.95 * w) ** 2 / 2))
             r, c = np.nonzero(done[:, None] & (val > -9))
             out.append((rows[open_[r]], xid[top[r, c]], val[r, c]))
             open_ = open_[~done]

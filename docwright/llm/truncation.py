@@ -119,6 +119,8 @@ def ending(text: str) -> tuple[int, str]:
         return CUT, ""
     if last.startswith("#"):
         return (CUT, "") if not PATH.match(last) and not closed else word_check
+    if last.startswith("Merge ") and last.count("'") % 2:
+        return CUT, ""
     if TRAILER.match(last):
         return (WHOLE if last.endswith(">") else CUT), ""
     if closed:
