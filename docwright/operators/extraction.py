@@ -129,3 +129,26 @@ def extractable(pages: DataFrame) -> DataFrame:
     """(document_id, extractable): blocks that are not blank, tables, and one for each page with OCR text."""
     count = F.size(F.filter(F.coalesce("block_texts", F.array().cast("array<string>")), lambda t: not_blank(t))) + F.size("tables") + F.when(not_blank(F.col("ocr_text")), 1).otherwise(0)
     return pages.groupBy("document_id").agg(F.sum(count).alias("extractable"))
+
+
+def table_of_contents(entries: Column) -> Column:
+    """Entries (level, title, page) without blank titles, titles stripped."""
+    kept = F.filter(entries, lambda e: not_blank(e["title"]))
+    return F.transform(kept, lambda e: F.struct(e["level"].alias("level"), strip(e["title"]).alias("title"), e["page"].alias("page")))
+
+
+def first_tables(*found: Column) -> Column:
+    """The result of the first table finder that found any, in order of preference; an empty array if none did."""
+    some = [F.when(F.size(c) > 0, c) for c in found]
+    return F.coalesce(*some, F.filter(found[0], lambda _: F.lit(False)))
+
+
+def page_from_words(words: DataFrame) -> DataFrame:
+    """(document_id, page_number, text, confidence) of recognised words (document_id, page_number, pos, word, score, backend).
+
+    Words of the second backend count from a score of 0.3 up, and its mean is taken times 100.
+    """
+    second = F.col("backend") == "easyocr"
+    real = words.where(not_blank(F.col("word"))).where(~second | (F.col("score") > 0.3)).withColumn("score", F.when(second, F.col("score") * 100).otherwise(F.col("score")))
+    per = real.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "score"))).alias("w"))
+    return per.select("document_id", "page_number", F.array_join(F.transform("w", lambda x: strip(x["word"])), " ").alias("text"), word_confidence(F.col("w.score")).alias("confidence"))

@@ -60,3 +60,25 @@ def save_json(df: DataFrame, path: str) -> None:
 def pretty(row: dict) -> str:
     """One extraction result as indented JSON, other scripts kept, unknown types as text."""
     return json.dumps(row, ensure_ascii=False, indent=2, default=str)
+
+
+def save_vector_lists(assigned: DataFrame, path: str) -> None:
+    """The inverted file: one folder a list, so a probe reads only its lists."""
+    assigned.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(path)
+
+
+def probe_lists(spark: SparkSession, path: str, lists: list[int]) -> DataFrame:
+    """The rows of some lists; the ids are few and known, so the other folders are pruned before the scan."""
+    return spark.read.parquet(path).where(F.col("list_id").isin(lists))
+
+
+def save_postings(postings: DataFrame, path: str, shards: int = 256) -> None:
+    """The full-text index: postings in shards by lexeme, sorted by it, so that file statistics skip the rest."""
+    keyed = postings.withColumn("shard", F.pmod(F.xxhash64("lexeme"), F.lit(shards)))
+    keyed.repartition("shard").sortWithinPartitions("lexeme").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, lexemes: list[str], shards: int = 256) -> DataFrame:
+    """The postings of a few lexemes from their shards."""
+    keys = [r[0] for r in spark.createDataFrame([(x,) for x in lexemes], "x string").select(F.pmod(F.xxhash64("x"), F.lit(shards))).distinct().collect()]
+    return spark.read.parquet(path).where(F.col("shard").isin(keys) & F.col("lexeme").isin(lexemes)).drop("shard")

@@ -617,3 +617,31 @@ def cache_invalidate_prefix(spark, d):
 @query("SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS requests, greatest(count(*) - 10, 0) AS rejected FROM events GROUP BY 1, 2")
 def rate_limit_per_minute(spark, d):
     return C.over_limit(table(spark, d, "events"))
+
+
+# --- whole paths ----------------------------------------------------------------------------------------------------
+
+
+@query()
+def answer_path(spark, d):
+    from .pipelines import answer_questions
+
+    c = chunks(spark, d, "content").join(vectors(spark, d).dropDuplicates(["id"]), "id", "left")
+    none = _cache(spark, d).where("false")
+    return answer_questions(questions(spark, d), c, none, F.lit("2020-01-01").cast("timestamp")).select("qid", "answer", "score", "from_cache", "cacheable")
+
+
+@query()
+def ingest_text_path(spark, d):
+    from .pipelines import ingest_texts
+
+    return ingest_texts(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))).select("id", "document_id", "chunk_index", "content", F.size("embedding").alias("dim"))
+
+
+@query()
+def ingest_pdf_path(spark, d):
+    from .pipelines import ingest_pages
+
+    cells = _cells(spark, d).select("document_id", "page_number", F.lit(0).alias("table_index"), "cells", F.lit(None).cast("double").alias("confidence"))
+    out = ingest_pages(_spans(spark, d), cells, table(spark, d, "ocr_result").select("document_id", "page_number", "text"))
+    return out.select("id", "document_id", "chunk_index", "chunk_type", "content", "page_number")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, partitions: int | None = None, name: str = "docwright") -> SparkSession:
@@ -13,3 +15,11 @@ def session(master: str | None = None, partitions: int | None = None, name: str
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a folder of our own only where it names none, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="docwright-checkpoint-"))
+    return df.checkpoint(eager=True)
