@@ -38,7 +38,7 @@ LEAST_FAITHFUL, UNREADABLE = 0.5, 0.5
 
 def rerank(hits: DataFrame, queries: DataFrame, keep: Column | int = 5) -> DataFrame:
     """(qid, id, content, rank, score, place): the best by the scorer's score; equal scores keep their retrieval order. hits: qid, id, content, rank."""
-    scored = hits.join(queries.select("qid", "question"), "qid").withColumn("score", F.round(lexical_score(F.col("question"), F.col("content")), 6))
+    scored = hits.join(queries.select("qid", "question", *(c for c in ("top_k",) if c in queries.columns)), "qid").withColumn("score", F.round(lexical_score(F.col("question"), F.col("content")), 6))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "rank", "id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep).select("qid", "id", "content", "rank", "score", "place")
 

@@ -47,7 +47,7 @@ def _stored(rows: DataFrame) -> DataFrame:
 
 
 def answer_questions(
-    queries: DataFrame, chunks: DataFrame, cache: DataFrame, now: Column, keep: int = 5,
+    queries: DataFrame, chunks: DataFrame, cache: DataFrame, now: Column,
     generate: Callable[[Column], Column] = models.first_chunk_answer, judge: Callable[[Column, Column], Column] = A.faithfulness,
 ) -> DataFrame:
     """(qid, answer, score, from_cache, cacheable, key) of every question: cache, retrieval with an inflated k, rerank, prompt, answer, judge, gate.
@@ -60,7 +60,7 @@ def answer_questions(
     wide = misses.withColumn("top_k", F.greatest(F.col("top_k") * R.OVERFETCH, F.lit(20)))
     found = R.dispatch(chunks.select("id", "embedding"), X.postings(chunks.select("id", "content")), wide).where("keep")
     hits = found.join(chunks.select("id", "content"), "id").select("qid", "id", "content", "rank")
-    best = cut_lineage(A.rerank(hits, misses, keep))  # few rows a question, read more than once below
+    best = cut_lineage(A.rerank(hits, misses.select("qid", "question", "top_k"), F.col("top_k")))  # few rows a question, read more than once below
     texts = best.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "content"))), lambda c: c["content"]).alias("texts"))
     said = texts.join(A.contexts(best), "qid").withColumn("raw", generate(F.col("texts"))).withColumn("score", judge(F.col("raw"), F.col("context")))
     gated = said.select("qid", A.gate(F.col("raw"), F.col("score")).alias("answer"), "score")
