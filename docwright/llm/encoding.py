@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,17 +32,23 @@ WINDOW, SAFE_BITS, ANY_BITS, SEED = 16, 4, 13, 3
 GEAR = np.random.default_rng(SEED).integers(0, 2**32, 256, np.uint32)
 
 
-@lru_cache(2)
+MADE: dict = {}
+
+
 def encoder(path: str):
+    """The encoding and its words' sizes in bytes, made once in a worker."""
     import tiktoken
 
+    if path in MADE:
+        return MADE[path]
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     made = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
     for word, rank in ranks.items():
         sizes[rank] = len(word)
-    return made, sizes
+    MADE[path] = made, sizes
+    return MADE[path]
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:

@@ -177,10 +177,11 @@ def leaked(documents: DataFrame, items: DataFrame, n: int = RUN, rank: int = RAN
     spark, out = documents.sparkSession, None
     texts = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text")
     for block in blocks(items):
-        index = spark.sparkContext.broadcast(Index(block, n, rank))
+        index = spark.sparkContext.broadcast(vars(Index(block, n, rank)))
 
         def look(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            x = index.value
+            x = Index.__new__(Index)
+            x.__dict__.update(index.value)
             for b in batches:
                 ids = b["doc_id"].tolist()
                 for at in range(0, len(b), 500):
