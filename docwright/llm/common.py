@@ -1,37 +1,9 @@
-"""Helpers that the training-data operators share."""
+"""What the training-data operators take from the core."""
 
 from __future__ import annotations
 
-import tempfile
+from ..functions.text import WHITE, strip
+from ..session import cut_lineage
+from ..sources.readers import table
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: The code points of Unicode whitespace, as a character class for Java and RE2.
-WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the session names; a folder of our own only where it names none (tests)."""
-    context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="docwright-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def strip(text: Column) -> Column:
-    """Whitespace of Unicode taken off both ends."""
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
-
-
-def spread(df: DataFrame, parts: int) -> DataFrame:
-    """Small files come as few partitions; rows are dealt round to keep every core busy in the Python stage that follows."""
-    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
+__all__ = ["WHITE", "cut_lineage", "strip", "table"]

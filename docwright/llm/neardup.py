@@ -9,7 +9,10 @@ trimmed, at least 800 characters). Similarity is Jaccard's; threshold 0.6.
 2. Index lists: the records of one list key, in blocks by set size (`BLOCK_STEPS` steps of the threshold wide). A record
    visits its own block, and the next only where a partner's size can reach into it; all other blocks are skipped, and
    inside the sizes' ratio must reach the threshold. Lists are joined by key, so adaptive execution splits a hot one.
-3. Candidate pairs are verified by their exact sets. Records are visited by leader (`id_a`), whose set is built once.
+3. Each record's least partner is its leader, and their similarity is computed from the whole sets. Where two partners
+   have one leader, their answer is derived from those two similarities if it can be: Jaccard's distance is a metric, so two
+   that are near enough to the leader are near enough to each other, and two whose distances to it differ by more than the
+   limit are not. Only pairs this leaves open are computed.
 
 At a similarity of 0.6 a pair shares a list with a probability of 0.998, at 0.65 of 0.9998.
 
@@ -113,21 +116,19 @@ class Sets:
         return s
 
 
-def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def similarities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sets = Sets()
     for b in batches:
         rows = []
         for kind, a, c, ta, tc in b.itertuples(index=False, name=None):
             x, y = sets.get((kind, a), ta), sets.get((kind, c), tc)
-            if min(len(x), len(y)) >= THRESHOLD * max(len(x), len(y)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= THRESHOLD * (len(x) + len(y) - both) - 1e-9:
-                    rows.append((kind, a, c, both / (len(x) + len(y) - both)))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            rows.append((kind, a, c, both / (len(x) + len(y) - both)))
         yield pd.DataFrame(rows, columns=["kind", "id_a", "id_b", "similarity"])
 
 
 def similar(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of class representatives (kind, id_a, id_b, similarity), and membership (kind, leader, id) of all records that take part."""
+    """Pairs of class representatives (kind, id_a, id_b), and membership (kind, leader, id) of all records that take part."""
     texts = contents(records)
     signed = cut_lineage(texts.mapInPandas(signatures, "kind string, id long, same binary, size int, keys array<long>"))
     leaders = signed.groupBy("kind", "same").agg(F.min("id").alias("leader"), F.first("size").alias("size"), F.first("keys").alias("keys"))
@@ -143,10 +144,27 @@ def similar(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     candidates = cut_lineage(candidates)
     taking = candidates.select("kind", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     held = cut_lineage(texts.join(taking, ["kind", "id"], "left_semi").dropDuplicates(["kind", "id"]))
+
+    stars = candidates.groupBy("kind", "id_b").agg(F.min("id_a").alias("id_a"))
+    near = cut_lineage(measured(stars, held))
+    known = near.select("kind", F.col("id_b").alias("id"), F.col("id_a").alias("of"), (1 - F.col("similarity")).alias("d"))
+    side = lambda x: known.select("kind", F.col("id").alias(f"id_{x}"), F.col("of").alias(f"of_{x}"), F.col("d").alias(f"d_{x}"))
+    rest = candidates.join(stars, ["kind", "id_a", "id_b"], "left_anti").join(side("b"), ["kind", "id_b"]).join(side("a"), ["kind", "id_a"], "left")
+    shared, far = F.col("of_a") == F.col("of_b"), 1 - THRESHOLD
+    surely = shared & (F.col("d_a") + F.col("d_b") <= far - 1e-9)
+    never = shared & (F.abs(F.col("d_a") - F.col("d_b")) > far + 1e-9)
+    judged = cut_lineage(rest.select("kind", "id_a", "id_b", F.when(surely, "yes").when(never, "no").otherwise("open").alias("derived")))
+    ids = ("kind", "id_a", "id_b")
+    enough = F.col("similarity") >= THRESHOLD - 1e-12
+    opened = measured(judged.where("derived = 'open'").select(*ids), held).where(enough)
+    return near.where(enough).select(*ids).unionByName(judged.where("derived = 'yes'").select(*ids)).unionByName(opened.select(*ids)), members
+
+
+def measured(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(kind, id_a, id_b, similarity) of pairs, by their whole sets; pairs of one id_a stand together, so its set is built once."""
     side = lambda x: held.select("kind", F.col("id").alias(f"id_{x}"), F.col("text").alias(f"text_{x}"))
-    rows = candidates.join(side("b"), ["kind", "id_b"]).join(side("a"), ["kind", "id_a"])
-    pairs = rows.select("kind", "id_a", "id_b", "text_a", "text_b").sortWithinPartitions("kind", "id_a").mapInPandas(verified, "kind string, id_a long, id_b long, similarity double")
-    return pairs, members
+    rows = pairs.join(side("b"), ["kind", "id_b"]).join(side("a"), ["kind", "id_a"])
+    return rows.select("kind", "id_a", "id_b", "text_a", "text_b").sortWithinPartitions("kind", "id_a").mapInPandas(similarities, "kind string, id_a long, id_b long, similarity double")
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
