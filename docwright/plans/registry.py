@@ -21,6 +21,7 @@ from ..operators import retrieval as R
 from ..operators import store as S
 from ..operators import vector as V
 from ..sources.readers import table
+from . import chunk_sql
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -236,17 +237,17 @@ def _packed(spark, d, strategy):
     return K.finalise(K.merge_tiny(K.pack(_pages(spark, d), strategy))).select("doc", "page", "chunk_index", "total_chunks", "chunk_id", "text", "token_count", "section_heading", F.array_join("block_types", ",").alias("block_types"), "overlap_prev", "overlap_next")
 
 
-@query()
+@query(chunk_sql.SENTENCE_AWARE)
 def sentence_aware_chunks(spark, d):
     return _packed(spark, d, "sentence_aware")
 
 
-@query()
+@query(chunk_sql.PARAGRAPH)
 def paragraph_chunks(spark, d):
     return _packed(spark, d, "paragraph")
 
 
-@query()
+@query(chunk_sql.FIXED_TOKEN)
 def fixed_token_chunks(spark, d):
     return _packed(spark, d, "fixed_token")
 
