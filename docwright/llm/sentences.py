@@ -3,8 +3,8 @@
 Document-centred disambiguation: whether a period ends a sentence is decided from the document itself where it can be. A
 first reading collects the document's unambiguous occurrences: words that stand before a period and a small letter, a
 comma or another mark are abbreviations here; words that stand with a capital inside a sentence are names here, so a
-capital after a doubtful period proves nothing for them. `ABBREVIATIONS` is the fallback for words the document does
-not tell. Scripts without case or spaces have their own terminators, which always end a sentence.
+capital after a doubtful period proves nothing for them. For words the document does not tell, the abbreviations that the
+whole corpus proves are the fallback, and `ABBREVIATIONS` before them. Scripts without case or spaces have their own terminators, which always end a sentence.
 
 Rules: an empty line ends a unit; so does a site's notice line (before and after it). A single line break ends nothing.
 Nothing ends inside a quotation; after one that ends with a mark, a unit ends only if what follows can start a sentence.
@@ -17,6 +17,7 @@ points. Empty tables give empty results; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,8 @@ ABBREVIATIONS = TITLES | LEADING | ENDING
 #: Months, for ordinals before them.
 MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
 
+#: Texts that must prove a word before the corpus counts it as an abbreviation: at least so many, and at least this share.
+LEAST, SHARE = 5, 0.001
 GAP = re.compile(r"\n[^\S\n]*\n\s*")
 MARK = re.compile(r"[.!?…]+|[。！？｡।॥؟]+[.!?…]*")
 CLOSERS = "\"'”’»)]}“」』）】›"
@@ -47,14 +50,40 @@ NOTICE = re.compile(
 )
 HAN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 WORD_BEFORE = re.compile(r"([^\W\d_]+(?:[.]\s?[^\W\d_]+)*)$")
-SMALL_AFTER = re.compile(r"(?<![\w.])([^\W\d_]{1,6}(?:\.\s?[^\W\d_]{1,2})?)\.(?=\s+[a-zà-öø-ÿ]|\s*,|\s+\d)")
+SMALL_AFTER = re.compile(r"(?<![\w.])([^\W\d_]{1,6}(?:\.\s?[^\W\d_]{1,2})?)\.(?=\s+[a-zß-öø-ÿ]+(?![^\W\d_])|\s*,)")
 NAME_INSIDE = re.compile(r"(?<=[a-zà-öø-ÿ,;] )([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{2,})")
 
 
+def spoken_abbreviations(text: str) -> set[str]:
+    """Words that unambiguous occurrences in a text prove abbreviations."""
+    return {w for m in SMALL_AFTER.finditer(text) if len(w := m[1].lower()) <= 4 or w in ABBREVIATIONS}
+
+
 def spoken(text: str) -> tuple[set[str], set[str]]:
     """What the document itself tells: its abbreviations, and its names (words with a capital inside sentences)."""
-    short = {w for m in SMALL_AFTER.finditer(text) if len(w := m[1].lower()) <= 4 or w in ABBREVIATIONS}
-    return short, set(NAME_INSIDE.findall(text))
+    return spoken_abbreviations(text), set(NAME_INSIDE.findall(text))
+
+
+def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, docs): of each batch, how many texts prove a word an abbreviation; the word '' counts the texts."""
+    for b in batches:
+        seen: Counter[str] = Counter()
+        for text in b["text"]:
+            seen[""] += 1
+            seen.update(spoken_abbreviations(text))
+        yield pd.DataFrame({"word": list(seen), "docs": list(seen.values())})
+
+
+def corpus_abbreviations(texts: DataFrame) -> frozenset[str]:
+    """The corpus fallback: words proved abbreviations in at least `LEAST` texts and one text in a thousand (`SHARE`).
+
+    A text proves a bounded number of words (it has as many as short words before periods), so with E of them a text on
+    average, at most E / SHARE words can pass, however large the corpus: what is sent to the workers does not grow with it.
+    """
+    rows = texts.select("text").mapInPandas(evidence, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    total = rows.where("word = ''").select(F.col("docs").alias("total"))
+    kept = rows.where("word <> ''").join(F.broadcast(total)).where((F.col("docs") >= LEAST) & (F.col("docs") >= F.col("total") * SHARE))
+    return frozenset(r["word"] for r in kept.select("word").collect())
 
 
 def can_start(text: str, at: int, end: int) -> str:
@@ -161,11 +190,12 @@ def segments(text: str) -> Iterator[tuple[int, int]]:
         at = gap.end() if gap else stop
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
-    """[start, end) of every sentence unit of a text."""
+def sentences(text: str | None, corpus: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """[start, end) of every sentence unit of a text; corpus: abbreviations known from elsewhere."""
     if not text:
         return []
     short, names = spoken(text)
+    short |= corpus
     out: list[tuple[int, int]] = []
 
     def add(s: int, e: int) -> None:
@@ -206,15 +236,16 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(kind, i, s, e) for kind, i, text in zip(b["unit_kind"].tolist(), b["unit_id"].tolist(), b["text"].tolist()) for s, e in sentences(text)]
-        yield pd.DataFrame(rows, columns=["unit_kind", "unit_id", "start_char", "end_char"])
-
-
 def sentence_units(texts: DataFrame) -> DataFrame:
     """(unit_kind, unit_id, start_char, end_char) of texts (unit_kind, unit_id, text). Rows repeated under one id give their units once."""
-    good = texts.where("unit_id is not null and text is not null and text <> ''")
+    good = texts.where("unit_id is not null and text is not null and text <> ''").select("unit_kind", "unit_id", "text")
+    corpus = corpus_abbreviations(good)
+
+    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(kind, i, s, e) for kind, i, text in zip(b["unit_kind"].tolist(), b["unit_id"].tolist(), b["text"].tolist()) for s, e in sentences(text, corpus)]
+            yield pd.DataFrame(rows, columns=["unit_kind", "unit_id", "start_char", "end_char"])
+
     return good.mapInPandas(units, "unit_kind string, unit_id long, start_char int, end_char int").distinct()
 
 
