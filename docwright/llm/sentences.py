@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 #: Titles that stand before a name; they never end a sentence.
 TITLES = {"mr", "mrs", "ms", "dr", "prof", "st", "hr", "fr", "sr", "sra", "dra", "m", "mme", "mlle", "डॉ", "श्री", "د", "أ"}
 #: Abbreviations that a number or a name follows; they never end a sentence.
@@ -80,10 +82,10 @@ def corpus_abbreviations(texts: DataFrame) -> frozenset[str]:
     A text proves a bounded number of words (it has as many as short words before periods), so with E of them a text on
     average, at most E / SHARE words can pass, however large the corpus: what is sent to the workers does not grow with it.
     """
-    rows = texts.select("text").mapInPandas(evidence, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
-    total = rows.where("word = ''").select(F.col("docs").alias("total"))
-    kept = rows.where("word <> ''").join(F.broadcast(total)).where((F.col("docs") >= LEAST) & (F.col("docs") >= F.col("total") * SHARE))
-    return frozenset(r["word"] for r in kept.select("word").collect())
+    rows = cut_lineage(texts.select("text").mapInPandas(evidence, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs")))
+    total = rows.where("word = ''").first()
+    least = max(LEAST, total["docs"] * SHARE) if total else LEAST
+    return frozenset(r["word"] for r in rows.where((F.col("word") != "") & (F.col("docs") >= least)).select("word").collect())
 
 
 def can_start(text: str, at: int, end: int) -> str:
