@@ -333,8 +333,8 @@ def l2_normalise(spark, d):
 
 @query(f"WITH {_V64}, q AS (SELECT v AS qv FROM vectors WHERE id = 0) SELECT id, round(list_cosine_distance(v, qv), 6) AS distance FROM vectors, q")
 def cosine_distance_all(spark, d):
-    one = table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("qv"))
-    return v64(spark, d).join(F.broadcast(one)).select("id", F.round(V.cosine_distance("embedding", "qv"), 6).alias("distance"))
+    one = table(spark, d, "embeddings").where("vec_id = 0").select("embedding").first()
+    return v64(spark, d).select("id", F.round(V.cosine_distance(F.col("embedding"), F.lit([float(x) for x in one[0]])), 6).alias("distance"))
 
 
 @query(f"WITH {_DOCS}, {_CHUNKS}, {_VECTORS}, {_QUESTIONS}, {_SCORED} SELECT qid, id, rank::INTEGER AS rank, round(distance, 6) AS distance, coalesce(distance <= 0.8::DOUBLE, false) AS keep FROM {_NEAR} WHERE rank <= top_k")
