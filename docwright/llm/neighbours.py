@@ -3,7 +3,8 @@
 1. Vectors that are null, all zero, of another size or with a null or NaN element take no part. Copies of one vector beyond
    k + 1 are set apart: their k nearest are the k smallest other ids of the same vector, so a vector that a third of all
    rows share never fills a cell.
-2. Cells: centroids of a spherical k-means on a bounded sample (`SAMPLE` rows; the only thing fitted on a sample). Every
+2. Cells: centroids of a spherical k-means on a bounded sample (`SAMPLE` rows), and second-level ones in cells that would be
+   large, fitted on the workers from one row in 125 (nothing else is fitted on a sample). Every
    vector is indexed in its nearest cell and asks its `probes` nearest cells as far as their cosines are within `MARGIN`. A cell expected to hold more than `BLOCK`
    rows is dealt to blocks of data and of queries, so no task gets an unbounded group.
 3. In a block every vector has one projection on each of `LINES` fixed random lines, kept as a sorted array of levels. A
@@ -28,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import cut_lineage
 
 K, DIM = 5, 384
-SAMPLE, CELL, CELLS, BLOCK, PROBES, MARGIN = 16_384, 1_000, 2_048, 4_000, 4, 0.05
+SAMPLE, CELL, CELLS, SUBS, BLOCK, PROBES, MARGIN = 16_384, 1_000, 2_048, 65_536, 4_000, 4, 0.05
 LINES, COLLISIONS, SEED = 40, 22, 11
 #: Kinds of vectors with many copies that are sent to all workers at most; more of them are joined by hash.
 HOT_SENT = 50_000
@@ -58,6 +59,56 @@ def centroids(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def sub_centroids(vectors: DataFrame, dim: int, c: np.ndarray, share: np.ndarray) -> list[np.ndarray]:
+    """Of each cell its second-level centres: cells expected to hold more than two times CELL vectors are split by a k-means over their
+    own sample (one row in CELL / 8), fitted cell by cell on the workers. At most SUBS centres in all."""
+    wanted = np.where(share > 2 * CELL, np.ceil(share / CELL), 1)
+    wanted = np.maximum(1, wanted * min(1.0, SUBS / wanted.sum())).astype(int)
+    out = [c[i : i + 1] for i in range(len(c))]
+    if (wanted > 1).any():
+        first = vectors.sparkSession.sparkContext.broadcast(c)
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    x = unit(b["embedding"])
+                    home = np.argmax(x @ first.value.T, axis=1)
+                    some = wanted[home] > 1
+                    yield pd.DataFrame({"cell": home[some], "v": [v.tobytes() for v in x[some]]})
+
+        def fit(b: pd.DataFrame) -> pd.DataFrame:
+            x = np.frombuffer(b"".join(b["v"]), np.float32).reshape(len(b), -1)
+            cell = int(b["cell"].iloc[0])
+            return pd.DataFrame({"cell": [cell], "v": [centroids(x, min(int(wanted[cell]), max(1, len(x) // 3))).astype(np.float32).tobytes()]})
+
+        rows = usable(vectors, dim).where(F.pmod(F.xxhash64("id"), F.lit(max(1, CELL // 8))) == 1 % max(1, CELL // 8))
+        made = rows.mapInPandas(assign, "cell int, v binary").groupBy("cell").applyInPandas(fit, "cell int, v binary")
+        for r in made.toLocalIterator():
+            out[r["cell"]] = np.frombuffer(bytes(r["v"]), np.float32).reshape(-1, c.shape[1])
+    return out
+
+
+def nearest_cells(x: np.ndarray, c: np.ndarray, subs: list[np.ndarray], base: np.ndarray, ask: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each vector its up to `ask` nearest second-level cells, best first, and how many of them are within MARGIN of the best."""
+    near = x @ c.T
+    top = np.argsort(-near, axis=1, kind="stable")[:, :ask]
+    near = np.take_along_axis(near, top, 1)
+    ids = np.full((len(x), ask * ask), -1)
+    sims = np.full((len(x), ask * ask), -9.0, np.float32)
+    open_ = near >= near[:, :1] - MARGIN
+    for cell in np.unique(top[open_]).tolist():
+        rows, place = np.nonzero((top == cell) & open_)
+        s = x[rows] @ subs[cell].T
+        m = min(ask, s.shape[1])
+        best = np.argsort(-s, axis=1, kind="stable")[:, :m]
+        for j in range(m):
+            ids[rows, place * ask + j] = base[cell] + best[:, j]
+            sims[rows, place * ask + j] = s[np.arange(len(rows)), best[:, j]]
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :ask]
+    ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    return ids, ((sims >= sims[:, :1] - MARGIN) & (ids >= 0)).sum(axis=1)
+
+
 def collide(q: np.ndarray, x: np.ndarray, width: int, lines: range) -> np.ndarray:
     """Of each query and vector, the number of lines on which the vector's level stands in the query's window."""
     n = np.zeros((len(q), len(x)), np.int8)
@@ -126,21 +177,21 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     count = int(max(1, min(total // CELL, CELLS, len(sample) // 4)))
     c = centroids(sample, count)
     share = np.bincount(np.argmax(sample @ c.T, axis=1), minlength=count) / len(sample) * total
-    data_blocks = np.maximum(1, np.ceil(share / BLOCK)).astype(int)
     ask = min(probes, count)
-    query_blocks = np.maximum(1, np.ceil(share * ask / (3 * BLOCK))).astype(int)
-    cells, plan = spark.sparkContext.broadcast(c), (data_blocks, query_blocks)
+    subs = sub_centroids(vectors, dim, c, share)
+    base = np.concatenate(([0], np.cumsum([len(x) for x in subs])))
+    each = np.concatenate([np.full(len(x), n / len(x)) for x, n in zip(subs, share)])
+    data_blocks = np.maximum(1, np.ceil(each / BLOCK)).astype(int)
+    query_blocks = np.maximum(1, np.ceil(each * ask / (3 * BLOCK))).astype(int)
+    router, plan = spark.sparkContext.broadcast((c, subs, base)), (data_blocks, query_blocks)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centre, (nd, nq) = cells.value, plan
+        nd, nq = plan
         for b in batches:
             if not len(b):
                 continue
             x = unit(b["embedding"])
-            near = x @ centre.T
-            top = np.argsort(-near, axis=1, kind="stable")[:, :ask]
-            near = np.take_along_axis(near, top, 1)
-            asks = (near >= near[:, :1] - MARGIN).sum(axis=1)  # sorted, so these are the first ones
+            top, asks = nearest_cells(x, *router.value, ask)
             scale = np.abs(x).max(axis=1)
             levels = np.rint(x / scale[:, None] * 32767).astype(np.int16)
             rows = []

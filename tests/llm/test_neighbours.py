@@ -41,3 +41,17 @@ def test_many_copies_of_one_vector(spark):
 def test_small_and_empty(spark):
     assert N.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert N.pairs(N.nearest(spark.createDataFrame([(2, [1.0] * 384, ""), (1, [1.0] * 383 + [2.0], "")], SCHEMA))).collect()[0][:] == (1, 2)
+
+
+def test_second_level_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELLS", 4)
+    monkeypatch.setattr(N, "CELL", 100)
+    monkeypatch.setattr(N, "BLOCK", 150)
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((200, 384)), 12, axis=0) + 0.5 * rng.standard_normal((2400, 384))
+    df = spark.createDataFrame([(i, v.astype(float).tolist(), "t") for i, v in enumerate(x)], SCHEMA)
+    got = {}
+    for r in N.nearest(df).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    want = brute(list(range(2400)), x)
+    assert set(got) == set(want) and np.mean([len(got[i] & want[i]) / 5 for i in want]) >= 0.9
