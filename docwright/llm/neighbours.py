@@ -4,7 +4,7 @@
    k + 1 are set apart: their k nearest are the k smallest other ids of the same vector, so a vector that a third of all
    rows share never fills a cell.
 2. Cells: centroids of a spherical k-means on a bounded sample (`SAMPLE` rows), and second-level ones in cells that would be
-   large, fitted on the workers from one row in 125 (nothing else is fitted on a sample). Every
+   large, fitted on the workers from one row in 500 (nothing else is fitted on a sample). Every
    vector is indexed in its nearest cell and asks its `probes` nearest cells as far as their cosines are within `MARGIN`. A cell expected to hold more than `BLOCK`
    rows is dealt to blocks of data and of queries, so no task gets an unbounded group.
 3. In a block every vector has one projection on each of `LINES` fixed random lines, kept as a sorted array of levels. A
@@ -29,12 +29,12 @@ from pyspark.sql.window import Window
 from .common import cut_lineage
 
 K, DIM = 5, 384
-SAMPLE, CELL, CELLS, SUBS, BLOCK, PROBES, MARGIN = 16_384, 1_000, 2_048, 65_536, 4_000, 4, 0.05
+SAMPLE, CELL, CELLS, SUBS, BLOCK, PROBES, MARGIN = 16_384, 4_000, 2_048, 65_536, 12_000, 6, 0.1
 LINES, COLLISIONS, SEED = 40, 22, 11
 #: Kinds of vectors with many copies that are sent to all workers at most; more of them are joined by hash.
 HOT_SENT = 50_000
 #: Half widths of the windows, round by round, for lines scaled so that vectors at distance d differ by d on average (rms).
-WIDTHS = (0.6, 0.9, 1.2, 1.6)
+WIDTHS = (0.9, 1.2, 1.6)
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -111,10 +111,10 @@ def nearest_cells(x: np.ndarray, c: np.ndarray, subs: list[np.ndarray], base: np
 
 def collide(q: np.ndarray, x: np.ndarray, width: int, lines: range) -> np.ndarray:
     """Of each query and vector, the number of lines on which the vector's level stands in the query's window."""
-    n = np.zeros((len(q), len(x)), np.int8)
+    n = np.zeros((len(q), len(x)), np.uint8)
+    span = np.uint8(2 * width)
     for j in lines:
-        low, high = q[:, j, None] - np.int8(width), q[:, j, None] + np.int8(width)
-        n += (x[None, :, j] >= low) & (x[None, :, j] <= high)
+        n += (x[None, :, j] - (q[:, j, None] - np.int8(width))).view(np.uint8) <= span  # below the window wraps to a large number
     return n
 
 
@@ -124,27 +124,32 @@ def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: in
     step = 16.0  # levels a unit of distance; levels stay within +-62, so windows do not overflow
     pq, px = (np.clip(np.rint(v @ lines * step), -62, 62).astype(np.int8) for v in (q, x))
     px = np.asfortranarray(px)
+    own = np.argsort(xid, kind="stable")
+    place = own[np.minimum(np.searchsorted(xid, qid, sorter=own), len(xid) - 1)]
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), 512):
         rows = np.arange(at, min(at + 512, len(q)))
         best = q[rows] @ x.T
-        best[qid[rows, None] == xid[None, :]] = -9
+        itself = xid[place[rows]] == qid[rows]
+        best[np.flatnonzero(itself), place[rows][itself]] = -9
         open_ = np.arange(len(rows))
         for i, w in enumerate(WIDTHS):
-            hit = collide(pq[rows[open_]], px, min(int(w * step), 60), range(LINES)) >= COLLISIONS
-            sims = np.where(hit, best[open_], -9)
-            m = min(k, sims.shape[1])
-            top = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-            val = np.take_along_axis(sims, top, 1)
-            # a pair at distance d collides on a line with the probability that |N(0, d)| is below w; the round vouches for d up to 0.95 w
             last = i == len(WIDTHS) - 1
-            done = np.full(len(open_), last) | ((m == k) & (val.min(axis=1) >= 1 - (0.95 * w) ** 2 / 2))
-            r, c = np.nonzero(done[:, None] & (val > -9))
-            out.append((rows[open_[r]], xid[top[r, c]], val[r, c]))
+            # a pair at distance d collides on a line with the probability that |N(0, d)| is below w; the round vouches for d up to 0.95 w
+            radius = -8.0 if last else 1 - (0.95 * w) ** 2 / 2
+            sims = best[open_]
+            r, c = np.nonzero((collide(pq[rows[open_]], px, min(int(w * step), 60), range(LINES)) >= COLLISIONS) & (sims >= radius))
+            val = sims[r, c]
+            order = np.lexsort((xid[c], -val, r))
+            r, c, val = r[order], c[order], val[order]
+            n = np.bincount(r, minlength=len(open_))
+            done = np.full(len(open_), True) if last else n >= k
+            take = (np.arange(len(r)) - (np.cumsum(n) - n)[r] < k) & done[r]
+            out.append((rows[open_[r[take]]], xid[c[take]], val[take]))
             open_ = open_[~done]
             if not len(open_):
                 break
-    return tuple(np.concatenate(v) if out else np.array([]) for v in zip(*out)) if out else (np.array([], int),) * 3
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.array([], int),) * 3
 
 
 def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES) -> DataFrame:
