@@ -4,7 +4,7 @@
    k + 1 are set apart: their k nearest are the k smallest other ids of the same vector, so a vector that a third of all
    rows share never fills a cell.
 2. Cells: centroids of a spherical k-means on a bounded sample (`SAMPLE` rows), and second-level ones in cells that would be
-   large, fitted on the workers from one row in 500 (nothing else is fitted on a sample). Every
+   large, fitted on the workers from one row in 375 (nothing else is fitted on a sample). Every
    vector is indexed in its nearest cell and asks its `probes` nearest cells as far as their cosines are within `MARGIN`. A cell expected to hold more than `BLOCK`
    rows is dealt to blocks of data and of queries, so no task gets an unbounded group.
 3. In a block every vector has one projection on each of `LINES` fixed random lines, kept as a sorted array of levels. A
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from .common import cut_lineage
 
 K, DIM = 5, 384
-SAMPLE, CELL, CELLS, SUBS, BLOCK, PROBES, MARGIN = 16_384, 4_000, 2_048, 65_536, 12_000, 6, 0.1
+SAMPLE, CELL, CELLS, SUBS, BLOCK, PROBES, MARGIN = 16_384, 3_000, 2_048, 65_536, 12_000, 6, 0.1
 LINES, COLLISIONS, SEED = 40, 22, 11
 #: Kinds of vectors with many copies that are sent to all workers at most; more of them are joined by hash.
 HOT_SENT = 50_000
@@ -185,9 +185,10 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     ask = min(probes, count)
     subs = sub_centroids(vectors, dim, c, share)
     base = np.concatenate(([0], np.cumsum([len(x) for x in subs])))
-    each = np.concatenate([np.full(len(x), n / len(x)) for x, n in zip(subs, share)])
-    data_blocks = np.maximum(1, np.ceil(each / BLOCK)).astype(int)
-    query_blocks = np.maximum(1, np.ceil(each * ask / (3 * BLOCK))).astype(int)
+    top, asks = nearest_cells(sample, c, subs, base, ask)
+    at, scale = top[np.arange(top.shape[1]) < asks[:, None]], total / len(sample)
+    data_blocks = np.maximum(1, np.ceil(np.bincount(top[:, 0], minlength=base[-1]) * scale / BLOCK)).astype(int)
+    query_blocks = np.maximum(1, np.ceil(np.bincount(at, minlength=base[-1]) * scale / (3 * BLOCK))).astype(int)
     router, plan = spark.sparkContext.broadcast((c, subs, base)), (data_blocks, query_blocks)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,6 +222,8 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
         return pd.DataFrame({"id": ids[query][row], "neighbour": near, "cosine": cos.astype(float)})
 
     routed = own.mapInPandas(route, "cell int, d int, q int, id long, data boolean, query boolean, scale float, v binary")
+    groups = int((data_blocks * query_blocks).sum())
+    routed = routed.repartition(min(20_000, 3 * groups), "cell", "d", "q")  # so that large cells seldom share a task
     found = routed.groupBy("cell", "d", "q").applyInPandas(look, "id long, neighbour long, cosine double")
     best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
     both = found.unionByName(copies).distinct()
