@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage
 
-SPIKE, SHARE, TIMES = 3, 0.02, 8.0
+SPIKE, SHARE, TIMES, NEAR = 3, 0.02, 8.0, 8
 HUNK = re.compile(r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@", re.M)
 #: Fixed value: the block that ends a binary patch.
 LAST_BLOCK = "HcmV?d00001"
@@ -152,17 +152,21 @@ def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def limits(facts: DataFrame) -> DataFrame:
-    """(source, unit, top, slack): sources with a spike at their greatest length."""
+    """(source, unit, top, slack): sources with a spike at their greatest length, in the unit in which it is higher."""
     distinct = facts.select(F.coalesce("source", F.lit("")).alias("source"), "same", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "n")).distinct()
     counted = distinct.groupBy("source", "unit", "n").agg(F.count("*").alias("k"))
-    tops = counted.groupBy("source", "unit").agg(F.max("n").alias("top"), F.sum("k").alias("total"))
-    slack = F.when(F.col("unit") == "bytes", 3).otherwise(0)
-    at = counted.join(tops, ["source", "unit"]).withColumn("slack", slack)
+    tops = counted.groupBy("source", "unit").agg(F.max("n").alias("most"), F.sum("k").alias("total"))
+    joined = counted.join(tops, ["source", "unit"])
+    # a mark put for half a character can stand a little beyond the limit, so the spike is looked for just below the maximum
+    peaks = joined.where(F.col("n") >= F.col("most") - NEAR).groupBy("source", "unit", "total").agg(F.max(F.struct("k", "n")).alias("peak")).select("source", "unit", "total", F.col("peak.n").alias("top"), F.col("peak.k").alias("height"))
+    at = counted.join(peaks, ["source", "unit"]).withColumn("slack", F.when(F.col("unit") == "bytes", 3).otherwise(0))
     here = F.sum(F.when(F.col("n") >= F.col("top") - F.col("slack"), F.col("k")).otherwise(0)).alias("here")
     near = F.sum(F.when((F.col("n") < F.col("top") - F.col("slack")) & (F.col("n") >= F.col("top") * 0.9), F.col("k")).otherwise(0)).alias("near")
-    tested = at.groupBy("source", "unit", "top", "total", "slack").agg(here, near)
+    tested = at.groupBy("source", "unit", "top", "height", "total", "slack").agg(here, near)
     chance = F.col("near") * (F.col("slack") + 1) / (F.col("top") * 0.1)
-    return tested.where((F.col("here") >= SPIKE) & (F.col("here") >= F.col("total") * SHARE) & (F.col("here") >= chance * TIMES)).select("source", "unit", "top", "slack")
+    passed = tested.where((F.col("here") >= SPIKE) & (F.col("here") >= F.col("total") * SHARE) & (F.col("here") >= chance * TIMES))
+    best = passed.groupBy("source").agg(F.max(F.struct("height", "unit", "top", "slack")).alias("best"))  # a field's limit has one unit
+    return best.select("source", "best.unit", "best.top", "best.slack")
 
 
 def judged(documents: DataFrame) -> DataFrame:
