@@ -21,10 +21,12 @@ def lexemes(text: Column, stem: bool = False) -> Column:
 
 def postings(texts: DataFrame, stem: bool = False) -> DataFrame:
     """(id, lexeme, pos) of texts (id, content); positions start at 1."""
-    words = texts.where("id is not null and content is not null").select("id", F.posexplode(tokens(F.col("content"))).alias("pos", "raw"))
+    good = texts.where("id is not null and content is not null")
+    if stem:  # a text at a time goes through Python; stop words keep their places as nulls
+        stems = good.select("id", stem_all(F.transform(tokens(F.col("content")), lambda w: F.when(~w.isin(STOP_WORDS), w))).alias("stems"))
+        return stems.select("id", F.posexplode("stems").alias("pos", "lexeme")).where("lexeme is not null").select("id", "lexeme", (F.col("pos") + 1).alias("pos"))
+    words = good.select("id", F.posexplode(tokens(F.col("content"))).alias("pos", "raw"))
     kept = words.where(~F.col("raw").isin(STOP_WORDS)).withColumn("pos", F.col("pos") + 1)
-    if stem:
-        kept = kept.withColumn("raw", F.element_at(stem_all(F.array("raw")), 1))
     return kept.select("id", F.col("raw").alias("lexeme"), "pos")
 
 
@@ -32,13 +34,17 @@ def query_lexemes(queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, lexeme, needed): the distinct lexemes of every question, and how many there are."""
     own = queries.where("qid is not null").select("qid", F.explode(F.array_distinct(lexemes(F.col("question"), False))).alias("lexeme")).where(~F.col("lexeme").isin(STOP_WORDS))
     if stem:
-        own = own.withColumn("lexeme", F.element_at(stem_all(F.array("lexeme")), 1)).distinct()
+        sets = own.withColumn("lexeme", F.element_at(stem_all(F.array("lexeme")), 1)).groupBy("qid").agg(F.collect_set("lexeme").alias("all"))
+        return sets.select("qid", F.explode("all").alias("lexeme"), F.size("all").cast("long").alias("needed"))
     return own.withColumn("needed", F.count("*").over(Window.partitionBy("qid")))
 
 
 def hits(index: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, id, lexeme, pos, needed) of the texts that have every lexeme of a question. Questions join postings by lexeme."""
-    both = index.join(query_lexemes(queries, stem), "lexeme")
+    asked = query_lexemes(queries, stem)
+    if stem:  # only what is asked for is shuffled; the distinct words asked for are no more than a vocabulary
+        index = index.join(F.broadcast(asked.select("lexeme").distinct()), "lexeme", "left_semi")
+    both = index.join(asked, "lexeme")
     have = F.size(F.collect_set("lexeme").over(Window.partitionBy("qid", "id")))
     return both.withColumn("have", have).where("have = needed").drop("have")
 

@@ -49,16 +49,18 @@ def _stored(rows: DataFrame) -> DataFrame:
 def answer_questions(
     queries: DataFrame, chunks: DataFrame, cache: DataFrame, now: Column,
     generate: Callable[[Column], Column] = models.first_chunk_answer, judge: Callable[[Column, Column], Column] = A.faithfulness,
+    stem: bool = True,
 ) -> DataFrame:
     """(qid, answer, score, from_cache, cacheable, key) of every question: cache, retrieval with an inflated k, rerank, prompt, answer, judge, gate.
 
-    queries: qid, question, qvec, top_k, threshold, search_mode; chunks: id, content, embedding.
+    queries: qid, question, qvec, top_k, threshold, search_mode; chunks: id, content, embedding. Texts and questions are stemmed alike, as the reference's
+    analyser is 'english'; stem=False is the form that SQL can say.
     """
     keyed = cut_lineage(queries).withColumn("key", C.response_key(F.col("question"), F.col("search_mode")))
     looked = cut_lineage(C.lookup(keyed.select("qid", "key"), cache, now))
     misses = keyed.join(looked.where("not hit").select("qid"), "qid", "left_semi")
     wide = misses.withColumn("top_k", F.greatest(F.col("top_k") * R.OVERFETCH, F.lit(20)))
-    found = R.dispatch(chunks.select("id", "embedding"), X.postings(chunks.select("id", "content")), wide).where("keep")
+    found = R.dispatch(chunks.select("id", "embedding"), X.postings(chunks.select("id", "content"), stem), wide, stem).where("keep")
     hits = found.join(chunks.select("id", "content"), "id").select("qid", "id", "content", "rank")
     best = cut_lineage(A.rerank(hits, misses.select("qid", "question", "top_k"), F.col("top_k")))  # few rows a question, read more than once below
     texts = best.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "content"))), lambda c: c["content"]).alias("texts"))

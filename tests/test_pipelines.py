@@ -30,6 +30,16 @@ def test_answers_and_cache(spark):
     assert not any(r["from_cache"] for r in late.collect())
 
 
+def test_answers_match_inflected_words(spark):
+    chunks, _ = small(spark)
+    now, empty = F.lit("2024-01-01").cast("timestamp"), spark.createDataFrame([], "key string, value string, expires_at timestamp")
+    q = spark.createDataFrame([(1, "sealing valves", 5, None, "keyword"), (2, "pumps failing", 5, None, "hybrid"), (3, "valves pumps", 5, None, "keyword")], "qid long, question string, top_k int, threshold double, search_mode string")
+    q = q.withColumn("qvec", F.lit(None).cast("array<double>"))  # only words can match
+    got = {r["qid"]: r["cacheable"] for r in P.answer_questions(q, chunks, empty, now).collect()}
+    assert got == {1: True, 2: True, 3: False}
+    assert not any(r["cacheable"] for r in P.answer_questions(q, chunks, empty, now, stem=False).collect())
+
+
 def test_embedding_cache(spark):
     now = F.lit("2024-01-01").cast("timestamp")
     t = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "id long, text string")
