@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 
 #: Queries whose vectors are sent to the workers at once; more queries take more blocks.
 QUERY_BLOCK = 2_048
+#: The reference's probes, for parity only: they find about 0.6 of the exact neighbours.
+PARITY_PROBES = 3
+#: What an index must find of the exact neighbours, what its sample must find beyond that (a few queries stray from the sample), and vectors in the sample.
+RECALL, MARGIN, SAMPLE = 0.9, 0.03, 512
 
 
 def norm(v: Column) -> Column:
@@ -113,9 +117,31 @@ def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     return vectors.where("id is not null and embedding is not null").select("id", "embedding").mapInPandas(nearest, "id long, embedding array<float>, list_id int")
 
 
-def ivf_topk(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, probes: int = 3) -> DataFrame:
-    """(qid, id, distance, rank) from the `probes` nearest lists of every query; lists join by list_id, so stored lists prune."""
+def _nearest_lists(centroids: DataFrame, queries: DataFrame, probes: int) -> DataFrame:
+    """(qid, list_id, nth): the `probes` nearest lists of every query."""
     near = exact_topk(centroids.select(F.col("list_id").cast("long").alias("id"), F.col("centroid").alias("embedding")), queries.select("qid", "qvec", F.lit(probes).alias("top_k")))
-    probe = near.select("qid", F.col("id").cast("int").alias("list_id")).join(queries.select("qid", "qvec", "top_k"), "qid")
+    return near.select("qid", F.col("id").cast("int").alias("list_id"), F.col("rank").alias("nth"))
+
+
+def ivf_recall(assigned: DataFrame, centroids: DataFrame, queries: DataFrame) -> list[float]:
+    """The share of exact_topk's rows that lie in the nearest list, the two nearest, and so on up to all lists; empty without any row."""
+    lists = centroids.count()
+    true = exact_topk(assigned, queries).select("qid", "id").join(assigned.select("id", "list_id"), "id")
+    counted = true.join(_nearest_lists(centroids, queries, lists), ["qid", "list_id"]).groupBy("qid", "id").agg(F.min("nth").alias("nth")).groupBy("nth").count()
+    at = {r["nth"]: r["count"] for r in counted.collect()}
+    return [float(x) for x in np.cumsum([at.get(i, 0) for i in range(1, lists + 1)]) / sum(at.values())] if at else []
+
+
+def ivf_probes(assigned: DataFrame, centroids: DataFrame, k: int = 10, least: float = RECALL + MARGIN) -> int:
+    """The fewest probes that find `least` of the exact k nearest, measured on SAMPLE vectors of the index itself; all lists if it is empty."""
+    good = assigned.where("exists(embedding, x -> x <> 0)")
+    some = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select(F.col("id").alias("qid"), F.col("embedding").cast("array<double>").alias("qvec"), F.lit(k).alias("top_k"))
+    found = ivf_recall(assigned, centroids, some)
+    return next((i for i, r in enumerate(found, 1) if r >= least), max(1, centroids.count()))
+
+
+def ivf_topk(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, probes: int = PARITY_PROBES) -> DataFrame:
+    """(qid, id, distance, rank) from the `probes` nearest lists of every query; lists join by list_id, so stored lists prune. `ivf_probes` tells how many reach the recall."""
+    probe = _nearest_lists(centroids, queries, probes).select("qid", "list_id").join(queries.select("qid", "qvec", "top_k"), "qid")
     scored = assigned.join(probe, "list_id").select("qid", "id", F.round(cosine_distance("embedding", "qvec"), 12).alias("distance"), F.col("top_k").alias("k"))
     return _ranked(scored.distinct(), F.col("k")).select("qid", "id", "distance", "rank")

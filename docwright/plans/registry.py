@@ -356,19 +356,25 @@ def ivf_assign(spark, d):
     return V.ivf_assign(v, V.ivf_fit(v)).select("id", "list_id")
 
 
-@query()
-def ivf_probe_topk(spark, d):
+def _ivf(spark, d):
+    """The inverted file of all vectors, its centroids, and as many probes as reach the recall."""
     v = v64(spark, d)
     c = V.ivf_fit(v)
-    return V.ivf_topk(V.ivf_assign(v, c), c, q64(spark, d)).withColumn("distance", F.round("distance", 6))
+    a = V.ivf_assign(v, c)
+    return a, c, V.ivf_probes(a, c)
+
+
+@query()
+def ivf_probe_topk(spark, d):
+    a, c, probes = _ivf(spark, d)
+    return V.ivf_topk(a, c, q64(spark, d), probes).withColumn("distance", F.round("distance", 6))
 
 
 @query()
 def ivf_recall_at_k(spark, d):
-    v, q = v64(spark, d), q64(spark, d)
-    c = V.ivf_fit(v)
-    exact = V.exact_topk(v, q).select("qid", "id")
-    got = V.ivf_topk(V.ivf_assign(v, c), c, q).select("qid", "id", F.lit(1).alias("hit"))
+    (a, c, probes), q = _ivf(spark, d), q64(spark, d)
+    exact = V.exact_topk(v64(spark, d), q).select("qid", "id")
+    got = V.ivf_topk(a, c, q, probes).select("qid", "id", F.lit(1).alias("hit"))
     return exact.join(got, ["qid", "id"], "left").groupBy("qid").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 

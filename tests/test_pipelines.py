@@ -5,6 +5,7 @@ from docwright.operators import fulltext as X
 from docwright.operators import store as S
 from docwright.operators import vector as V
 from docwright.plans import pipelines as P
+from docwright.plans import registry
 from pyspark.sql import functions as F
 
 
@@ -72,6 +73,16 @@ def test_stored_indexes(spark, tmp_path):
     assert sorted(r["pos"] for r in S.read_postings(spark, str(tmp_path / "p"), ["alpha"], 8).collect()) == [1, 3]
 
 
+def test_probes_reach_the_recall(spark, data):
+    run = lambda name: {(r["qid"], r["id"]) for r in registry.queries()[name](spark, data).select("qid", "id").collect()}
+    exact, got = run("semantic_topk"), run("ivf_probe_topk")
+    assert exact and len(exact & got) / len(exact) >= V.RECALL
+    vectors = spark.createDataFrame([(i, [float(i % 3 == k) for k in range(3)]) for i in range(30)], "id long, embedding array<float>")
+    c = V.ivf_fit(vectors, 3)
+    a = V.ivf_assign(vectors, c)
+    assert V.ivf_probes(a, c, k=10) == 1 and V.ivf_probes(a, c, least=1.1) == 3 and V.ivf_probes(a.where("false"), c) == 3
+
+
 def test_extraction_helpers(spark):
     df = spark.createDataFrame([([(1, " A ", 1), (2, "  ", 2), (1, None, 3)], [], [["x"]])], "toc array<struct<level:int,title:string,page:int>>, a array<array<string>>, b array<array<string>>")
     r = df.select(E.table_of_contents(F.col("toc")).alias("t"), E.first_tables(F.col("a"), F.col("b")).alias("f"), E.first_tables(F.col("a"), F.col("a")).alias("n")).first()
