@@ -7,10 +7,12 @@
    large, fitted on the workers from one row in 375 (nothing else is fitted on a sample). Every
    vector is indexed in its nearest cell and asks its `probes` nearest cells as far as their cosines are within `MARGIN`. A cell expected to hold more than `BLOCK`
    rows is dealt to blocks of data and of queries, so no task gets an unbounded group.
-3. In a block every vector has one projection on each of `LINES` fixed random lines, kept as a sorted array of levels. A
-   query's window on a line is centred on the query; virtual rehashing widens all windows at once, round by round, until k
-   vectors that collide with the query on at least `COLLISIONS` lines are verified within the radius the round vouches for.
-   Verified means: exact cosine of the two vectors (16-bit levels a number, error below 1e-4).
+3. In a block every vector has one projection on each of `LINES` fixed random lines, and each line is a sorted array. A
+   query's window on a line is centred on the query and found by binary search; virtual rehashing widens all windows with the
+   radius, round by round, and counts only what they grew by. The windows are bitmaps (those below the upper end without those below
+   the lower), so 64 vectors are counted by one machine operation. Vectors that reach the collision threshold, and no others, are verified: exact
+   cosine (16-bit levels a number, error below 1e-4). A query ends when k verified vectors stand within the round's radius, or when
+   `VERIFY` (in its own cell) or `VERIFY_AWAY` vectors beyond k would be verified; where more collide, those that collide most often are taken.
 4. The best k of all probed cells are kept; equal cosines go to the smaller id.
 
 Repeated rows of one id count once. Empty tables give empty results.
@@ -19,6 +21,7 @@ Repeated rows of one id count once. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erf, sqrt
 
 import numpy as np
 import pandas as pd
@@ -29,12 +32,16 @@ from pyspark.sql.window import Window
 from .common import cut_lineage
 
 K, DIM = 5, 384
-SAMPLE, CELL, CELLS, SUBS, BLOCK, PROBES, MARGIN = 16_384, 3_000, 2_048, 65_536, 12_000, 6, 0.1
-LINES, COLLISIONS, SEED = 40, 22, 11
+SAMPLE, CELL, CELLS, SUBS, BLOCK, PROBES, MARGIN = 16_384, 3_000, 2_048, 65_536, 6_000, 6, 0.1
+#: Random lines, boundaries of a sorted array, half width of a window in radii, standard deviations below the mean at which a count still passes, steps
+#: of the tighter threshold, queries counted at once.
+LINES, STEPS, WIDTH, DOUBT, TIGHTER, QUERIES, SEED = 255, 128, 1.3, 2.0, 6, 512, 11
+#: Radii of the rounds, as distances of unit vectors; at 2 every vector is inside.
+RADII = (0.85, 1.0, 1.2, 1.42, 2.0)
+#: A query ends once so many vectors beyond k are verified, in its own cell and in others.
+VERIFY, VERIFY_AWAY = 160, 40
 #: Kinds of vectors with many copies that are sent to all workers at most; more of them are joined by hash.
 HOT_SENT = 50_000
-#: Half widths of the windows, round by round, for lines scaled so that vectors at distance d differ by d on average (rms).
-WIDTHS = (0.9, 1.2, 1.6)
 
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
@@ -109,46 +116,141 @@ def nearest_cells(x: np.ndarray, c: np.ndarray, subs: list[np.ndarray], base: np
     return ids, ((sims >= sims[:, :1] - MARGIN) & (ids >= 0)).sum(axis=1)
 
 
-def collide(q: np.ndarray, x: np.ndarray, width: int, lines: range) -> np.ndarray:
-    """Of each query and vector, the number of lines on which the vector's level stands in the query's window."""
-    n = np.zeros((len(q), len(x)), np.uint8)
-    span = np.uint8(2 * width)
-    for j in lines:
-        n += (x[None, :, j] - (q[:, j, None] - np.int8(width))).view(np.uint8) <= span  # below the window wraps to a large number
-    return n
-
-
-def search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each query its up to k best (row, id, cosine) in one block."""
-    lines = np.random.default_rng(SEED).standard_normal((x.shape[1], LINES)).astype(np.float32)
-    step = 16.0  # levels a unit of distance; levels stay within +-62, so windows do not overflow
-    pq, px = (np.clip(np.rint(v @ lines * step), -62, 62).astype(np.int8) for v in (q, x))
-    px = np.asfortranarray(px)
-    own = np.argsort(xid, kind="stable")
-    place = own[np.minimum(np.searchsorted(xid, qid, sorter=own), len(xid) - 1)]
+class Counts:
+    """Collision counts of many (query, vector) pairs at once, one bit plane a binary digit: 64 pairs a machine word, added by full adders."""
+
+    def __init__(self, queries: int, words: int, digits: int):
+        self.planes = [np.zeros((queries, words), np.uint64) for _ in range(digits)]
+        self.waiting: list[np.ndarray | None] = [None] * digits
+
+    def add(self, bits: np.ndarray) -> None:
+        """Counts one more collision for every pair whose bit is set; `bits` is used up."""
+        for i, plane in enumerate(self.planes):
+            other, self.waiting[i] = self.waiting[i], None
+            if other is None:
+                self.waiting[i] = bits
+                return
+            odd = other ^ bits
+            carry = other & bits
+            carry |= odd & plane
+            plane ^= odd
+            bits = carry
+
+    def settle(self) -> None:
+        for i in range(len(self.planes)):
+            bits, self.waiting[i] = self.waiting[i], None
+            for plane in self.planes[i:] if bits is not None else ():
+                carry = plane & bits
+                plane ^= bits
+                bits = carry
+
+    def at_least(self, least: int, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The bitmap of the pairs that collided on at least so many lines."""
+        planes = [p[rows] for p in self.planes]
+        more = np.zeros_like(planes[0])
+        same = ~more
+        for i in range(len(planes) - 1, -1, -1):
+            if least >> i & 1:
+                same &= planes[i]
+            else:
+                more |= same & planes[i]
+                same &= ~planes[i]
+        return more | same
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.planes = [p[rows] for p in self.planes]
+
+
+class Lines:
+    """The sorted arrays of one block: a projection a line. Of each, every n / STEPS-th value, and the bitmap of the vectors that stand below it."""
+
+    def __init__(self, x: np.ndarray):
+        self.lines = np.random.default_rng(SEED).standard_normal((x.shape[1], LINES)).astype(np.float32)
+        n, levels = len(x), x @ self.lines
+        self.words = -(-n // 64)
+        cuts = np.linspace(0, n, min(STEPS, n) + 1).round().astype(int)
+        self.values: list[np.ndarray] = []
+        self.below: list[np.ndarray] = []
+        bits, rank = np.zeros((len(cuts), self.words * 64), np.uint8), np.empty(n, np.int32)
+        for j in range(LINES):
+            order = np.argsort(levels[:, j], kind="stable")
+            rank[order] = np.arange(n, dtype=np.int32)
+            bits[:, :n] = rank < cuts[:, None]
+            self.values.append(levels[order[cuts[1:-1]], j])
+            self.below.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+
+    def window(self, j: int, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+        """The window around each query on a line, as places in the sorted array."""
+        return np.searchsorted(self.values[j], at - width), np.searchsorted(self.values[j], at + width) + 1
+
+
+def needed_collisions(doubt: float = DOUBT) -> int:
+    """The collision threshold: what a vector just inside the radius reaches but for `doubt` standard deviations. Windows grow with the radius, so it serves all rounds."""
+    p = erf(WIDTH / sqrt(2))
+    return int(LINES * p - doubt * sqrt(LINES * p * (1 - p)))
+
+
+def search(qid: np.ndarray, q: np.ndarray, most: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each query its up to k best (row, id, cosine) in one block, of the vectors that reached the collision threshold."""
+    own, least = Lines(x), needed_collisions()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(q), 512):
-        rows = np.arange(at, min(at + 512, len(q)))
-        best = q[rows] @ x.T
-        itself = xid[place[rows]] == qid[rows]
-        best[np.flatnonzero(itself), place[rows][itself]] = -9
-        open_ = np.arange(len(rows))
-        for i, w in enumerate(WIDTHS):
-            last = i == len(WIDTHS) - 1
-            # a pair at distance d collides on a line with the probability that |N(0, d)| is below w; the round vouches for d up to 0.95 w
-            radius = -8.0 if last else 1 - (0.95 * w) ** 2 / 2
-            sims = best[open_]
-            r, c = np.nonzero((collide(pq[rows[open_]], px, min(int(w * step), 60), range(LINES)) >= COLLISIONS) & (sims >= radius))
-            val = sims[r, c]
-            order = np.lexsort((xid[c], -val, r))
-            r, c, val = r[order], c[order], val[order]
-            n = np.bincount(r, minlength=len(open_))
-            done = np.full(len(open_), True) if last else n >= k
-            take = (np.arange(len(r)) - (np.cumsum(n) - n)[r] < k) & done[r]
-            out.append((rows[open_[r[take]]], xid[c[take]], val[take]))
-            open_ = open_[~done]
-            if not len(open_):
+    for at in range(0, len(q), QUERIES):
+        rows = np.arange(at, min(at + QUERIES, len(q)))
+        levels = q[rows] @ own.lines
+        counts, open_ = Counts(len(rows), own.words, LINES.bit_length()), rows
+        near, verified = np.zeros(len(rows), int), np.zeros(len(rows), int)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        done = before = None
+        for radius in RADII:
+            windows = []
+            for j in range(LINES):
+                low, high = own.window(j, levels[open_ - at, j], WIDTH * radius)
+                ring = own.below[j][high]
+                ring ^= own.below[j][low]
+                if before is not None:  # only what the window grew by
+                    ring ^= own.below[j][before[j][1]]
+                    ring ^= own.below[j][before[j][0]]
+                counts.add(ring)
+                windows.append((low, high))
+            counts.settle()
+            hits = counts.at_least(least)
+            fresh = hits & ~done if done is not None else hits.copy()
+            room = most[open_] - verified[open_ - at]
+            full = crowded = np.bitwise_count(fresh).sum(axis=1, dtype=np.int64) > room
+            for least_here in range(least + TIGHTER, LINES + 1, TIGHTER):  # where too many collide often, those that do most often
+                some = np.flatnonzero(crowded)
+                if not len(some):
+                    break
+                tight = counts.at_least(least_here, some)
+                if done is not None:
+                    tight &= ~done[some]
+                left = np.bitwise_count(tight).sum(axis=1, dtype=np.int64)
+                enough = left > k
+                fresh[some[enough]] = tight[enough]
+                crowded = np.zeros(len(open_), bool)
+                crowded[some] = enough & (left > room[some])
+            place = np.flatnonzero(fresh)
+            i, bit = np.nonzero(np.unpackbits(fresh.ravel()[place].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            r, c = open_[place[i] // own.words], place[i] % own.words * 64 + bit
+            other = xid[c] != qid[r]
+            r, c = r[other], c[other]
+            cos = np.empty(len(r), np.float32)
+            for s in range(0, len(r), 4096):
+                cos[s : s + 4096] = np.einsum("ij,ij->i", q[r[s : s + 4096]], x[c[s : s + 4096]])
+            found.append((r, c, cos))
+            verified += np.bincount(r - at, minlength=len(rows))
+            near += np.bincount(r[cos >= 1 - radius**2 / 2] - at, minlength=len(rows))
+            on = np.flatnonzero((near[open_ - at] < k) & ~full)
+            if not len(on):
                 break
+            open_, done, before = open_[on], hits[on], [(a[on], b[on]) for a, b in windows]
+            counts.keep(on)
+        r, c, cos = (np.concatenate(v) for v in zip(*found))
+        order = np.lexsort((xid[c], -cos, r))
+        r, c, cos = r[order], c[order], cos[order]
+        n = np.bincount(r - at, minlength=len(rows))
+        take = np.arange(len(r)) - (np.cumsum(n) - n)[r - at] < k
+        out.append((r[take], xid[c[take]], cos[take]))
     return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.array([], int),) * 3
 
 
@@ -188,7 +290,7 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     top, asks = nearest_cells(sample, c, subs, base, ask)
     at, scale = top[np.arange(top.shape[1]) < asks[:, None]], total / len(sample)
     data_blocks = np.maximum(1, np.ceil(np.bincount(top[:, 0], minlength=base[-1]) * scale / BLOCK)).astype(int)
-    query_blocks = np.maximum(1, np.ceil(np.bincount(at, minlength=base[-1]) * scale / (3 * BLOCK))).astype(int)
+    query_blocks = np.maximum(1, np.ceil(np.bincount(at, minlength=base[-1]) * scale / (2 * BLOCK))).astype(int)
     router, plan = spark.sparkContext.broadcast((c, subs, base)), (data_blocks, query_blocks)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,17 +302,21 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
             top, asks = nearest_cells(x, *router.value, ask)
             scale = np.abs(x).max(axis=1)
             levels = np.rint(x / scale[:, None] * 32767).astype(np.int16)
-            rows = []
-            for i, (id_, cell) in enumerate(zip(b["id"].tolist(), top)):
-                v, s = levels[i].tobytes(), float(scale[i])
-                for p, at in enumerate(cell[: asks[i]].tolist()):
-                    qb, db = id_ % nq[at], (id_ // 7) % nd[at]
-                    for d in range(nd[at]):
-                        for q in range(nq[at]):
-                            data, query = p == 0 and d == db, q == qb
-                            if data or query:
-                                rows.append((at, d, q, id_, data, query, s, v))
-            yield pd.DataFrame(rows, columns=["cell", "d", "q", "id", "data", "query", "scale", "v"])
+            ids = b["id"].to_numpy(np.int64)
+            row, probe = np.nonzero(np.arange(top.shape[1]) < asks[:, None])
+            at, home = top[row, probe], probe == 0
+            own_d, own_q = ids[row] // 7 % nd[at], ids[row] % nq[at]
+            # a query goes to all data blocks of its cells, a vector's data to all query blocks of its home; where both meet they are one row
+            i = np.repeat(np.arange(len(row)), nd[at])
+            d = np.arange(len(i)) - np.repeat(np.cumsum(nd[at]) - nd[at], nd[at])
+            here = pd.DataFrame({"row": row[i], "cell": at[i], "d": d, "q": own_q[i], "data": home[i] & (d == own_d[i]), "query": True, "home": home[i]})
+            copies = np.where(home, nq[at], 0)
+            j = np.repeat(np.arange(len(row)), copies)
+            block = np.arange(len(j)) - np.repeat(np.cumsum(copies) - copies, copies)
+            more = pd.DataFrame({"row": row[j], "cell": at[j], "d": own_d[j], "q": block, "data": True, "query": False, "home": True})[block != own_q[j]]
+            out = pd.concat([here, more])
+            sent = np.array([v.tobytes() for v in levels], object)
+            yield out.assign(id=ids[out["row"]], scale=scale[out["row"]], v=sent[out["row"]])[["cell", "d", "q", "id", "data", "query", "home", "scale", "v"]]
 
     def look(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates(["id", "data", "query"])
@@ -218,10 +324,11 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
         ids, data, query = b["id"].to_numpy(), b["data"].to_numpy(), b["query"].to_numpy()
         if not data.any() or not query.any():
             return pd.DataFrame({"id": [], "neighbour": [], "cosine": []})
-        row, near, cos = search(ids[query], v[query], ids[data], v[data], k)
+        most = k + np.where(b["home"].to_numpy()[query], VERIFY, VERIFY_AWAY)
+        row, near, cos = search(ids[query], v[query], most, ids[data], v[data], k)
         return pd.DataFrame({"id": ids[query][row], "neighbour": near, "cosine": cos.astype(float)})
 
-    routed = own.mapInPandas(route, "cell int, d int, q int, id long, data boolean, query boolean, scale float, v binary")
+    routed = own.mapInPandas(route, "cell int, d int, q int, id long, data boolean, query boolean, home boolean, scale float, v binary")
     groups = int((data_blocks * query_blocks).sum())
     routed = routed.repartition(min(20_000, 3 * groups), "cell", "d", "q")  # so that large cells seldom share a task
     found = routed.groupBy("cell", "d", "q").applyInPandas(look, "id long, neighbour long, cosine double")
