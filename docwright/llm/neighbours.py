@@ -290,7 +290,7 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     top, asks = nearest_cells(sample, c, subs, base, ask)
     at, scale = top[np.arange(top.shape[1]) < asks[:, None]], total / len(sample)
     data_blocks = np.maximum(1, np.ceil(np.bincount(top[:, 0], minlength=base[-1]) * scale / BLOCK)).astype(int)
-    query_blocks = np.maximum(1, np.ceil(np.bincount(at, minlength=base[-1]) * scale / (2 * BLOCK))).astype(int)
+    query_blocks = np.maximum(1, np.ceil(np.bincount(at, minlength=base[-1]) * scale / (6 * BLOCK))).astype(int)
     router, plan = spark.sparkContext.broadcast((c, subs, base)), (data_blocks, query_blocks)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
