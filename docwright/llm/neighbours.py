@@ -122,6 +122,12 @@ class Counts:
     def __init__(self, queries: int, words: int, digits: int):
         self.planes = [np.zeros((queries, words), np.uint64) for _ in range(digits)]
         self.waiting: list[np.ndarray | None] = [None] * digits
+        self.idle: list[np.ndarray] = []
+        self.part = np.empty((queries, words), np.uint64)
+
+    def room(self) -> np.ndarray:
+        """An array for a bitmap, taken over from one that was counted."""
+        return self.idle.pop() if self.idle else np.empty_like(self.part)
 
     def add(self, bits: np.ndarray) -> None:
         """Counts one more collision for every pair whose bit is set; `bits` is used up."""
@@ -130,11 +136,12 @@ class Counts:
             if other is None:
                 self.waiting[i] = bits
                 return
-            odd = other ^ bits
-            carry = other & bits
-            carry |= odd & plane
-            plane ^= odd
-            bits = carry
+            np.bitwise_and(other, bits, out=self.part)
+            other ^= bits
+            np.bitwise_and(other, plane, out=bits)
+            bits |= self.part
+            plane ^= other
+            self.idle.append(other)
 
     def settle(self) -> None:
         for i in range(len(self.planes)):
@@ -159,6 +166,7 @@ class Counts:
 
     def keep(self, rows: np.ndarray) -> None:
         self.planes = [p[rows] for p in self.planes]
+        self.idle, self.part = [], np.empty_like(self.planes[0])
 
 
 class Lines:
@@ -171,13 +179,15 @@ class Lines:
         cuts = np.linspace(0, n, min(STEPS, n) + 1).round().astype(int)
         self.values: list[np.ndarray] = []
         self.below: list[np.ndarray] = []
-        bits, rank = np.zeros((len(cuts), self.words * 64), np.uint8), np.empty(n, np.int32)
+        step = np.searchsorted(cuts, np.arange(n), "right")  # of each rank the first boundary above it
+        word, bit = np.divmod(np.arange(n), 64)
+        bit = np.uint64(1) << bit.astype(np.uint64)
         for j in range(LINES):
             order = np.argsort(levels[:, j], kind="stable")
-            rank[order] = np.arange(n, dtype=np.int32)
-            bits[:, :n] = rank < cuts[:, None]
+            below = np.zeros((len(cuts), self.words), np.uint64)
+            np.bitwise_or.at(below, (step, word[order]), bit[order])
             self.values.append(levels[order[cuts[1:-1]], j])
-            self.below.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+            self.below.append(np.bitwise_or.accumulate(below, axis=0))
 
     def window(self, j: int, at: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
         """The window around each query on a line, as places in the sorted array."""
@@ -196,7 +206,7 @@ def search(qid: np.ndarray, q: np.ndarray, most: np.ndarray, xid: np.ndarray, x:
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(q), QUERIES):
         rows = np.arange(at, min(at + QUERIES, len(q)))
-        levels = q[rows] @ own.lines
+        levels = np.ascontiguousarray((q[rows] @ own.lines).T)
         counts, open_ = Counts(len(rows), own.words, LINES.bit_length()), rows
         near, verified = np.zeros(len(rows), int), np.zeros(len(rows), int)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -204,12 +214,11 @@ def search(qid: np.ndarray, q: np.ndarray, most: np.ndarray, xid: np.ndarray, x:
         for radius in RADII:
             windows = []
             for j in range(LINES):
-                low, high = own.window(j, levels[open_ - at, j], WIDTH * radius)
-                ring = own.below[j][high]
-                ring ^= own.below[j][low]
-                if before is not None:  # only what the window grew by
-                    ring ^= own.below[j][before[j][1]]
-                    ring ^= own.below[j][before[j][0]]
+                low, high = own.window(j, levels[j, open_ - at], WIDTH * radius)
+                ring, below = counts.room(), own.below[j]
+                np.take(below, high, axis=0, out=ring, mode="clip")
+                for edge in (low, *before[j]) if before is not None else (low,):  # of a wider window only what it grew by
+                    ring ^= np.take(below, edge, axis=0, out=counts.part, mode="clip")
                 counts.add(ring)
                 windows.append((low, high))
             counts.settle()
