@@ -63,12 +63,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents"))
 
 
+def p9_proofs(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.proofs(table(spark, d, "documents"))
+
+
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_members, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_rates)
+    made = (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_members, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_proofs, p9_rates)
     return {f.__name__: f for f in made}
 
 
