@@ -198,15 +198,13 @@ def limits(facts: DataFrame) -> DataFrame:
     return best.select("source", "best.unit", "best.top", "best.slack")
 
 
-def frames(facts: DataFrame) -> DataFrame:
-    """(frame): shapes of framing lines; none unless FRAMED of the texts without a header have one. At most 1 / SHAPE_SHARE rows."""
+def frames(facts: DataFrame) -> list[int]:
+    """Shapes of framing lines; none unless FRAMED of the texts without a header have one. At most 1 / SHAPE_SHARE of them."""
     own = facts.where("closing is not null").select("same", "opening", "closing").distinct()
-    total = own.agg(F.count("*").alias("total"))
-    often = own.where("closing <> 0").groupBy("closing").agg(F.count("*").alias("n")).join(F.broadcast(total)).where(F.col("n") >= F.col("total") * SHAPE_SHARE)
-    often = cut_lineage(often.select(F.col("closing").alias("frame")))
-    marked = own.join(F.broadcast(often.withColumnRenamed("frame", "opening").withColumn("a", F.lit(1))), "opening", "left").join(F.broadcast(often.withColumnRenamed("frame", "closing").withColumn("b", F.lit(1))), "closing", "left")
-    share = marked.agg(F.avg(F.when(F.coalesce("a", "b").isNotNull(), 1.0).otherwise(0.0)).alias("share")).where(F.col("share") >= FRAMED)
-    return often.join(F.broadcast(share)).select("frame")
+    total = own.count()
+    often = [r["closing"] for r in own.where("closing <> 0").groupBy("closing").agg(F.count("*").alias("n")).where(F.col("n") >= max(1, total * SHAPE_SHARE)).collect()]
+    marked = own.where(F.col("opening").isin(often) | F.col("closing").isin(often)).count()
+    return often if marked >= max(1, total * FRAMED) else []
 
 
 def cut_words(texts: DataFrame, facts: DataFrame) -> DataFrame:
@@ -227,10 +225,9 @@ def judged(documents: DataFrame) -> DataFrame:
     of = lambda unit: limit.where(F.col("unit") == unit).select(F.col("source").alias("key"), (F.col("top") - F.col("slack")).alias(f"{unit}_limit"))
     rows = facts.withColumn("key", F.coalesce("source", F.lit(""))).join(of("chars"), "key", "left").join(of("bytes"), "key", "left")
     rows = rows.join(cut_words(texts, facts).withColumn("rare", F.lit(True)), "word", "left")
-    rows = rows.join(F.broadcast(frame.agg(F.collect_list("frame").alias("frames"))))
     at_limit = F.coalesce(F.col("chars") >= F.col("chars_limit"), F.lit(False)) | F.coalesce(F.col("bytes") >= F.col("bytes_limit"), F.lit(False))
-    opened, closed = (F.coalesce(F.array_contains("frames", F.col(c)), F.lit(False)) for c in ("opening", "closing"))
-    unframed = (F.size("frames") > 0) & F.col("alone") & F.col("closing").isNotNull() & ~opened & ~closed
+    opened, closed = (F.coalesce(F.col(c).isin(frame), F.lit(False)) for c in ("opening", "closing"))
+    unframed = F.lit(bool(frame)) & F.col("alone") & F.col("closing").isNotNull() & ~opened & ~closed
     by_word = (F.col("verdict") == WORD) & F.coalesce("rare", F.lit(False))
     return rows.select("doc_id", "source", (at_limit & ~F.col("terminal")).alias("spike"), ((F.col("verdict") == CUT) | unframed | (opened & ~closed & F.col("framed"))).alias("structure"), by_word.alias("word")).distinct()
 

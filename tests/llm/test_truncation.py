@@ -60,6 +60,7 @@ def test_frames_are_learned(spark):
     rng = random.Random(4)
     stamp = lambda: f"{rng.choice(['A B', 'Sync-bot[x]'])} | 2020-01-{rng.randint(1, 28):02d} 00:00:00 +0000"
     texts = [("s", f"fix {i}\n\nIt was number {i}.\n\n{stamp()}") for i in range(40)] + [("s", f"{stamp()}\n\nfix {i}\n") for i in range(9)]
+    texts += [("s", stamp() + "\n\nfix\n\n" + "It was long. " * 9)]
     texts += [("s", "fix many\n\nIt was one of"), ("s", stamp() + "\n\nfix\n\nIt stays un")]
     got = found(spark, texts)
-    assert set(got) == {49, 50} and got[49][1] and got[50][1]
+    assert set(got) == {50, 51} and got[50][1] and got[51][1]
