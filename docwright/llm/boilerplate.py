@@ -29,11 +29,11 @@ def document_sites(blocks: DataFrame, metadata: DataFrame) -> DataFrame:
     return own.join(named, "document_id", "left").select("document_id", F.coalesce("named", "own", F.lit("")).alias("site"))
 
 
-def line_keys(blocks: DataFrame) -> DataFrame:
-    """(block_id, document_id, line_no, k1, k2): each line that has letters, with 96 bits of hash over its lower-cased letters."""
-    lines = blocks.where(F.col("document_id").isNotNull()).select("block_id", "document_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def line_keys(blocks: DataFrame, *more: str) -> DataFrame:
+    """(block_id, document_id, line_no, k1, k2) and more columns: each line that has letters, with 96 bits of hash over its lower-cased letters."""
+    lines = blocks.where(F.col("document_id").isNotNull()).select("block_id", "document_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     letters = F.regexp_replace(F.lower("line"), r"[^\p{L}]+", "")
-    return lines.withColumn("letters", letters).where("letters <> ''").select("block_id", "document_id", "line_no", F.xxhash64("letters").alias("k1"), F.hash("letters").alias("k2"))
+    return lines.withColumn("letters", letters).where("letters <> ''").select("block_id", "document_id", *more, "line_no", F.xxhash64("letters").alias("k1"), F.hash("letters").alias("k2"))
 
 
 def line_bitmaps(keys: DataFrame) -> DataFrame:
@@ -42,14 +42,19 @@ def line_bitmaps(keys: DataFrame) -> DataFrame:
     return keys.groupBy("site", "k1", "k2", F.floor(F.col("document_id") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def repeated_lines(blocks: DataFrame, metadata: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(block_id, line_no) of every line that stands in at least `share` of its site's documents and in at least `least`."""
-    sites = document_sites(blocks, metadata)
+def excessive_lines(blocks: DataFrame, sites: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(site, k1, k2) of the lines in at least `share` of their site's documents and in at least `least`."""
     keys = line_keys(blocks).join(sites, "document_id")
     often = line_bitmaps(keys).groupBy("site", "k1", "k2").agg(F.sum(F.bit_count("bits")).alias("docs")).where(F.col("docs") >= least)
     totals = sites.groupBy("site").agg(F.count("*").alias("total"))
-    excessive = often.join(totals, "site").where(F.col("docs") >= F.col("total") * share - 1e-9).select("site", "k1", "k2")
-    return keys.join(excessive, ["site", "k1", "k2"], "left_semi").select("block_id", "line_no").distinct()
+    return often.join(totals, "site").where(F.col("docs") >= F.col("total") * share - 1e-9).select("site", "k1", "k2")
+
+
+def repeated_lines(blocks: DataFrame, metadata: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """(block_id, line_no) of every line that stands in at least `share` of its site's documents and in at least `least`."""
+    sites = document_sites(blocks, metadata)
+    excessive = excessive_lines(blocks, sites, share, least)
+    return line_keys(blocks).join(sites, "document_id").join(excessive, ["site", "k1", "k2"], "left_semi").select("block_id", "line_no").distinct()
 
 
 def without_lines(blocks: DataFrame, found: DataFrame) -> DataFrame:

@@ -48,7 +48,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(sentences.both_kinds(table(spark, d, "app_document"), table(spark, d, "page_block")))
+    blocks = table(spark, d, "page_block")
+    texts = sentences.both_kinds(table(spark, d, "app_document"), blocks)
+    return sentences.sentence_units(sentences.with_notices(texts, blocks, table(spark, d, "pdf_metadata")))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,14 +1,19 @@
 """Problem 6: sentence units of documents in many languages and scripts.
 
-Document-centred disambiguation: whether a period ends a sentence is decided from the document itself where it can be. A
-first reading collects the document's unambiguous occurrences: words that stand before a period and a small letter, a
-comma or another mark are abbreviations here; words that stand with a capital inside a sentence are names here, so a
-capital after a doubtful period proves nothing for them. For words the document does not tell, the abbreviations that the
-whole corpus proves are the fallback, and `ABBREVIATIONS` before them. Scripts without case or spaces have their own terminators, which always end a sentence.
+Document-centred disambiguation: whether a period ends a sentence is decided from unambiguous occurrences elsewhere, first in the
+document itself, then in the corpus. No word lists are used.
 
-Rules: an empty line ends a unit; so does a site's notice line (before and after it). A single line break ends nothing.
-Nothing ends inside a quotation; after one that ends with a mark, a unit ends only if what follows can start a sentence.
-A list item's bullet or number belongs to its first sentence. Units never have white space at their ends.
+* A word that stands with its period before a small letter or a comma is an abbreviation; so is one that (twice or more) stands only with a capital and its period, never at
+  the end of a paragraph, and before capitals of different words that the document does not have in small letters (unless the corpus ends paragraphs with it). Abbreviations of the second kind, and those
+  that never end a paragraph and go on with a number, a small letter or a comma, end no sentence. An abbreviation that may end one does so before a
+  capital, unless the capital's word is a name.
+* A word with a capital inside a sentence is a name here, unless the document also has it in small letters.
+* The corpus tells the same from all its texts (`knowledge`), for words the document leaves open, and which words follow ordinals ("3. Mai").
+* Initials, halves of pairs ("z. B.", "E. U.") and the terminators of scripts without case or spaces go by the script's rules alone.
+
+Rules: an empty line ends a unit; a site's notice on a line of its own starts one and ends one. Notices are the lines that problem 1 finds
+repeated in the site's documents. A single line break ends nothing. Nothing ends inside a quotation; after one that ends with a mark, a unit ends
+only if what follows can start a sentence. A list item's bullet or number belongs to its first sentence. Units never have white space at their ends.
 
 Nulls, empty and blank texts have no units. Texts are read whole. Repeated rows of one id count once. Positions are code
 points. Empty tables give empty results; extra columns are ignored.
@@ -19,73 +24,153 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boilerplate import document_sites, line_keys, excessive_lines
 from .common import cut_lineage
 
-#: Titles that stand before a name; they never end a sentence.
-TITLES = {"mr", "mrs", "ms", "dr", "prof", "st", "hr", "fr", "sr", "sra", "dra", "m", "mme", "mlle", "डॉ", "श्री", "د", "أ"}
-#: Abbreviations that a number or a name follows; they never end a sentence.
-LEADING = {"no", "nos", "nr", "abs", "art", "fig", "figs", "sec", "secs", "núm", "num", "vol", "p", "pp", "approx", "ca", "env", "aprox", "eq", "ref", "ch", "cap", "pág", "vgl", "vs", "bzw", "e.g", "i.e", "z. b", "d. h", "u. a", "p. ej", "p. ex", "cf", "resp", "al"}
-#: Abbreviations that may end a sentence.
-ENDING = {"a.m", "p.m", "inc", "ltd", "co", "corp", "etc", "usw", "uu", "jr", "u.s", "ee. uu"}
-ABBREVIATIONS = TITLES | LEADING | ENDING
-#: Months, for ordinals before them.
-MONTHS = {"januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"}
-
-#: Texts that must prove a word before the corpus counts it as an abbreviation: at least so many, and at least this share.
+#: Texts that must show a word before the corpus speaks of it: at least so many, and at least this share of all.
 LEAST, SHARE = 5, 0.001
+#: Of a word's periods: the share at ends of paragraphs that one that ends no sentence may have (errors of writing), the share before small letters
+#: and commas that proves an abbreviation, the share of a word that may stand without its period, the share that one follower may have before it is a fixed phrase.
+STRAY, PROOF, BARE, FROZEN = 0.01, 0.2, 0.05, 0.5
+#: Of all places of a word with a capital, the share after a number and a period that makes the period an ordinal's.
+ORDINAL = 0.5
 GAP = re.compile(r"\n[^\S\n]*\n\s*")
 MARK = re.compile(r"[.!?…]+|[。！？｡।॥؟]+[.!?…]*")
 CLOSERS = "\"'”’»)]}“」』）】›"
 OPENERS = "([“„«\"'‘"
 SPACES = "     "
-QUOTES = re.compile(r"“[^“”\"]{1,400}?”|„[^„“”]{1,400}?[“”]|«[^«»]{1,400}?»|「[^「」]{1,400}?」|『[^『』]{1,400}?』|\"[^\"]{1,400}?\"", re.S)
+QUOTES = re.compile(r"“[^“”\"]+”?|„[^„“”]+[“”]|«[^«»]+»|「[^「」]+」|『[^『』]+』|\"[^\"]+\"", re.S)
 BULLET = re.compile(r"\s*(?:[•·▪▸◦*–—-]+|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)]|\d{1,3}(?:\.\d{1,3})+\.?)\s+")
-NOTICE = re.compile(
-    r"(?:©|\(c\)\s|copyright\b|last (?:reviewed|updated|modified)\b|share\s+this\b|sign up\b|subscribe\b|page \d+ of \d+|skip to\b|questions\? ask\b|nachdruck nur\b|we store small files\b|(?:posted|compiled|written) by\s|by\s+\w+\s+\w+,[^.\n]*\bdesk\s*$|text:\s+\w+\s+\w+,|\d+ readers found\b"
-    r"|this [\w-]+ notice is given\b|all rights reserved|[^\n.!?]{2,40} [›»>•|] [^\n.!?]{2,40} [›»>•|] )",
-    re.I,
-)
-HAN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-WORD_BEFORE = re.compile(r"([^\W\d_]+(?:[.]\s?[^\W\d_]+)*)$")
-SMALL_AFTER = re.compile(r"(?<![\w.])([^\W\d_]{1,6}(?:\.\s?[^\W\d_]{1,2})?)\.(?=\s+[a-zß-öø-ÿ]+(?![^\W\d_])|\s*,)")
+HAN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 NAME_INSIDE = re.compile(r"(?<=[a-zà-öø-ÿ,;] )([A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]{2,})")
+#: Where a word with its period stands: at a paragraph's end, before a small letter or a comma, before a digit, before another word.
+END, INNER, DIGIT, OTHER = range(4)
 
 
-def spoken_abbreviations(text: str) -> set[str]:
-    """Words that unambiguous occurrences in a text prove abbreviations."""
-    return {w for m in SMALL_AFTER.finditer(text) if len(w := m[1].lower()) <= 4 or w in ABBREVIATIONS}
+@dataclass
+class Knowledge:
+    """What is known of words: abbreviations that end no sentence, that may end one, words that are none, and what follows an ordinal."""
 
+    never: set[str] = field(default_factory=set)
+    may: set[str] = field(default_factory=set)
+    plain: set[str] = field(default_factory=set)
+    ordinal: set[str] = field(default_factory=set)
 
-def spoken(text: str) -> tuple[set[str], set[str]]:
-    """What the document itself tells: its abbreviations, and its names (words with a capital inside sentences)."""
-    return spoken_abbreviations(text), set(NAME_INSIDE.findall(text))
 
+def bare(token: str) -> str:
+    return token.lstrip(OPENERS).rstrip(".,;:!?" + CLOSERS)
 
-def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, docs): of each batch, how many texts prove a word an abbreviation; the word '' counts the texts."""
-    for b in batches:
-        seen: Counter[str] = Counter()
-        for text in b["text"]:
-            seen[""] += 1
-            seen.update(spoken_abbreviations(text))
-        yield pd.DataFrame({"word": list(seen), "docs": list(seen.values())})
 
+def lexical(token: str) -> str:
+    """The word of a token that ends with a period or before it: openers and elisions ("l’") off."""
+    return token.lstrip(OPENERS).rsplit("’", 1)[-1].rsplit("'", 1)[-1]
+
+
+def periods(text: str) -> Iterator[tuple[str, int, str]]:
+    """(word, where, follower) of every word with a single period; words as they stand."""
+    for paragraph in GAP.split(text):
+        if "." not in paragraph:
+            continue
+        tokens = paragraph.split()
+        for i, token in enumerate(tokens):
+            if token[-1] == "." and token[-2:] != "..":
+                word = lexical(token[:-1])
+                if not word or not (word[0].isalpha() or word[0].isdigit()):
+                    continue
+                follower = tokens[i + 1].lstrip(OPENERS) if i + 1 < len(tokens) else ""
+                first = follower[:1]
+                yield word, END if not first else INNER if first.islower() and (w := bare(follower)) == w.lower() else DIGIT if first.isdigit() else OTHER, follower
+            elif token[-2:] == ".," and (word := lexical(token[:-2]))[:1].isalpha():
+                yield word, INNER, ""
+
+
+def spoken(text: str) -> tuple[Knowledge, set[str]]:
+    """What a document itself tells: of its abbreviations, and its names (capitals inside sentences)."""
+    known, names = Knowledge(), set(NAME_INSIDE.findall(text))
+    places: dict[str, tuple[list[int], set[str]]] = {}
+    for word, where, follower in periods(text):
+        if word[0].isdigit():
+            continue
+        n, followers = places.setdefault(word.lower(), ([0, 0, 0, 0], set()))
+        n[where] += 1
+        if where == OTHER:
+            followers.add(bare(follower) if word[0].isupper() and follower[0].isupper() else "")
+    words: set[str] | None = None
+    for word, (n, followers) in places.items():
+        if n[INNER]:
+            known.may.add(word)
+        elif n[END]:
+            known.plain.add(word)
+        elif len(followers) > 1 and "" not in followers and not n[DIGIT]:
+            words = {bare(t) if t[-1] != "." else t.lstrip(OPENERS) for t in text.split()} if words is None else words
+            if not words & {word, word.capitalize()} and not words & {f.lower() for f in followers}:
+                known.never.add(word)
+    names -= {x for x in names if re.search(rf"(?<!\w){x.lower()}(?!\w)", text)} if known.may else set()
+    return known, names
 
-def corpus_abbreviations(texts: DataFrame) -> frozenset[str]:
-    """The corpus fallback: words proved abbreviations in at least `LEAST` texts and one text in a thousand (`SHARE`).
 
-    A text proves a bounded number of words (it has as many as short words before periods), so with E of them a text on
-    average, at most E / SHARE words can pass, however large the corpus: what is sent to the workers does not grow with it.
+def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, word, follower, n, texts): of each batch the words' places by kind, how often a word stands at all ('any'), and the number of texts ('')."""
+    for b in batches:
+        seen: Counter[tuple[str, str, str]] = Counter()
+        held: Counter[tuple[str, str, str]] = Counter()
+        tokens: Counter[str] = Counter()
+        for text in b["text"]:
+            own: Counter[tuple[str, str, str]] = Counter()
+            for word, where, follower in periods(text):
+                if word[0].isdigit():
+                    if where == OTHER and follower[0].isupper():
+                        own["ordinal", bare(follower), ""] += 1
+                else:
+                    own["EIDO"[where], word.lower(), bare(follower) if where == OTHER else ""] += 1
+            seen.update(own)
+            held.update(dict.fromkeys(own, 1))
+            tokens.update(text.split())
+        asked = {w for k, w, _ in seen if k != "ordinal"}
+        capital = {w for k, w, _ in seen if k == "ordinal"}
+        for token, n in tokens.items():
+            w = token.lstrip(OPENERS).rstrip(",;:!?" + CLOSERS)
+            if (low := w.lower()) in asked:
+                seen["bare", low, ""] += n
+            if (w := w.rstrip(".")) in capital:
+                seen["any", w, ""] += n
+        rows = [(k, w, f, n, held.get((k, w, f), 0)) for (k, w, f), n in seen.items()]
+        yield pd.DataFrame([*rows, ("", "", "", len(b), len(b))], columns=["kind", "word", "follower", "n", "texts"])
+
+
+def knowledge(texts: DataFrame) -> Knowledge:
+    """What the corpus tells, from all texts (text).
+
+    Only words that at least `LEAST` texts and one text in a thousand (`SHARE`) show with a period. A text shows a bounded number of words
+    (it has as many as periods), so with E of them a text on average at most E / SHARE words pass, however large the corpus: what is
+    collected and sent to the workers does not grow with it.
     """
-    rows = cut_lineage(texts.select("text").mapInPandas(evidence, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs")))
-    total = rows.where("word = ''").first()
-    least = max(LEAST, total["docs"] * SHARE) if total else LEAST
-    return frozenset(r["word"] for r in rows.where((F.col("word") != "") & (F.col("docs") >= least)).select("word").collect())
+    rows = texts.select("text").mapInPandas(evidence, "kind string, word string, follower string, n long, texts long").groupBy("kind", "word", "follower").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    rows = cut_lineage(rows)
+    total = rows.where("kind = ''").agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST, total * SHARE)
+    of = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), F.col("n")).otherwise(0))
+    shown = F.sum(F.when(F.col("kind").isin("E", "I", "D", "O"), F.col("texts")).otherwise(0))
+    words = rows.where("kind not in ('', 'ordinal', 'any')").groupBy("word").agg(
+        of("E", "I", "D", "O").alias("n"), of("E").alias("end"), of("I").alias("inner"), of("D").alias("digit"), of("bare").alias("bare"),
+        F.sum(F.when(F.col("kind") == "O", 1).otherwise(0)).alias("followers"), F.max(F.when(F.col("kind") == "O", F.col("n"))).alias("often"), shown.alias("texts"),
+    ).where(F.col("texts") >= least)
+    ends, inner = F.col("end") > F.col("n") * STRAY, F.col("inner") >= F.col("n") * PROOF
+    leads = F.col("inner") + F.col("digit") >= F.col("n") / 2
+    titles = (F.col("bare") <= F.col("n") * BARE) & (F.col("followers") >= LEAST) & (F.col("often") <= F.col("n") * FROZEN)
+    kind = F.when(~ends & (leads | titles), "never").when(inner, "may").when(ends, "plain")
+    out = Knowledge()
+    for r in words.select("word", kind.alias("kind")).where("kind is not null").collect():
+        getattr(out, r["kind"]).add(r["word"])
+    dates = rows.where("kind in ('ordinal', 'any')").groupBy("word").agg(of("ordinal").alias("n"), of("any").alias("any"), F.sum("texts").alias("texts"))
+    out.ordinal = {r["word"] for r in dates.where((F.col("texts") >= least) & (F.col("n") >= F.col("any") * ORDINAL)).select("word").collect()}
+    return out
 
 
 def can_start(text: str, at: int, end: int) -> str:
@@ -105,7 +190,7 @@ def can_start(text: str, at: int, end: int) -> str:
     return "other"
 
 
-def ends(text: str, start: int, m_start: int, m_end: int, after: int, end: int, short: set[str], names: set[str]) -> bool:
+def ends(text: str, start: int, m_start: int, m_end: int, after: int, end: int, own: Knowledge, names: set[str], corpus: Knowledge) -> bool:
     """Whether the marks at m_start..m_end, with their closers up to `after`, end a sentence; text[after:end] holds more."""
     nxt = after
     while nxt < end and text[nxt].isspace():
@@ -128,76 +213,62 @@ def ends(text: str, start: int, m_start: int, m_end: int, after: int, end: int,
         if kind == "open":
             return before.isalpha() and text[nxt] in "“„«¿¡「"
         following = text[nxt + 1 : nxt + 2]
-        word = WORD_BEFORE.search(text, max(start, m_start - 24), m_start)
-        small = bool(word) and len(word[1]) > 2 and word[1][-1].islower()
+        small = before.islower() and m_start - start > 2 and text[m_start - 3 : m_start].isalpha()
         return kind == "upper" and (following.islower() or following in "’' " and bool(following)) and (small or mark != "." and before.isalnum() or before.isdigit() and following.islower())
     if "!" in mark or "?" in mark or "…" in mark or len(mark) > 1:
         return kind != "lower" and not (kind == "other" and text[nxt] in ",;:)»”–-")
     # a single period, white space after it
     if closed:
         return kind in ("upper", "digit", "caseless", "open") or kind == "other" and text[nxt] not in ",;:)»”–-"
-    if text[max(start, m_start - 8) : m_start].split(" ")[-1].split("\n")[-1].lstrip(OPENERS).lower() in TITLES:
+    at = m_start
+    while at > start and not text[at - 1].isspace():
+        at -= 1
+    word = lexical(text[at:m_start])
+    low = word.lower()
+    if kind == "lower" or kind == "other" and text[nxt] in ",;:)»”":
         return False
-    word = WORD_BEFORE.search(text, max(start, m_start - 24), m_start)
-    if word:
-        w = word[1].lower()
-        last = w.rsplit(".", 1)[-1].strip()
-        if w in TITLES or last in TITLES and len(last) > 1:
-            return False
-        if w in LEADING or last in LEADING and len(last) > 1:
-            return False
-        if len(last) == 1 and word[1][-1].isupper() and kind in ("upper", "other"):
-            return False  # an initial
-        if len(last) == 1 and (last in LEADING and kind == "digit" or text[nxt + 1 : nxt + 2] == "." and text[nxt].isalpha()):
-            return False  # a page number, or the first half of a pair such as "z. B."
-        if w in ENDING or last in ENDING:
-            return kind in ("upper", "open") and text[nxt : nxt + 3] not in ("UU.",)
-        if last == "ee" and text[nxt : nxt + 2] == "UU":
-            return False
-        if kind == "upper" and last in short and not last.isdigit():
-            name = re.match(r"\w+", text[nxt:end])
-            return not (name and name[0] in names)
-    if kind in ("lower",):
+    if word.isdigit():
+        return not (kind == "upper" and re.match(r"\w+", text[nxt:end])[0] in corpus.ordinal)
+    last = word.rsplit(".", 1)[-1]
+    if len(last) == 1 and last.isalpha() and (last.isupper() and kind in ("upper", "other") or text[nxt + 1 : nxt + 2] == "." and text[nxt].isalpha()):
+        return False  # an initial, or the first half of a pair
+    if word.isupper() and text[nxt : nxt + len(word)].isupper() and text[nxt + len(word) : nxt + len(word) + 1] == ".":
+        return False  # a pair of the same length, such as "EE. UU."
+    if low in own.never and low not in corpus.plain or low in corpus.never and low not in own.plain:
         return False
-    if before.isdigit() and kind == "upper":
-        name = re.match(r"\w+", text[nxt:end])
-        if name and name[0].lower() in MONTHS:
+    if low in own.may or low in corpus.may and low not in own.plain:
+        if kind == "digit":
             return False
-    return not (kind == "other" and text[nxt] in ",;:)»”")
+        name = re.match(r"\w+", text[nxt:end])
+        return not (name and name[0] in names)
+    return True
+
+
+def segments(text: str, notices: set[int] = frozenset()) -> Iterator[tuple[int, int]]:
+    """Stretches that no unit crosses: between empty lines, and around notices (given by line numbers)."""
+    cuts = [(g.start(), g.end()) for g in GAP.finditer(text)]
+    if notices:
+        at = 0
+        for i, line in enumerate(text.split("\n")):
+            if i in notices and line.strip():
+                cuts += [(max(0, at - 1), at), (at + len(line), at + len(line) + 1)]
+            at += len(line) + 1
+        cuts.sort()
+    at = 0
+    for start, end in [*cuts, (len(text), len(text))]:
+        if at < start:
+            yield at, start
+        at = max(at, end)
 
 
-def segments(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that no unit crosses: between empty lines, and around notice lines."""
-    at = 0
-    for gap in [*GAP.finditer(text), None]:
-        stop = gap.start() if gap else len(text)
-        if "\n" in text[at:stop]:
-            line = start = at
-            while line < stop:
-                n = text.find("\n", line, stop)
-                n = stop if n < 0 else n
-                head = line
-                while head < n and text[head].isspace():
-                    head += 1
-                if NOTICE.match(text, head, n):
-                    if start < line:
-                        yield start, line
-                    yield line, n
-                    start = n
-                line = n + 1
-            if start < stop:
-                yield start, stop
-        else:
-            yield at, stop
-        at = gap.end() if gap else stop
-
-
-def sentences(text: str | None, corpus: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
-    """[start, end) of every sentence unit of a text; corpus: abbreviations known from elsewhere."""
+NOTHING = Knowledge()
+
+
+def sentences(text: str | None, corpus: Knowledge = NOTHING, notices: set[int] = frozenset()) -> list[tuple[int, int]]:
+    """[start, end) of every sentence unit of a text; corpus: what is known from elsewhere; notices: numbers of the lines that stand alone."""
     if not text:
         return []
-    short, names = spoken(text)
-    short |= corpus
+    own, names = spoken(text) if "." in text else (NOTHING, set())
     out: list[tuple[int, int]] = []
 
     def add(s: int, e: int) -> None:
@@ -208,7 +279,7 @@ def sentences(text: str | None, corpus: frozenset[str] = frozenset()) -> list[tu
         if s < e:
             out.append((s, e))
 
-    for start, stop in segments(text):
+    for start, stop in segments(text, notices):
         inside = [q.span() for q in QUOTES.finditer(text, start, stop)]
         q = 0
         bullet = BULLET.match(text, start, stop)
@@ -231,7 +302,7 @@ def sentences(text: str | None, corpus: frozenset[str] = frozenset()) -> list[tu
                 after += 1
             if after < first:
                 continue
-            if ends(text, first, m.start(), m.end(), after, stop, short, names):
+            if ends(text, first, m.start(), m.end(), after, stop, own, names, corpus):
                 add(first, after)
                 first = after
         add(first, stop)
@@ -239,19 +310,39 @@ def sentences(text: str | None, corpus: frozenset[str] = frozenset()) -> list[tu
 
 
 def sentence_units(texts: DataFrame) -> DataFrame:
-    """(unit_kind, unit_id, start_char, end_char) of texts (unit_kind, unit_id, text). Rows repeated under one id give their units once."""
-    good = texts.where("unit_id is not null and text is not null and text <> ''").select("unit_kind", "unit_id", "text")
-    corpus = corpus_abbreviations(good)
+    """(unit_kind, unit_id, start_char, end_char) of texts (unit_kind, unit_id, text, optionally notices array<int>). Rows repeated under one id give their units once."""
+    notices = F.col("notices") if "notices" in texts.columns else F.lit(None).cast("array<int>")
+    good = texts.where("unit_id is not null and text is not null and text <> ''").select("unit_kind", "unit_id", "text", notices.alias("notices"))
+    corpus = knowledge(good)
 
     def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(kind, i, s, e) for kind, i, text in zip(b["unit_kind"].tolist(), b["unit_id"].tolist(), b["text"].tolist()) for s, e in sentences(text, corpus)]
+            rows = []
+            for kind, i, text, lines in zip(b["unit_kind"].tolist(), b["unit_id"].tolist(), b["text"].tolist(), b["notices"].tolist()):
+                rows += [(kind, i, s, e) for s, e in sentences(text, corpus, set(lines) if lines is not None else NOTHING_SET)]
             yield pd.DataFrame(rows, columns=["unit_kind", "unit_id", "start_char", "end_char"])
 
     return good.mapInPandas(units, "unit_kind string, unit_id long, start_char int, end_char int").distinct()
 
 
+NOTHING_SET: frozenset[int] = frozenset()
+
+
+def with_notices(texts: DataFrame, blocks: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Adds `notices`, the numbers of each text's lines that problem 1 finds repeated in its site. texts: unit_kind, unit_id, document_id, text.
+
+    Only texts in which a line stands next to another one can need it.
+    """
+    sites = cut_lineage(document_sites(blocks, metadata))
+    excessive = cut_lineage(excessive_lines(blocks, sites))
+    several = texts.where(r"document_id is not null and text rlike '\\n[^\n]*\\S'").select("unit_kind", F.col("unit_id").alias("block_id"), "document_id", "text")
+    lines = line_keys(several, "unit_kind").join(sites, "document_id").join(excessive, ["site", "k1", "k2"], "left_semi")
+    of_text = lines.groupBy("unit_kind", F.col("block_id").alias("unit_id")).agg(F.collect_set("line_no").alias("notices"))
+    return texts.join(of_text, ["unit_kind", "unit_id"], "left")
+
+
 def both_kinds(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    return documents.select(F.lit("document").alias("unit_kind"), F.col("id").alias("unit_id"), F.col("content").alias("text")).unionByName(
-        blocks.select(F.lit("block").alias("unit_kind"), F.col("block_id").alias("unit_id"), "text")
+    """(unit_kind, unit_id, document_id, text) of documents and blocks."""
+    return documents.select(F.lit("document").alias("unit_kind"), F.col("id").alias("unit_id"), F.col("id").alias("document_id"), F.col("content").alias("text")).unionByName(
+        blocks.select(F.lit("block").alias("unit_kind"), F.col("block_id").alias("unit_id"), "document_id", "text")
     )

@@ -4,7 +4,7 @@ Places where a text may be cut have a penalty: an empty line 0, a sentence end 1
 character 60. Inner places are offered only inside sentences that could not stand in one piece with an overlap. A cut
 fixes what the next piece repeats: the longest run of whole sentences before it of at most `OVERLAP` characters. The
 program minimises the sum of the penalties and of the squared imbalance of the pieces' sizes (as shares of the limit),
-under the hard limit of `LIMIT` characters a piece, its overlap included.
+under the hard limit of `LIMIT` characters a piece, its overlap included. `no_boundary` tells that the path cut a sentence above the limit.
 
 Nulls, empty and blank contents give no piece; a content within the limit is one piece, its ends trimmed. Repeated rows of one id
 count once. An audited piece without its document, or that does not stand in the document's content, can only have a wrong
@@ -13,7 +13,8 @@ overlap; a null `overlap_tokens_prev` is never right. Lengths are code points. E
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,11 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import strip
-from .sentences import sentences
+from .sentences import NOTHING, Knowledge, knowledge, sentences
 
 LIMIT, OVERLAP = 1_600, 243
 PENALTY = {"paragraph": 0.0, "sentence": 1.0, "space": 12.0, "inside": 60.0}
 BALANCE = 4.0
+#: Where a stretch without white space must be cut, places stand this often a limit.
+GRID = 64
+BLANK = re.compile(r"\s+")
 
 
 def places(text: str, units: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, int, float]]:
@@ -33,34 +37,28 @@ def places(text: str, units: list[tuple[int, int]], limit: int, overlap: int) ->
     out = []
     for k, (s, e) in enumerate(units):
         if e - s > limit - overlap:
-            last = s
-            for i in range(s + 1, e):
-                if text[i].isspace() and not text[i - 1].isspace():
-                    r = i
-                    while r < e and text[r].isspace():
-                        r += 1
-                    if r < e:
-                        out.append((i, r, PENALTY["space"]))
-                        last = r
-                elif i - last >= limit // 8 and not text[i].isspace() and not text[i - 1].isspace():
-                    out.append((i, i, PENALTY["inside"]))
-                    last = i
+            blank = [(m.start(), m.end()) for m in BLANK.finditer(text, s, e)]
+            words = [s, *(r for _, r in blank)], [*(l for l, _ in blank), e]
+            for a, b, cut in zip(*words, [*blank, None]):
+                if b - a > limit - overlap:  # nothing but characters, all alike: a fine grid of them
+                    out += [(i, i, PENALTY["inside"]) for i in range(a + max(1, limit // GRID), b, max(1, limit // GRID))]
+                if cut:
+                    out.append((*cut, PENALTY["space"]))
         if k + 1 < len(units):
             gap = text[e : units[k + 1][0]]
             out.append((e, units[k + 1][0], PENALTY["paragraph" if gap.count("\n") > 1 else "sentence"]))
     return out
 
 
-def split(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], int]:
-    """(start, end, characters shared with the piece before) of the pieces, and the length of the longest sentence."""
+def split(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, corpus: Knowledge = NOTHING) -> tuple[list[tuple[int, int, int]], bool]:
+    """(start, end, characters shared with the piece before) of the pieces, and whether the path had to cut a sentence longer than the limit."""
     if not text or not text.strip():
-        return [], 0
+        return [], False
     first = len(text) - len(text.lstrip())
     last = len(text.rstrip())
-    units = sentences(text)
-    longest = max((e - s for s, e in units), default=0)
     if last - first <= limit:
-        return [(first, last, 0)], longest
+        return [(first, last, 0)], False
+    units = sentences(text, corpus)
     starts = [s for s, _ in units]
     nodes = [(first, first, 0.0), *places(text, units, limit, overlap), (last, last, 0.0)]
 
@@ -90,41 +88,46 @@ def split(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple
     while j > 0:
         path.append((best[j][1], j))
         j = best[j][1]
-    pieces = []
+    pieces, forced, cuts = [], False, []
     for i, j in reversed(path):
         end, start = nodes[j][0], begin[i]
         if end - start > limit:
             start = nodes[i][1]
         pieces.append((start, end, max(0, nodes[i][0] - start) if i else 0))
-    return pieces, longest
+        if nodes[j][2] >= PENALTY["space"]:
+            cuts.append(end)
+    for at in cuts:  # a cut inside a sentence was forced if the whole sentence would stand in no piece
+        s, e = units[bisect_right(starts, at - 1) - 1]
+        forced |= e - s > limit
+    return pieces, forced
 
 
 def approx_tokens(n: int) -> int:
     return max(1, n // 4) if n else 0
 
 
-def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(document_id, chunk_index, content, overlap_tokens_prev, longest_sentence, pieces, length) of every document."""
+def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, longer_only: bool = False) -> DataFrame:
+    """(document_id, chunk_index, content, overlap_tokens_prev, start, forced) of every document (or of those above the limit): its pieces, and whether its path cut a sentence above the limit."""
+    good = documents.where("id is not null and content is not null").select("id", "content")
+    corpus = knowledge(good.select(F.col("content").alias("text")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, t in zip(b["id"].tolist(), b["content"].tolist()):
-                pieces, longest = split(t, limit, overlap)
-                rows += [(i, k, t[s:e], approx_tokens(n), longest, len(pieces), len(t.strip())) for k, (s, e, n) in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "overlap_tokens_prev", "longest_sentence", "pieces", "length"])
+                pieces, forced = split(t, limit, overlap, corpus)
+                rows += [(i, k, t[s:e], approx_tokens(n), s, forced) for k, (s, e, n) in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "overlap_tokens_prev", "start", "forced"])
 
-    schema = "document_id long, chunk_index int, content string, overlap_tokens_prev int, longest_sentence int, pieces int, length int"
-    good = documents.where("id is not null and content is not null").select("id", "content")
-    return good.mapInPandas(cut, schema)
+    asked = good.where(F.length(strip(F.col("content"))) > limit) if longer_only else good
+    return asked.mapInPandas(cut, "document_id long, chunk_index int, content string, overlap_tokens_prev int, start int, forced boolean")
 
 
 def oversized(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(document_id, kind): `oversized`, and `no_boundary` where the program had to cut a sentence."""
-    long = documents.where(F.length(strip(F.col("content"))) > limit)
-    first = split_documents(long, limit).where((F.col("chunk_index") == 0) & (F.col("length") > limit))
-    kinds = F.when(F.col("longest_sentence") > limit, F.array(F.lit("oversized"), F.lit("no_boundary"))).otherwise(F.array(F.lit("oversized")))
-    return first.select("document_id", F.explode(kinds).alias("kind")).distinct()
+    """(document_id, kind): `oversized` where the program made more than one piece, and `no_boundary` where its path had to cut a sentence above the limit."""
+    second = split_documents(documents, limit, longer_only=True).where("chunk_index = 1")
+    kinds = F.when(F.col("forced"), F.array(F.lit("oversized"), F.lit("no_boundary"))).otherwise(F.array(F.lit("oversized")))
+    return second.select("document_id", F.explode(kinds).alias("kind")).distinct()
 
 
 def shared(before: str, here: str) -> int:
@@ -153,7 +156,7 @@ def audit(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """(document_id, chunk_index, kind) of stored text pieces cut in a word or with a wrong overlap."""
     stored = chunks.where("document_id is not null and chunk_index is not null and content is not null and content <> ''")
     text = stored.where("chunk_type = 'text'").select("document_id", "chunk_index", "content", "overlap_tokens_prev")
-    whole = documents.where("id is not null and content is not null").select(F.col("id").alias("document_id"), F.col("content").alias("whole"))
+    whole = documents.where("id is not null and content is not null").groupBy(F.col("id").alias("document_id")).agg(F.max("content").alias("whole"))
     at, size = F.col("at"), F.length("content")
     cut = (
         text.select("document_id", "chunk_index", "content").join(whole, "document_id")
