@@ -61,6 +61,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p8_paraphrased(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.paraphrased(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncated(table(spark, d, "documents"))
 
@@ -74,7 +78,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_members, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_proofs, p9_rates)
+    made = (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_members, p5_found, p6_found, p7_ids, p8_found, p8_paraphrased, p9_found, p9_proofs, p9_rates)
     return {f.__name__: f for f in made}
 
 
