@@ -90,16 +90,18 @@ def periods(text: str) -> Iterator[tuple[str, int, str]]:
                 yield word, INNER, ""
 
 
-def spoken(text: str) -> tuple[Knowledge, set[str]]:
-    """What a document itself tells: of its abbreviations, and its names (capitals inside sentences)."""
-    known, names = Knowledge(), set(NAME_INSIDE.findall(text))
+def spoken(text: str, corpus: Knowledge) -> tuple[Knowledge, set[str]]:
+    """What a document itself tells: of its abbreviations, and which words after those that may end a sentence are names (capitals inside sentences, never small)."""
+    known, names = Knowledge(), set()
     places: dict[str, tuple[list[int], set[str]]] = {}
+    after: dict[str, set[str]] = {}
     for word, where, follower in periods(text):
         if word[0].isdigit():
             continue
         n, followers = places.setdefault(word.lower(), ([0, 0, 0, 0], set()))
         n[where] += 1
         if where == OTHER:
+            after.setdefault(word.lower(), set()).add(bare(follower))
             followers.add(bare(follower) if word[0].isupper() and follower[0].isupper() else "")
     words: set[str] | None = None
     for word, (n, followers) in places.items():
@@ -111,7 +113,9 @@ def spoken(text: str) -> tuple[Knowledge, set[str]]:
             words = {bare(t) if t[-1] != "." else t.lstrip(OPENERS) for t in text.split()} if words is None else words
             if not words & {word, word.capitalize()} and not words & {f.lower() for f in followers}:
                 known.never.add(word)
-    names -= {x for x in names if re.search(rf"(?<!\w){x.lower()}(?!\w)", text)} if known.may else set()
+    if asked := {f for w, fs in after.items() if w in known.may or w in corpus.may for f in fs}:
+        small = {bare(t) for t in text.split()}
+        names = {x for x in asked & set(NAME_INSIDE.findall(text)) if x.lower() not in small}
     return known, names
 
 
@@ -268,7 +272,7 @@ def sentences(text: str | None, corpus: Knowledge = NOTHING, notices: set[int] =
     """[start, end) of every sentence unit of a text; corpus: what is known from elsewhere; notices: numbers of the lines that stand alone."""
     if not text:
         return []
-    own, names = spoken(text) if "." in text else (NOTHING, set())
+    own, names = spoken(text, corpus) if "." in text else (NOTHING, set())
     out: list[tuple[int, int]] = []
 
     def add(s: int, e: int) -> None:
