@@ -14,7 +14,10 @@ trimmed, at least 800 characters). Similarity is Jaccard's; threshold 0.6.
    that are near enough to the leader are near enough to each other, and two whose distances to it differ by more than the
    limit are not. Only pairs this leaves open are computed.
 
-At a similarity of 0.6 a pair shares a list with a probability of 0.998, at 0.65 of 0.9998.
+At a similarity of 0.6 a pair shares a list with a probability of 0.998, at 0.65 of 0.9998. `exact=True` takes lists that lose nothing in the place
+of step 1's: a list a run, of the runs in each set's prefix in the order of their hashes (two sets as similar as the threshold share one there), with each
+record's position. Entries of a list meet only at positions from which the rest of both sets could still make up the overlap that the
+threshold asks; those behind are skipped. These lists hold 0.4 of every set, some hundred times as many entries.
 
 Null ids and null contents take no part. Repeated rows of one id count once. Texts are used whole. Empty tables: no rows.
 """
@@ -127,12 +130,29 @@ def similarities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["kind", "id_a", "id_b", "similarity"])
 
 
-def similar(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of class representatives (kind, id_a, id_b), and membership (kind, leader, id) of all records that take part."""
-    texts = contents(records)
-    signed = cut_lineage(texts.mapInPandas(signatures, "kind string, id long, same binary, size int, keys array<long>"))
-    leaders = signed.groupBy("kind", "same").agg(F.min("id").alias("leader"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    members = signed.select("kind", "same", "id").distinct().join(leaders.select("kind", "same", "leader"), ["kind", "same"]).select("kind", "leader", "id")
+def prefix_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(kind, id, size, key, place): the runs of every set's prefix, by hash order."""
+    for b in batches:
+        for kind, id_, text in zip(b["kind"].tolist(), b["id"].tolist(), b["text"].tolist()):
+            h = run_set(normal(text))
+            most = len(h) - int(np.ceil(THRESHOLD * len(h) - 1e-9)) + 1
+            yield pd.DataFrame({"kind": kind, "id": id_, "size": len(h), "key": h[:most].view(np.int64), "place": np.arange(most, dtype=np.int32)})
+
+
+def exact_candidates(leaders: DataFrame, texts: DataFrame) -> DataFrame:
+    """(kind, id_a, id_b) of all pairs that share a prefix run at places from which the overlap asked for can still be reached."""
+    own = texts.join(leaders.select("kind", F.col("leader").alias("id")), ["kind", "id"], "left_semi").dropDuplicates(["kind", "id"])
+    lists = cut_lineage(own.mapInPandas(prefix_lists, "kind string, id long, size int, key long, place int"))
+    side = lambda x: lists.select("kind", "key", F.col("id").alias(x), F.col("size").alias(f"size_{x}"), F.col("place").alias(f"place_{x}"))
+    asked = (F.col("size_a") + F.col("size_b")) * (THRESHOLD / (1 + THRESHOLD)) - 1e-6
+    left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
+    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
+    near = side("a").join(side("b"), ["kind", "key"]).where(ordered & (F.col("size_a") >= F.col("size_b") * THRESHOLD - 1e-9) & (left >= asked))
+    return near.select("kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def banded_candidates(leaders: DataFrame) -> DataFrame:
+    """(kind, id_a, id_b) of the pairs that share a min-hash list and fit by size; size blocks out of reach are skipped."""
     step = -BLOCK_STEPS * float(np.log(THRESHOLD))
     block = lambda size: F.floor(F.log(size) / step).cast("int")
     lists = leaders.select("kind", F.col("leader").alias("id"), "size", F.explode("keys").alias("key"))
@@ -140,7 +160,16 @@ def similar(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = lists.select("kind", "key", F.col("id").alias("a"), F.col("size").alias("size_a"), F.explode(reach).alias("block"))
     right = lists.select("kind", "key", F.col("id").alias("b"), F.col("size").alias("size_b"), block(F.col("size")).alias("block"))
     fits = (F.col("size_a") >= F.col("size_b") * THRESHOLD) & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b"))))
-    candidates = left.join(right, ["kind", "key", "block"]).where(fits).select("kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+    return left.join(right, ["kind", "key", "block"]).where(fits).select("kind", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
+def similar(records: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Pairs of class representatives (kind, id_a, id_b), and membership (kind, leader, id) of all records that take part. exact: lists that lose no pair."""
+    texts = contents(records)
+    signed = cut_lineage(texts.mapInPandas(signatures, "kind string, id long, same binary, size int, keys array<long>"))
+    leaders = signed.groupBy("kind", "same").agg(F.min("id").alias("leader"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    members = signed.select("kind", "same", "id").distinct().join(leaders.select("kind", "same", "leader"), ["kind", "same"]).select("kind", "leader", "id")
+    candidates = exact_candidates(leaders, texts) if exact else banded_candidates(leaders)
     candidates = cut_lineage(candidates)
     taking = candidates.select("kind", F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     held = cut_lineage(texts.join(taking, ["kind", "id"], "left_semi").dropDuplicates(["kind", "id"]))

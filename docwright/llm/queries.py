@@ -39,6 +39,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.expanded(*neardup.similar(neardup.both_kinds(table(spark, d, "app_document"), table(spark, d, "app_chunk"))))
 
 
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pairs, _ = neardup.similar(neardup.both_kinds(table(spark, d, "app_document"), table(spark, d, "app_chunk")))
+    return pairs.withColumnRenamed("kind", "record_kind")
+
+
 def p4_members(spark: SparkSession, d: str) -> DataFrame:
     return neardup.membership(neardup.both_kinds(table(spark, d, "app_document"), table(spark, d, "app_chunk")))
 
@@ -78,7 +83,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_members, p5_found, p6_found, p7_ids, p8_found, p8_paraphrased, p9_found, p9_proofs, p9_rates)
+    made = (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_pairs, p4_members, p5_found, p6_found, p7_ids, p8_found, p8_paraphrased, p9_found, p9_proofs, p9_rates)
     return {f.__name__: f for f in made}
 
 

@@ -28,6 +28,8 @@ def test_against_brute_force(spark):
     out = [tuple(r) for r in N.expanded(pairs, members).select("record_kind", "id_a", "id_b").collect()]
     assert len(out) == len(set(out)) and set(out) <= brute(rows)
     assert len(set(out)) >= 0.99 * len(brute(rows))
+    whole = {tuple(r) for r in N.expanded(*N.similar(df, exact=True)).select("record_kind", "id_a", "id_b").collect()}
+    assert whole == brute(rows)
     kept = {(r["record_kind"], r["id"]): r["class_id"] for r in N.membership(df).collect()}
     assert kept["chunk", 9004] == kept["chunk", 9003] == 9003 and ("chunk", 9002) not in kept
 
@@ -42,4 +44,5 @@ def test_hashes_equal_runs():
 
 def test_empty(spark):
     e = spark.createDataFrame([], SCHEMA)
+    assert N.expanded(*N.similar(e, exact=True)).count() == 0
     assert N.expanded(*N.similar(e)).count() == 0 and N.membership(e).count() == 0
