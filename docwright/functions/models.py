@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,17 +34,57 @@ def hashed_embedder(dim: int = 384) -> Embedder:
     return embed
 
 
+_MADE: dict = {}
+
+
+def once(factory: Callable[[], object]) -> object:
+    """What a factory makes, made once in a Python worker however many batches and queries it serves."""
+    key = getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)), getattr(factory, "__defaults__", None)
+    if key not in _MADE:
+        _MADE[key] = factory()
+    return _MADE[key]
+
+
 def embed(text: Column, factory: Callable[[], Embedder] = hashed_embedder) -> Column:
-    """A column of vectors; the model is made once in a Python worker's batch iterator."""
+    """A column of vectors, an Arrow batch at a time; a null text is embedded as ''."""
 
     @F.pandas_udf("array<float>")
-    def run(batches: pd.Series) -> pd.Series:
-        vectors = factory()(batches.fillna("").tolist())
-        return pd.Series(list(vectors))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = once(factory)
+        for b in batches:
+            yield pd.Series(list(model(b.fillna("").tolist())))
 
     return run(text)
 
 
+def scored(question: Column, content: Column, factory: Callable[[], Scorer]) -> Column:
+    """A cross-encoder's scores of (question, content) rows, by a plug-in; nulls count as ''."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = once(factory)
+        for q, c in batches:
+            yield pd.Series(model(q.fillna("").tolist(), c.fillna("").tolist()), dtype="float64")
+
+    return run(question, content)
+
+
+def generated(prompt: Column, factory: Callable[[], Generator]) -> Column:
+    """A generator's (or judge's) replies to prompts, by a plug-in; a null prompt has none."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = once(factory)
+        for b in batches:
+            some = b.notna()
+            out = pd.Series([None] * len(b), index=b.index, dtype=object)
+            if some.any():
+                out[some] = model(b[some].tolist())
+            yield out
+
+    return run(prompt)
+
+
 def lexical_score(question: Column, content: Column) -> Column:
     """Stand-in for a cross-encoder: the share of the question's words that the content has."""
     from .text import tokens

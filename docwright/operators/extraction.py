@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import is_numeric, not_blank, strip
+from ..functions.text import is_numeric, let, not_blank, strip
 
 #: Fixed values of the extraction contract.
 HEADING_RATIO, CAPTION_LENGTH, SCANNED_BELOW, BODY_DEFAULT, BOLD_FLAG = 1.15, 80, 100, 11.0, 16
@@ -82,11 +82,6 @@ def big_enough(cells: Column) -> Column:
     return (F.size(cells) >= 2) & (F.size(F.get(cells, F.lit(0))) >= 2)
 
 
-def let(value: Column, use) -> Column:
-    """`use(value)` with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def markdown(cells: Column) -> Column:
     """A padded table; the first row is its header if it looks like one, else columns are named col_0, col_1, ..."""
 

@@ -40,17 +40,42 @@ def upload_summary(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return documents.join(count, documents["id"] == count["document_id"], "left").select("id", "title", "source", "page_count", "extraction_status", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
 
 
-def write_version(df: DataFrame, root: str, schema=None) -> str:
-    """Writes a new version folder and then names it current; readers see the old one until the write has succeeded whole."""
-    path = f"{root}/v={int(time.time() * 1000)}"
-    (conform(df, schema) if schema else df).write.mode("errorifexists").parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/_current")
+def write_version(df: DataFrame, root: str, schema=None, order: tuple[str, ...] = ()) -> str:
+    """Writes a new version folder and then a pointer file that names it; no file is ever overwritten, so readers see one whole version or another.
+
+    A write that fails leaves no pointer: nothing to roll back. `order`: columns to sort by within files, so that their statistics serve as an index.
+    """
+    number = time.time_ns()
+    path = f"{root}/v={number}"
+    rows = conform(df, schema) if schema else df
+    (rows.sortWithinPartitions(*order) if order else rows).write.mode("errorifexists").parquet(path)
+    df.sparkSession.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("append").json(f"{root}/_pointers")
     return path
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{root}/_current").first()["path"])
+    """The newest version that has a pointer."""
+    return spark.read.parquet(spark.read.schema("number long, path string").json(f"{root}/_pointers").agg(F.max_by("path", "number")).first()[0])
+
+
+def rewritten(old: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """Rows with their changes (key and some columns) put in; changed rows get updated_at, as an UPDATE would."""
+    columns = [c for c in changes.columns if c != key]
+    new = changes.select(key, *(F.col(c).alias(f"new_{c}") for c in columns), F.lit(True).alias("changed"))
+    joined = old.join(new, key, "left")
+    pick = lambda c: F.when(F.col("changed"), F.current_timestamp() if c == "updated_at" else F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
+    return joined.select(*(pick(c) if c in columns or c == "updated_at" else F.col(c) for c in old.columns))
+
+
+def status_after(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, extraction_status): 'completed' once a document has chunks, 'failed' where it has none."""
+    have = chunks.select(F.col("document_id").alias("id")).distinct().withColumn("has", F.lit(True))
+    return documents.select("id").join(have, "id", "left").select("id", F.when(F.col("has"), "completed").otherwise("failed").alias("extraction_status"))
+
+
+def without_columns(df: DataFrame, *columns: str) -> DataFrame:
+    """The downgrade of an added column."""
+    return df.drop(*columns)
 
 
 def save_json(df: DataFrame, path: str) -> None:

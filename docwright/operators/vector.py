@@ -20,6 +20,9 @@ QUERY_BLOCK = 2_048
 PARITY_PROBES = 3
 #: What an index must find of the exact neighbours, what its sample must find beyond that (a few queries stray from the sample), and vectors in the sample.
 RECALL, MARGIN, SAMPLE = 0.9, 0.03, 512
+#: Vectors a list should hold, and vectors that the centroids are fitted on.
+LIST, FIT = 1_000, 16_384
+FOUND = "qid long, id long, distance double, k long"
 
 
 def norm(v: Column) -> Column:
@@ -36,12 +39,16 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
     return F.lit(1.0) - dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
-def _ranked(df: DataFrame, k: Column | int) -> DataFrame:
+def _ranked(df: DataFrame, k: Column | str, most: int) -> DataFrame:
+    """Ranks by distance; first cut at a constant, which the window takes over to the map side, then at each query's own k."""
     w = Window.partitionBy("qid").orderBy(F.col("distance").asc_nulls_last(), F.col("id"))
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).where(F.col("rank") <= k)
 
 
-def blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[Block]:
     """(qid, unit vectors, k) of the queries, block by block, so that what is broadcast has a fixed bound."""
     rows: list = []
     for r in queries.select("qid", "qvec", "top_k").where("qid is not null and qvec is not null").toLocalIterator():
@@ -53,83 +60,123 @@ def blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[np.nda
         yield _block(rows)
 
 
-def _block(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(rows: list) -> Block:
     q = np.array([r[1] for r in rows], np.float64)
     with np.errstate(invalid="ignore", divide="ignore"):
         return np.array([r[0] for r in rows], np.int64), q / np.linalg.norm(q, axis=1, keepdims=True), np.array([r[2] for r in rows], np.int64)
 
 
+def _best(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k: np.ndarray) -> pd.DataFrame:
+    """Of each query the k nearest of one batch of vectors."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        d = np.round(1 - q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 12)
+    parts = []
+    for i in range(len(qid)):
+        m = int(min(k[i], len(ids)))
+        if m > 0:
+            top = np.lexsort((ids, np.where(np.isnan(d[i]), np.inf, d[i])))[:m]
+            parts.append((np.full(m, qid[i]), ids[top], d[i, top], np.full(m, k[i])))
+    return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("qid", "id", "distance", "k"), zip(*parts))}) if parts else pd.DataFrame({"qid": [], "id": [], "distance": [], "k": []})
+
+
+def _good(b: pd.DataFrame, dim: int) -> pd.DataFrame:
+    return b[[len(e) == dim and not any(x is None for x in e) for e in b["embedding"]]].drop_duplicates("id")
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, distance, rank). vectors: id, embedding; queries: qid, qvec, top_k. Every Arrow batch keeps its own best, then one small window ranks them."""
-    spark, out = vectors.sparkSession, None
+    """(qid, id, distance, rank). vectors: id, embedding; queries: qid, qvec, top_k. One scan for any number of queries: every Arrow batch keeps its own best of each block, then one small window ranks them."""
+    spark = vectors.sparkSession
+    every = [(spark.sparkContext.broadcast(block), int(block[2].max())) for block in blocks(queries)]
+    sent, most = [b for b, _ in every], max((m for _, m in every), default=0)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block in sent:
+                qid, q, k = block.value
+                own = _good(b, q.shape[1])
+                if len(own):
+                    yield _best(own["id"].to_numpy(), np.vstack(own["embedding"].to_numpy()).astype(np.float64), qid, q, k)
+
     good = vectors.where("id is not null and embedding is not null").select("id", "embedding")
-    for block in blocks(queries):
-        sent = spark.sparkContext.broadcast(block)
-
-        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            qid, q, k = sent.value
-            dim = q.shape[1]
-            for b in batches:
-                b = b[[len(e) == dim and not any(x is None for x in e) for e in b["embedding"]]].drop_duplicates("id")
-                if not len(b):
-                    continue
-                ids = b["id"].to_numpy()
-                x = np.vstack(b["embedding"].to_numpy()).astype(np.float64)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = np.round(1 - q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 12)
-                for i in range(len(qid)):
-                    m = int(min(k[i], len(ids)))
-                    if m <= 0:
-                        continue
-                    top = np.lexsort((ids, np.where(np.isnan(d[i]), np.inf, d[i])))[:m]
-                    yield pd.DataFrame({"qid": qid[i], "id": ids[top], "distance": d[i, top], "k": k[i]})
-
-        part = good.mapInPandas(best, "qid long, id long, distance double, k long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = good.sparkSession.createDataFrame([], "qid long, id long, distance double, k long")
-    once = out.distinct().withColumn("distance", F.when(F.isnan("distance"), None).otherwise(F.col("distance")))
-    return _ranked(once, F.col("k")).select("qid", "id", "distance", "rank")
-
-
-def ivf_fit(vectors: DataFrame, lists: int = 10, seed: int = 7) -> DataFrame:
-    """(list_id, centroid): cosine k-means over all vectors, made after the load."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    good = vectors.where("embedding is not null and exists(embedding, x -> x <> 0)").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=15).fit(good)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return vectors.sparkSession.createDataFrame(rows, "list_id int, centroid array<double>")
+    once = good.mapInPandas(best, FOUND).distinct().withColumn("distance", F.when(F.isnan("distance"), None).otherwise(F.col("distance")))
+    return _ranked(once, F.col("k"), most).select("qid", "id", "distance", "rank")
+
+
+def lists_for(rows: int) -> int:
+    """As many lists as keep one near `LIST` vectors, at least the reference's ten."""
+    return max(10, rows // LIST)
+
+
+def ivf_fit(vectors: DataFrame, lists: int | None = None, seed: int = 7) -> DataFrame:
+    """(list_id, centroid): spherical k-means on at most `FIT` of the vectors (drawn by a hash of the id), made after the load; more lists than a quarter of the sample take a larger one."""
+    good = vectors.where("id is not null and embedding is not null and exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null)")
+    rows = good.count()
+    lists = lists or lists_for(rows)
+    share = max(1, rows // max(FIT, 4 * lists))
+    drawn = good.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("embedding").toPandas() if rows else pd.DataFrame({"embedding": []})
+    if not len(drawn):
+        drawn = good.limit(lists).select("embedding").toPandas()
+    x = np.vstack(drawn["embedding"].to_numpy()).astype(np.float64) if len(drawn) else np.zeros((0, 1))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    c = _spread(x, min(lists, len(x)), np.random.default_rng(seed))
+    for _ in range(15 if len(c) else 0):
+        home = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, home, x)
+        some = np.linalg.norm(sums, axis=1) > 0
+        c[some] = sums[some] / np.linalg.norm(sums[some], axis=1, keepdims=True)
+    return vectors.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "list_id int, centroid array<double>")
+
+
+def _spread(x: np.ndarray, lists: int, rng: np.random.Generator) -> np.ndarray:
+    """Starting centroids, each drawn by its distance from those before."""
+    if not lists:
+        return x[:0].copy()
+    chosen = [int(rng.integers(len(x)))]
+    far = 1 - x @ x[chosen[0]]
+    for _ in range(lists - 1):
+        weight = np.maximum(far, 0)
+        chosen.append(int(rng.choice(len(x), p=weight / weight.sum())) if weight.sum() > 0 else int(rng.integers(len(x))))
+        far = np.minimum(far, 1 - x @ x[chosen[-1]])
+    return x[chosen].copy()
+
+
+def _centres(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of the lists; a table as small as their number."""
+    rows = centroids.orderBy("list_id").collect()
+    c = np.array([r["centroid"] for r in rows], np.float64).reshape(len(rows), -1)
+    return np.array([r["list_id"] for r in rows], np.int32), c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)
 
 
 def ivf_assign(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(id, embedding, list_id): the nearest centroid's list. The centroid table is as small as the number of lists."""
-    cents = [(r["list_id"], r["centroid"]) for r in centroids.orderBy("list_id").collect()]
-    ids, c = np.array([i for i, _ in cents]), np.array([v for _, v in cents])
-    c = c / np.linalg.norm(c, axis=1, keepdims=True)
+    """(id, embedding, list_id): the nearest centroid's list; equal distances go to the smaller list."""
+    ids, c = _centres(centroids)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.vstack(b["embedding"].to_numpy()).astype(np.float64)
-            yield b.assign(list_id=ids[np.argmax(np.round(x @ c.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30), 12), axis=1)].astype(np.int32))
+            b = _good(b, c.shape[1])
+            if len(b):
+                x = np.vstack(b["embedding"].to_numpy()).astype(np.float64)
+                yield b.assign(list_id=ids[np.argmax(np.round(x @ c.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30), 12), axis=1)])
 
-    return vectors.where("id is not null and embedding is not null").select("id", "embedding").mapInPandas(nearest, "id long, embedding array<float>, list_id int")
+    good = vectors.where("id is not null and embedding is not null").select("id", "embedding")
+    return good.mapInPandas(nearest, "id long, embedding array<float>, list_id int") if len(ids) else good.withColumn("list_id", F.lit(0)).where("false")
 
 
-def _nearest_lists(centroids: DataFrame, queries: DataFrame, probes: int) -> DataFrame:
-    """(qid, list_id, nth): the `probes` nearest lists of every query."""
-    near = exact_topk(centroids.select(F.col("list_id").cast("long").alias("id"), F.col("centroid").alias("embedding")), queries.select("qid", "qvec", F.lit(probes).alias("top_k")))
-    return near.select("qid", F.col("id").cast("int").alias("list_id"), F.col("rank").alias("nth"))
+def _order(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The lists of each query, nearest first."""
+    return np.argsort(np.round(1 - np.nan_to_num(q) @ c.T, 12), axis=1, kind="stable")
 
 
 def ivf_recall(assigned: DataFrame, centroids: DataFrame, queries: DataFrame) -> list[float]:
-    """The share of exact_topk's rows that lie in the nearest list, the two nearest, and so on up to all lists; empty without any row."""
-    lists = centroids.count()
-    true = exact_topk(assigned, queries).select("qid", "id").join(assigned.select("id", "list_id"), "id")
-    counted = true.join(_nearest_lists(centroids, queries, lists), ["qid", "list_id"]).groupBy("qid", "id").agg(F.min("nth").alias("nth")).groupBy("nth").count()
-    at = {r["nth"]: r["count"] for r in counted.collect()}
-    return [float(x) for x in np.cumsum([at.get(i, 0) for i in range(1, lists + 1)]) / sum(at.values())] if at else []
+    """The share of exact_topk's rows that lie in the nearest list, the two nearest, and so on up to all lists; empty without any row. queries: few, they reach the driver."""
+    ids, c = _centres(centroids)
+    true = exact_topk(assigned, queries).select("qid", "id").join(assigned.select("id", "list_id"), "id").groupBy("qid", "list_id").count().toPandas()
+    if not len(true):
+        return []
+    place = {qid: {int(ids[l]): n for n, l in enumerate(o)} for block in blocks(queries) for qid, o in zip(block[0].tolist(), _order(block[1], c))}
+    nth = np.array([place[q][l] for q, l in zip(true["qid"].tolist(), true["list_id"].tolist())])
+    return (np.cumsum(np.bincount(nth, true["count"], len(ids))) / true["count"].sum()).tolist()
 
 
 def ivf_probes(assigned: DataFrame, centroids: DataFrame, k: int = 10, least: float = RECALL + MARGIN) -> int:
@@ -141,7 +188,29 @@ def ivf_probes(assigned: DataFrame, centroids: DataFrame, k: int = 10, least: fl
 
 
 def ivf_topk(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, probes: int = PARITY_PROBES) -> DataFrame:
-    """(qid, id, distance, rank) from the `probes` nearest lists of every query; lists join by list_id, so stored lists prune. `ivf_probes` tells how many reach the recall."""
-    probe = _nearest_lists(centroids, queries, probes).select("qid", "list_id").join(queries.select("qid", "qvec", "top_k"), "qid")
-    scored = assigned.join(probe, "list_id").select("qid", "id", F.round(cosine_distance("embedding", "qvec"), 12).alias("distance"), F.col("top_k").alias("k"))
-    return _ranked(scored.distinct(), F.col("k")).select("qid", "id", "distance", "rank")
+    """(qid, id, distance, rank) from the `probes` nearest lists of every query. `ivf_probes` tells how many reach the recall.
+
+    The queries' lists are worked out on the driver, block by block; only folders of lists that some query asks are read, and a batch multiplies a list's
+    vectors with the queries that ask it. No vector is shuffled.
+    """
+    spark = assigned.sparkSession
+    ids, c = _centres(centroids)
+    sent, most, asked = [], 0, set()
+    for block in blocks(queries):
+        near = ids[_order(block[1], c)[:, :probes]]
+        asked.update(near.ravel().tolist())
+        most = max(most, int(block[2].max()))
+        sent.append(spark.sparkContext.broadcast((*block, {int(l): np.flatnonzero((near == l).any(axis=1)) for l in np.unique(near)})))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for list_id, part in b.groupby("list_id"):
+                for block in sent:
+                    qid, q, k, of = block.value
+                    rows, own = of.get(int(list_id), ()), _good(part, q.shape[1])
+                    if len(rows) and len(own):
+                        yield _best(own["id"].to_numpy(), np.vstack(own["embedding"].to_numpy()).astype(np.float64), qid[rows], q[rows], k[rows])
+
+    read = assigned.where(F.col("list_id").isin(sorted(asked))) if len(asked) < len(ids) else assigned
+    found = read.select("id", "embedding", "list_id").mapInPandas(best, FOUND).distinct().withColumn("distance", F.when(F.isnan("distance"), None).otherwise(F.col("distance")))
+    return _ranked(found, F.col("k"), most).select("qid", "id", "distance", "rank")

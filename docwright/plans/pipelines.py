@@ -60,7 +60,7 @@ def answer_questions(
     looked = cut_lineage(C.lookup(keyed.select("qid", "key"), cache, now))
     misses = keyed.join(looked.where("not hit").select("qid"), "qid", "left_semi")
     wide = misses.withColumn("top_k", F.greatest(F.col("top_k") * R.OVERFETCH, F.lit(20)))
-    found = R.dispatch(chunks.select("id", "embedding"), X.postings(chunks.select("id", "content"), stem), wide, stem).where("keep")
+    found = R.dispatch(chunks.select("id", "embedding"), X.tsvector(chunks.select("id", "content"), stem), wide, stem).where("keep")
     hits = found.join(chunks.select("id", "content"), "id").select("qid", "id", "content", "rank")
     best = cut_lineage(A.rerank(hits, misses.select("qid", "question", "top_k"), F.col("top_k")))  # few rows a question, read more than once below
     texts = best.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "content"))), lambda c: c["content"]).alias("texts"))

@@ -100,7 +100,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str, stem: bool = False) -> DataFrame:
-    return X.postings(chunks(spark, d, "content"), stem)
+    return X.tsvector(chunks(spark, d, "content"), stem)
 
 
 def blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -385,7 +385,7 @@ _TEXT = f"WITH {_DOCS}, {_CHUNKS}, {_VECTORS}, {_QUESTIONS}, {_POSTINGS}"
 
 @query(_TEXT + " SELECT id, lexeme, count(*) AS places, min(pos)::INTEGER AS first_pos FROM postings GROUP BY 1, 2")
 def tsvector_postings(spark, d):
-    return index(spark, d).groupBy("id", "lexeme").agg(F.count("*").alias("places"), F.min("pos").alias("first_pos"))
+    return X.postings(chunks(spark, d, "content")).groupBy("id", "lexeme").agg(F.count("*").alias("places"), F.min("pos").alias("first_pos"))
 
 
 @query(_TEXT + " SELECT qid, lexeme, needed FROM lex")

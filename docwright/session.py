@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +20,14 @@ def session(master: str | None = None, partitions: int | None = None, name: str
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a folder of our own only where it names none, as in tests."""
+    """A reliable checkpoint in the folder that `spark.checkpoint.dir` (or the context) names. Only a local master may do without: it gets a folder that ends with it."""
     context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="docwright-checkpoint-"))
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="docwright-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return df.checkpoint(eager=True)

@@ -61,7 +61,7 @@ def test_ties_rank_by_id_and_repeated_rows_count_once(spark):
 def test_cover_density(spark):
     texts = spark.createDataFrame([(1, "alpha beta x x alpha"), (2, "alpha"), (3, "alpha alpha alpha"), (4, None), (5, "the of")], "id long, content string")
     q = spark.createDataFrame([(1, "alpha beta", 5), (2, "Alpha", 5), (3, "the of", 5), (4, "", 5)], "qid long, question string, top_k int")
-    got = {(r["qid"], r["id"]): round(r["score"], 6) for r in X.rank_cd(X.postings(texts), q).collect()}
+    got = {(r["qid"], r["id"]): round(r["score"], 6) for r in X.rank_cd(X.tsvector(texts), q).collect()}
     assert got == {(1, 1): round(0.1 + 0.1 / 3, 6), (2, 1): 0.2, (2, 2): 0.1, (2, 3): 0.3}
 
 
