@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.models import lexical_score
+from ..functions.models import generated, lexical_score
 from ..functions.text import tokens
 
 #: Texts and prompts of the answer contract.
@@ -36,9 +38,15 @@ ANSWER:
 LEAST_FAITHFUL, UNREADABLE = 0.5, 0.5
 
 
-def rerank(hits: DataFrame, queries: DataFrame, keep: Column | int = 5) -> DataFrame:
-    """(qid, id, content, rank, score, place): the best by the scorer's score; equal scores keep their retrieval order. hits: qid, id, content, rank."""
-    scored = hits.join(queries.select("qid", "question", *(c for c in ("top_k",) if c in queries.columns)), "qid").withColumn("score", F.round(lexical_score(F.col("question"), F.col("content")), 6))
+Scored = Callable[[Column, Column], Column]
+
+
+def rerank(hits: DataFrame, queries: DataFrame, keep: Column | int = 5, score: Scored = lexical_score) -> DataFrame:
+    """(qid, id, content, rank, score, place): the best by the scorer's score; equal scores keep their retrieval order. hits: qid, id, content, rank.
+
+    score: of (question, content), for instance `lambda q, c: models.scored(q, c, factory)` with a cross-encoder's factory.
+    """
+    scored = hits.join(queries.select("qid", "question", *(c for c in ("top_k",) if c in queries.columns)), "qid").withColumn("score", F.round(score(F.col("question"), F.col("content")), 6))
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "rank", "id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= keep).select("qid", "id", "content", "rank", "score", "place")
 
@@ -48,6 +56,12 @@ def sources(hits: DataFrame, reranked: DataFrame) -> DataFrame:
     return hits.join(reranked.select("qid", "content").distinct(), ["qid", "content"], "left_semi")
 
 
+def source_rows(chosen: DataFrame) -> DataFrame:
+    """(qid, sources): the chosen hits of every question in retrieval order, rounded for display. A question has no more hits than its search fetched."""
+    row = F.struct("rank", "id", "content", F.round("distance", 4).alias("distance"), F.round("rrf_score", 6).alias("rrf_score"), F.round("fts_rank", 6).alias("fts_rank"))
+    return chosen.groupBy("qid").agg(F.sort_array(F.collect_set(row)).alias("sources"))
+
+
 def filled(template: str, **columns: Column) -> Column:
     """The template with its {names} taken from columns."""
     parts, rest = [], template
@@ -79,6 +93,16 @@ def faithfulness(answer: Column, context: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.round(F.size(F.array_intersect(a, tokens(context))) / F.size(a), 6))
 
 
+def stand_in_judge(answer: Column, context: Column) -> Column:
+    """struct<score, reason> by `faithfulness`."""
+    return F.struct(faithfulness(answer, context).alias("score"), F.lit("share of the answer's words in the context").alias("reason"))
+
+
+def judged_by(factory: Callable[[], Callable[[list[str]], list[str]]]) -> Scored:
+    """A judge by a model plug-in that answers the judge's prompt with JSON."""
+    return lambda answer, context: parse_verdict(generated(filled(JUDGE, context=context, answer=answer), factory))
+
+
 def parse_verdict(reply: Column) -> Column:
     """struct<score, reason> of a judge's JSON: missing score 0, missing reason ''; a reply that is no JSON object, or whose score is no number, is 0.5 and 'parse error'."""
     v = F.try_parse_json(reply)

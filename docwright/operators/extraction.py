@@ -147,3 +147,29 @@ def page_from_words(words: DataFrame) -> DataFrame:
     real = words.where(not_blank(F.col("word"))).where(~second | (F.col("score") > 0.3)).withColumn("score", F.when(second, F.col("score") * 100).otherwise(F.col("score")))
     per = real.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("pos", "word", "score"))).alias("w"))
     return per.select("document_id", "page_number", F.array_join(F.transform("w", lambda x: strip(x["word"])), " ").alias("text"), word_confidence(F.col("w.score")).alias("confidence"))
+
+
+def paired(tables: Column, boxes: Column) -> Column:
+    """Tables with the box of the same place; tables beyond the boxes have none."""
+    return F.transform(tables, lambda t, i: F.struct(t.alias("cells"), F.get(boxes, i).alias("bbox")))
+
+
+def extract_page(rows: DataFrame, page: int, page_count: Column | None = None) -> DataFrame:
+    """The rows of one page (counted from 1); a page outside the document has none."""
+    inside = (F.lit(page) >= 1) if page_count is None else F.lit(page).between(1, page_count)
+    return rows.where(inside & (F.col("page_number") == page))
+
+
+def results(typed: DataFrame, tables: DataFrame, ocr: DataFrame) -> DataFrame:
+    """(document_id, pages, full_text): the extraction result as one nested row a document, blocks and tables as structs with the contract's fields."""
+    keys = ["document_id", "page_number"]
+    block = F.struct("block_pos", "block_type", "text", "page_number", "font_size", "font_name", "is_bold", "section_heading")
+    blocks_ = typed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_set(block)), lambda b: b.dropFields("block_pos")).alias("blocks"))
+    own = [F.col(c) if c in tables.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("extractor_used", "string"), ("bbox", "array<double>"), ("confidence", "double"), ("caption", "string"))]
+    tables_ = tables.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("table_index", "page_number", *own[:1], "markdown", *own[1:]))).alias("tables"))
+    read = ocr.groupBy(*keys).agg(F.max("text").alias("ocr_text"))
+    pages = typed.select(*keys).unionByName(tables.select(*keys)).unionByName(ocr.select(*keys)).distinct()
+    joined = pages.join(blocks_, keys, "left").join(tables_, keys, "left").join(read, keys, "left")
+    page = F.struct("page_number", F.coalesce("blocks", F.array().cast(blocks_.schema["blocks"].dataType)).alias("blocks"), F.coalesce("tables", F.array().cast(tables_.schema["tables"].dataType)).alias("tables"), "ocr_text")
+    whole = joined.groupBy("document_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    return whole.join(full_text(typed, "block_pos"), "document_id", "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import STOP_WORDS, let, stem_all, tokens
+from ..session import cut_lineage
 
 CLASS_WEIGHT = 0.1
 
@@ -49,8 +50,9 @@ def query_lexemes(queries: DataFrame, stem: bool = False) -> DataFrame:
 def matched(index: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
     """(qid, id, all, words) of the texts that have every lexeme of a question; `words` are the question's own."""
     asked = query_lexemes(queries, stem)
-    has = index.select("id", F.explode(F.array_distinct(F.col("words.lexeme"))).alias("lexeme"))
-    often = has.join(asked.select("lexeme").distinct(), "lexeme").groupBy("lexeme").agg(F.count("*").alias("texts"))
+    every = index.select("id", F.explode(F.array_distinct(F.col("words.lexeme"))).alias("lexeme"))
+    has = cut_lineage(every.join(asked.select("lexeme").distinct(), "lexeme", "left_semi"))  # read twice: for the frequencies, and for the rarest
+    often = has.groupBy("lexeme").agg(F.count("*").alias("texts"))
     told = asked.join(often, "lexeme", "left")
     sets = told.groupBy("qid").agg(F.sort_array(F.collect_set("lexeme")).alias("all"), F.min_by("lexeme", F.struct(F.coalesce("texts", F.lit(0)), "lexeme")).alias("lexeme"))
     pairs = has.join(sets, "lexeme").select("qid", "id", "all")

@@ -14,13 +14,14 @@ from ..operators import chunking as K
 from ..operators import extraction as E
 from ..operators import fulltext as X
 from ..operators import retrieval as R
-from ..schemas import CHUNK, conform
+from ..operators import store as S
+from ..schemas import CHUNK, DOCUMENT, conform
 from ..session import cut_lineage
 
 
-def ingest_texts(documents: DataFrame, embed: Callable[[Column], Column] = models.embed) -> DataFrame:
-    """Chunk rows of text documents (id, content): word windows, embedded, ids from document and index."""
-    cut = K.sliding_windows(documents)
+def ingest_texts(documents: DataFrame, embed: Callable[[Column], Column] = models.embed, tokenizer: K.TokenizerFactory | None = None) -> DataFrame:
+    """Chunk rows of text documents (id, content): windows of words, or of a tokenizer's tokens, embedded, ids from document and index."""
+    cut = K.token_windows(documents, tokenizer) if tokenizer else K.sliding_windows(documents)
     rows = cut.select(F.col("id").alias("document_id"), "chunk_index", F.col("text").alias("content"), embed(F.col("text")).alias("embedding"), F.lit("text").alias("chunk_type"))
     return _stored(rows)
 
@@ -48,27 +49,33 @@ def _stored(rows: DataFrame) -> DataFrame:
 
 def answer_questions(
     queries: DataFrame, chunks: DataFrame, cache: DataFrame, now: Column,
-    generate: Callable[[Column], Column] = models.first_chunk_answer, judge: Callable[[Column, Column], Column] = A.faithfulness,
-    stem: bool = True,
+    generate: Callable[[Column, Column], Column] = lambda texts, prompt: models.first_chunk_answer(texts), judge: A.Scored = A.stand_in_judge,
+    stem: bool = True, score: A.Scored = models.lexical_score, search: R.Search | None = None, index: DataFrame | None = None,
 ) -> DataFrame:
-    """(qid, answer, score, from_cache, cacheable, key) of every question: cache, retrieval with an inflated k, rerank, prompt, answer, judge, gate.
+    """One row of every question: cache, retrieval with an inflated k, rerank, prompt, answer, judge, gate.
 
-    queries: qid, question, qvec, top_k, threshold, search_mode; chunks: id, content, embedding. Texts and questions are stemmed alike, as the reference's
-    analyser is 'english'; stem=False is the form that SQL can say.
+    (qid, answer, score, reason, sources, filtered_count, from_cache, cacheable, key); an answer from the cache has neither score nor sources.
+    queries: qid, question, qvec, top_k, threshold, search_mode; chunks: id, content, embedding. generate: of (kept texts, prompt). Texts and questions are
+    stemmed alike; stem=False is the form that SQL can say. search and index: a stored vector index and a stored tsvector (id, words) for the ones made here.
     """
     keyed = cut_lineage(queries).withColumn("key", C.response_key(F.col("question"), F.col("search_mode")))
     looked = cut_lineage(C.lookup(keyed.select("qid", "key"), cache, now))
     misses = keyed.join(looked.where("not hit").select("qid"), "qid", "left_semi")
     wide = misses.withColumn("top_k", F.greatest(F.col("top_k") * R.OVERFETCH, F.lit(20)))
-    found = R.dispatch(chunks.select("id", "embedding"), X.tsvector(chunks.select("id", "content"), stem), wide, stem).where("keep")
-    hits = found.join(chunks.select("id", "content"), "id").select("qid", "id", "content", "rank")
-    best = cut_lineage(A.rerank(hits, misses.select("qid", "question", "top_k"), F.col("top_k")))  # few rows a question, read more than once below
-    texts = best.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "content"))), lambda c: c["content"]).alias("texts"))
-    said = texts.join(A.contexts(best), "qid").withColumn("raw", generate(F.col("texts"))).withColumn("score", judge(F.col("raw"), F.col("context")))
-    gated = said.select("qid", A.gate(F.col("raw"), F.col("score")).alias("answer"), "score")
-    fresh = A.with_fallback(misses, gated).join(gated.select("qid", "score"), "qid", "left").select("qid", "answer", "score", F.lit(False).alias("from_cache"), "cacheable")
-    kept = looked.where("hit").select("qid", F.col("value").alias("answer"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("from_cache"), F.lit(False).alias("cacheable"))
-    return fresh.unionByName(kept).join(keyed.select("qid", "key"), "qid")
+    texts = chunks.select("id", "content")
+    fetched = cut_lineage(R.dispatch(search or R.exact(chunks.select("id", "embedding")), index if index is not None else X.tsvector(texts, stem), wide, stem))
+    hits = fetched.where("keep").join(texts, "id")
+    best = cut_lineage(A.rerank(hits.select("qid", "id", "content", "rank"), misses.select("qid", "question", "top_k"), F.col("top_k"), score))  # few rows a question, read more than once below
+    kept = best.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "content"))), lambda c: c["content"]).alias("texts"))
+    asked = kept.join(A.contexts(best), "qid").join(A.prompts(misses, best), "qid")
+    said = asked.withColumn("raw", generate(F.col("texts"), F.col("prompt"))).withColumn("verdict", judge(F.col("raw"), F.col("context"))).select("qid", "raw", "verdict.score", "verdict.reason")
+    gated = said.select("qid", A.gate(F.col("raw"), F.col("score")).alias("answer"), "score", "reason")
+    dropped = R.filtered_count(fetched, misses).select("qid", "filtered_count")
+    fresh = A.with_fallback(misses, gated).join(gated.select("qid", "score", "reason"), "qid", "left").join(A.source_rows(A.sources(hits, best)), "qid", "left").join(dropped, "qid")
+    fresh = fresh.select("qid", "answer", "score", "reason", "sources", "filtered_count", F.lit(False).alias("from_cache"), "cacheable")
+    none = [F.lit(None).cast(fresh.schema[c].dataType).alias(c) for c in ("score", "reason", "sources", "filtered_count")]
+    held = looked.where("hit").select("qid", F.col("value").alias("answer"), *none, F.lit(True).alias("from_cache"), F.lit(False).alias("cacheable"))
+    return fresh.unionByName(held).join(keyed.select("qid", "key"), "qid")
 
 
 def new_entries(answers: DataFrame, now: Column) -> DataFrame:
@@ -83,3 +90,9 @@ def embed_through_cache(texts: DataFrame, cache: DataFrame, now: Column, embed:
     hits = known.where("hit").select("key", F.from_json("value", "array<float>").alias("embedding"))
     todo = keyed.join(known.where("not hit").select("key"), "key", "left_semi").groupBy("key").agg(F.max("text").alias("text"))
     return keyed.select("id", "key").join(hits.unionByName(todo.select("key", embed(F.col("text")).alias("embedding"))), "key").select("id", "embedding")
+
+
+def ingest(documents: DataFrame, chunks: DataFrame, root: str) -> None:
+    """Writes a batch's documents and chunks as new versions, chunks first, so no reader sees a document without them; documents get their status from their chunks."""
+    S.write_version(chunks, f"{root}/chunk", CHUNK, ("id", "page_number"))
+    S.write_version(S.rewritten(documents, S.status_after(documents, chunks)), f"{root}/document", DOCUMENT, ("id",))
