@@ -27,6 +27,10 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_documents(table(spark, d, "app_document")).select("document_id", "chunk_index", "content", "overlap_tokens_prev").distinct()
 
 
+def p2_checked(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.checked(table(spark, d, "app_document"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return ocr.noise(table(spark, d, "ocr_result"))
 
@@ -83,7 +87,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_clean, p2_found, p2_pieces, p3_found, p3_text, p4_found, p4_pairs, p4_members, p5_found, p6_found, p7_ids, p8_found, p8_paraphrased, p9_found, p9_proofs, p9_rates)
+    made = (p1_found, p1_clean, p2_found, p2_pieces, p2_checked, p3_found, p3_text, p4_found, p4_pairs, p4_members, p5_found, p6_found, p7_ids, p8_found, p8_paraphrased, p9_found, p9_proofs, p9_rates)
     return {f.__name__: f for f in made}
 
 
@@ -119,6 +123,24 @@ common AS (
 SELECT c.kind AS record_kind, id_a, id_b FROM common c JOIN sizes x ON x.kind = c.kind AND x.id = id_a JOIN sizes y ON y.kind = c.kind AND y.id = id_b
 WHERE c.both >= 0.6::DOUBLE * (x.n + y.n - c.both) - 1e-9"""
 
+_P1_CLEAN = f"""WITH {_LINES},
+gone AS (SELECT k.block_id, list(DISTINCT k.line_no) AS gone FROM keyed k JOIN sites s USING (document_id) JOIN often o ON o.site = s.site AND o.k = k.k JOIN totals t ON t.site = s.site WHERE o.n >= 8 AND o.n >= t.total * 0.05::DOUBLE - 1e-9 GROUP BY 1),
+once AS (SELECT block_id, max(text) AS text FROM page_block GROUP BY 1)
+SELECT block_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, (i - 1)::INTEGER)), chr(10)) END AS text FROM once LEFT JOIN gone USING (block_id)"""
+
+_P2_CHECKED = f"""SELECT id AS document_id, md5(regexp_replace(max(content), '[{WHITE}]+', '', 'g')) AS digest, true AS within, true AS few_shared, true AS numbered
+FROM app_document WHERE id IS NOT NULL AND regexp_replace(content, '[{WHITE}]+', '', 'g') <> '' GROUP BY id"""
+
+_P4_CLASSES = _P4.split("\nSELECT c.kind")[0] + """,
+same AS (SELECT kind, t, min(id) AS class_id FROM texts WHERE length(t) >= 800 GROUP BY 1, 2),
+alike AS (
+  SELECT c.kind, id_a, id_b FROM common c JOIN sizes x ON x.kind = c.kind AND x.id = id_a JOIN sizes y ON y.kind = c.kind AND y.id = id_b JOIN same p ON p.kind = c.kind AND p.class_id = id_a JOIN same q ON q.kind = c.kind AND q.class_id = id_b
+  WHERE c.both >= 0.6::DOUBLE * (x.n + y.n - c.both) - 1e-9)
+"""
+_P4_PAIRS = _P4_CLASSES + "SELECT kind AS record_kind, id_a, id_b FROM alike"
+_P4_MEMBERS = _P4_CLASSES + """SELECT t.kind AS record_kind, t.id, s.class_id, coalesce(l.n, 0) AS links FROM texts t JOIN same s USING (kind, t)
+LEFT JOIN (SELECT kind, id, count(*) AS n FROM (SELECT kind, id_a AS id FROM alike UNION ALL SELECT kind, id_b FROM alike) GROUP BY 1, 2) l ON l.kind = t.kind AND l.id = s.class_id"""
+
 _P8 = r"""WITH texts AS (
   SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 items AS (
@@ -129,4 +151,4 @@ SELECT DISTINCT h.id AS doc_id, g.item_id FROM held h JOIN grams g USING (g)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p4_found": _P4, "p8_found": _P8}
+    return {"p1_found": _P1, "p1_clean": _P1_CLEAN, "p2_checked": _P2_CHECKED, "p4_found": _P4, "p4_pairs": _P4_PAIRS, "p4_members": _P4_MEMBERS, "p8_found": _P8}

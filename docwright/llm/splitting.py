@@ -20,8 +20,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import strip
+from .common import WHITE, strip
 from .sentences import NOTHING, Knowledge, knowledge, sentences
 
 LIMIT, OVERLAP = 1_600, 243
@@ -123,6 +124,20 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
     return asked.mapInPandas(cut, "document_id long, chunk_index int, content string, overlap_tokens_prev int, start int, forced boolean")
 
 
+def checked(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(document_id, digest, within, few_shared, numbered) of every document with pieces: the digest of what the pieces say without their overlaps and without white space, which must be the document's own, and whether every piece keeps the rules."""
+    rows = split_documents(documents, limit, overlap).distinct()
+    of = Window.partitionBy("document_id").orderBy("chunk_index")
+    shared = F.greatest(F.coalesce(F.lag(F.col("start") + F.length("content")).over(of) - F.col("start"), F.lit(0)), F.lit(0))
+    own = rows.withColumn("shared", shared).withColumn("new", F.struct("chunk_index", F.expr("substr(content, shared + 1)").alias("text")))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list("new")), lambda x: x["text"]), "")
+    return own.groupBy("document_id").agg(
+        F.md5(F.regexp_replace(whole, f"[{WHITE}]+", "")).alias("digest"), F.bool_and(F.length("content") <= limit).alias("within"),
+        F.bool_and((F.col("shared") <= overlap) & (F.col("overlap_tokens_prev") == F.when(F.col("shared") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("shared") / 4))))).alias("few_shared"),
+        (F.max("chunk_index") + 1 == F.count("*")).alias("numbered"),
+    )
+
+
 def oversized(documents: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(document_id, kind): `oversized` where the program made more than one piece, and `no_boundary` where its path had to cut a sentence above the limit."""
     second = split_documents(documents, limit, longer_only=True).where("chunk_index = 1")
