@@ -1,13 +1,16 @@
 """Problem 3: noise in text from scanned pages, by noisy-channel correction.
 
 1. Lines have roles. Page numbers stand alone at a page's edge in one of the usual forms; running headers are edge lines that
-   repeat on the document's pages (compared by a folding of characters that are easily confused) or have a title's
-   shape. All other lines are body. A body line's last word that goes on after a mark is joined with the next line's first.
-2. Language model: counts of the words and word pairs of all body text. Channel: `CONFUSIONS`, seen sequence from meant
-   sequence; a letter taken for a digit or sign is likelier than one for another letter, and a page's confidence scales the rate.
-3. Candidates of a word are those one confusion away that the corpus has, else two; each page gets those of its own words and
-   the pair counts they need by joins, so nothing that grows with the corpus is sent to all workers. A line's words
-   are decoded by Viterbi. Counts of the word as it was read leave out the reading itself.
+   repeat on the document's pages (compared by a folding of characters that are easily confused). All other lines are body. A body
+   line's last word that goes on after a mark is joined with the next line's first. Every page is read once into its words.
+2. Language model: in how many pages' bodies the words and word pairs of the corpus stand.
+3. Channel: which characters are read for which, and how often, is learned from the corpus (`learned`). Words that differ from a much more frequent
+   word in one short stretch are aligned with it; expectation-maximisation shares each rare word's count among the words it may stand for and
+   itself, and counts the stretches. A page's confidence scales the rate.
+4. Readings of a word are the words that the corpus has one learned confusion away, and two away for words without any; a reading stays if the misreadings
+   expected of it can account for the word (`WORTH`). Each page gets those of its own words and the pair counts they need by joins, so nothing that
+   grows with the corpus is sent to all workers. A page's words are decoded by Viterbi over word and pair counts; counts of the word as it was
+   read leave out the reading itself. A digit or sign between letters that decoding leaves is a misread character all the same.
 
 Nulls: pages with a null or empty text give nothing; a null confidence counts as `CONFIDENCE`; one of at most 1 is a share.
 Repeated rows of one ocr_id count once. A page without line breaks is line 0. Empty tables give empty results.
@@ -16,7 +19,6 @@ Repeated rows of one ocr_id count once. A page without line breaks is line 0. Em
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from math import log
@@ -24,14 +26,12 @@ from math import log
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut_lineage
 
-#: What was read, and what may have been meant.
-CONFUSIONS = {
-    "c": ("e",), "e": ("c",), "1": ("l", "i"), "l": ("i",), "i": ("l",), "5": ("s",), "@": ("a",), "0": ("o", "ó"), "+": ("t",), "9": ("g",), "8": ("b",), "6": ("b", "ó"), "$": ("s",), "|": ("l", "i"), "!": ("l", "i"),
-    "ii": ("u",), "ri": ("n",), "rn": ("m",), "rri": ("m",), "cl": ("d",), "d": ("cl",), "m": ("in", "rn", "ni"), "n": ("ri",), "h": ("ti", "b"), "b": ("h",), "t": ("f",), "f": ("t",), "vv": ("w",), "w": ("vv",), "u": ("ii",), "q": ("g",), "g": ("q",), "nn": ("m",),
-}
+#: A confusion: what may have been meant, and the logarithm of its probability, by what was read.
+Channel = dict[str, tuple[tuple[str, float], ...]]
 MARKS = "-‐­¬"
 PUNCTUATION = ".,;:!?()[]{}\"'“”„«»‹›¿¡…–—’‘/*•"
 SIGNS = set("0123456789@+$|!")
@@ -42,13 +42,14 @@ PAGE_START = re.compile(rf"\s*({FORMS})(?=\s)")
 PAGE_END = re.compile(rf"(?<=\s)({FORMS})\s*$")
 BARE_START, BARE_END = re.compile(rf"\s*({NUMBER})(?=\s)"), re.compile(rf"(?<=\s)({NUMBER})\s*$")
 HEAD_NUMBER, TAIL_NUMBER = re.compile(rf"^\s*{NUMBER}\s*\|\s*"), re.compile(rf"(?:\s{{2,}}|\s*\|\s*){NUMBER}\s*$")
-_W = r"[A-Z0-9@][\w@+!|]+"
-TITLE = rf"(?:{_W} {_W}: {_W}|{_W} [f]?[o0]r {_W} {_W}|{_W} {_W} [o0][ft] [t+f][hb][ec] {_W}|{_W} {_W} N[o0]\. ?\w{{1,4}})"
-TITLE_START, TITLE_END = re.compile(rf"\s*(?:{NUMBER}\s*\|\s*)?({TITLE})(?=\s)"), re.compile(rf"(?:^|\s)({TITLE})(?:\s{{2,}}{NUMBER})?\s*$")
 CODE = re.compile(r"^(?:[A-Z]{1,3}-\w*\d\w*(?:\.\w+)?|v\d[\w.]*|\S+@\S+\.\w+|[\W\d_]+|\d+\S*)$")
-SMALL = {"of", "the", "for", "and", "ot", "tbe", "thc", "tor", "0f", "+he", "f0r"}
 FOLD = str.maketrans("1i|!0589@+hcfq6", "llllosbgatbetgb")
-CONFIDENCE, LETTER, SIGN, SMOOTH, REPEATED = 85.0, 0.08, 0.5, 0.5, 0.05
+CONFIDENCE, SMOOTH, REPEATED = 85.0, 0.5, 0.05
+#: Learning: letters that a word and what it shares with another have at least, how much more frequent the other is, rounds, the first guess of a
+#: probability, different words that a confusion must be seen in, and its least share of all misreadings (so at most 1 / LEAST_SHARE are kept).
+LONG, RATIO, ROUNDS, GUESS, SEEN_IN, LEAST_SHARE = 3, 10, 3, 0.002, 3, 0.0005
+#: Readings: how far the expected number of misreadings is trusted (texts bear noise in clusters), and the share of a word's count that it must reach.
+TRUST, WORTH = 100.0, 0.1
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
@@ -72,18 +73,6 @@ def folded(line: str) -> str:
     return "".join(c for c in bare if c.isalpha())
 
 
-def titled(line: str) -> bool:
-    """Whether a line has a title's shape: capitals throughout, no end of a sentence."""
-    bare = TAIL_NUMBER.sub("", HEAD_NUMBER.sub("", line)).strip()
-    words = bare.split()
-    if not 3 <= len(words) <= 9 or bare[-1] in ".?!…," + MARKS and not re.search(r"N[o0]\.$", bare):
-        return False
-    if bare[-1] in "–":
-        return False
-    big = [w for w in words if not (w.lower() in SMALL or len(w) <= 3 and w.islower())]
-    return len(big) >= 2 and all(not w[0].islower() for w in big) and sum(c.isalpha() for c in bare) >= 8 and not any(re.match(r"[A-Z]{2}-\d", w) for w in words)
-
-
 def edges(lines: list[str], most: int = 2) -> list[int]:
     real = [i for i, x in enumerate(lines) if x.strip()]
     return sorted({*real[:most], *real[-most:]}) if len(real) > 1 else []
@@ -105,34 +94,25 @@ def roles(text: str, page: int | None, headers: list[str]) -> tuple[list[str], l
         inner = [i for i in range(len(lines)) if role[i] == "body"]
         for i in {*inner[:1], *inner[-1:]} if len(inner) > 1 else ():
             key = folded(lines[i])
-            if titled(lines[i]) or key and any(like(key, k) for k in keys) and lines[i].rstrip()[-1:] not in ".?!":
+            if key and any(like(key, k) for k in keys) and lines[i].rstrip()[-1:] not in ".?!":
                 role[i] = "header"
         return lines, role, set()
     kinds: set[str] = set()
     body = text
     for _ in range(2):
         for start in (True, False):
-            pattern, bare, title = (PAGE_START, BARE_START, TITLE_START) if start else (PAGE_END, BARE_END, TITLE_END)
-            hit = None
-            if "header" not in kinds:
-                hit = title.match(body) if start else title.search(body)
-                if hit is None:
-                    for h in headers:
-                        size = len(TAIL_NUMBER.sub("", HEAD_NUMBER.sub("", h)).strip())
-                        lead = HEAD_NUMBER.match(body)
-                        at = lead.end() if lead and start else len(body) - len(body.lstrip()) if start else max(0, len(body.rstrip()) - size)
-                        part = body[at : at + size] if start else TAIL_NUMBER.sub("", body.rstrip())[-size:]
-                        if size > 6 and like(folded(part), folded(h)):
-                            body = body[at + size :] if start else TAIL_NUMBER.sub("", body.rstrip())[:-size]
-                            kinds.add("header")
-                            if start and (tail := re.match(rf"\s{{2,}}{NUMBER}(?=\s)", body)):
-                                body = body[tail.end() :]
-                            break
-            if hit:
-                kinds.add("header")
-                body = body[hit.end() :] if start else body[: hit.start()]
-                if start and (tail := re.match(rf"\s{{2,}}{NUMBER}(?=\s)", body)):
-                    body = body[tail.end() :]
+            pattern, bare = (PAGE_START, BARE_START) if start else (PAGE_END, BARE_END)
+            for h in headers if "header" not in kinds else ():
+                size = len(TAIL_NUMBER.sub("", HEAD_NUMBER.sub("", h)).strip())
+                lead = HEAD_NUMBER.match(body)
+                at = lead.end() if lead and start else len(body) - len(body.lstrip()) if start else max(0, len(body.rstrip()) - size)
+                part = body[at : at + size] if start else TAIL_NUMBER.sub("", body.rstrip())[-size:]
+                if size > 6 and like(folded(part), folded(h)):
+                    body = body[at + size :] if start else TAIL_NUMBER.sub("", body.rstrip())[:-size]
+                    kinds.add("header")
+                    if start and (tail := re.match(rf"\s{{2,}}{NUMBER}(?=\s)", body)):
+                        body = body[tail.end() :]
+                    break
             if "page_number" not in kinds:
                 hit = pattern.match(body) if start else pattern.search(body)
                 if hit is None and (hit := bare.match(body) if start else bare.search(body)):
@@ -189,53 +169,57 @@ def hyphens(lines: list[str], role: list[str | None]) -> list[int]:
     return out
 
 
-def meant(word: str) -> tuple[tuple[str, int, int], ...]:
-    """(candidate, letter confusions, sign confusions) one step from a word."""
-    out: dict[str, tuple[int, int]] = {}
+def meant(word: str, channel: Channel) -> dict[str, float]:
+    """(candidate, logarithm of the probability) one confusion away from a word."""
+    out: dict[str, float] = {}
     for size in (1, 2, 3):
         for i in range(len(word) - size + 1):
-            for m in CONFUSIONS.get(word[i : i + size], ()):
-                sign = int(word[i] in SIGNS)
-                out.setdefault(word[:i] + m + word[i + size :], (1 - sign, sign))
-    return tuple((c, *n) for c, n in out.items())
-
-
-def meant_twice(word: str) -> dict[str, tuple[int, int]]:
-    out: dict[str, tuple[int, int]] = {}
-    for c, a, s in meant(word):
-        for d, b, t in meant(c):
-            if d != word and (d not in out or out[d] > (a + b, s + t)):
-                out[d] = (a + b, s + t)
+            for m, p in channel.get(word[i : i + size], ()):
+                c = word[:i] + m + word[i + size :]
+                out[c] = max(out.get(c, p), p)
     return out
 
 
-def channel(letters: int, signs: int, rate: float = 1.0) -> float:
-    return letters * log(min(0.4, LETTER * rate)) + signs * log(SIGN)
-
-
-def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        n: Counter[tuple[str, str]] = Counter()
-        for text, page, headers in zip(b["text"], b["page_number"], b["headers"]):
-            lines, role, _ = roles(text, None if pd.isna(page) else int(page), list(headers) if headers is not None else [])
-            words = [core(w) for w, _ in body_words(lines, role)]
-            n.update((w, "") for w in words if w)
-            n.update((v, w) for v, w in zip(words, words[1:]) if v and w)
-        yield pd.DataFrame([(v, w, k) for (v, w), k in n.items()], columns=["v", "w", "n"])
+def meant_twice(word: str, channel: Channel) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for c, p in meant(word, channel).items():
+        for d, q in meant(c, channel).items():
+            if d != word:
+                out[d] = max(out.get(d, p + q), p + q)
+    return out
 
 
-def page_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(w, n, rest, sub): every word without each stretch of one to three characters."""
     for b in batches:
-        rows = []
-        for i, text, page, headers in zip(b["ocr_id"], b["text"], b["page_number"], b["headers"]):
-            lines, role, _ = roles(text, None if pd.isna(page) else int(page), list(headers) if headers is not None else [])
-            rows += [(i, w) for w in {core(w) for w, _ in body_words(lines, role)} if w]
-        yield pd.DataFrame(rows, columns=["ocr_id", "w"])
-
-
-def lattice(words: list[str], known: dict[str, tuple[int, list[tuple[str, int, int, int]]]]) -> list[list[tuple[str, int, int, int]]]:
-    """Of each word the readings (word, count, letter confusions, sign confusions), the one that was read first, its count without itself."""
-    return [[(w, max(0, known[w][0] - 1), 0, 0), *known[w][1]] if w in known else [(w, 0, 0, 0)] for w in words]
+        rows = [(w, n, w[:i] + "\x00" + w[i + k :], w[i : i + k]) for w, n in zip(b["w"], b["n"]) for k in (1, 2, 3) for i in range(len(w) - k + 1) if len(w) - k >= LONG]
+        yield pd.DataFrame(rows, columns=["w", "n", "rest", "sub"])
+
+
+def learned(words: DataFrame) -> Channel:
+    """The channel from the words of a corpus (w, n), by expectation-maximisation over aligned words."""
+    cut = cut_lineage(words.mapInPandas(stretches, "w string, n long, rest string, sub string"))
+    side = lambda x: cut.select("rest", F.col("w").alias(x), F.col("n").alias(f"n_{x}"), F.col("sub").alias(f"sub_{x}"))
+    apart = (F.left("sub_w", F.lit(1)) != F.left("sub_v", F.lit(1))) & (F.right("sub_w", F.lit(1)) != F.right("sub_v", F.lit(1)))
+    pairs = cut_lineage(side("w").join(side("v"), "rest").where((F.col("n_v") >= F.col("n_w") * RATIO) & apart).select("w", "n_w", "v", "n_v", F.col("sub_w").alias("seen"), F.col("sub_v").alias("meant")).distinct())
+    chances = cut_lineage(cut.groupBy(F.col("sub").alias("meant")).agg(F.sum("n").alias("chances")))
+    table = pairs.select("seen", "meant").distinct().withColumn("p", F.lit(GUESS))
+    of = Window.partitionBy("w")
+    for _ in range(ROUNDS):
+        expected = pairs.join(table, ["seen", "meant"]).withColumn("expected", F.col("n_v") * F.col("p"))
+        shared = expected.withColumn("part", F.col("n_w") * F.col("expected") / (F.col("n_w") + F.sum("expected").over(of)))
+        counted = shared.groupBy("seen", "meant").agg(F.sum("part").alias("part"), F.count_distinct("w").alias("seen_in"))
+        table = cut_lineage(counted.join(chances, "meant").select("seen", "meant", (F.col("part") / F.col("chances")).alias("p"), "part", "seen_in"))
+    total = table.agg(F.sum("part")).first()[0] or 0.0
+    out: dict[str, list[tuple[str, float]]] = {}
+    for r in table.where((F.col("seen_in") >= SEEN_IN) & (F.col("part") >= total * LEAST_SHARE) & (F.col("p") > 0)).select("seen", "meant", "p").orderBy("seen", "meant").collect():
+        out.setdefault(r["seen"], []).append((r["meant"], log(r["p"])))
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def lattice(words: list[str], known: dict[str, tuple[int, list[tuple[str, int, float, int]]]]) -> list[list[tuple[str, int, float, int]]]:
+    """Of each word the readings (word, count, logarithm of the probability, confusions), the one that was read first, its count without itself."""
+    return [[(w, max(0, known[w][0] - 1), 0.0, 0), *known[w][1]] if w in known else [(w, 0, 0.0, 0)] for w in words]
 
 
 def decode(words: list[str], known: dict, pair: dict[tuple[str, str], int], rate: float) -> list[str]:
@@ -244,13 +228,13 @@ def decode(words: list[str], known: dict, pair: dict[tuple[str, str], int], rate
     best: list[list[tuple[float, int]]] = []
     for i, options in enumerate(nodes):
         row = []
-        for w, n, a, s in options:
-            own = channel(a, s, rate)
+        for w, n, p, steps in options:
+            own = p + (log(TRUST) + log(rate)) * steps
             if len(options) == 1 and (i == 0 or len(nodes[i - 1]) == 1):
                 row.append((best[-1][0][0] if i else 0.0, 0))
                 continue
             score = (-1e18, 0)
-            for j, (v, _, _, _) in enumerate(nodes[i - 1] if i else [("", 0, 0, 0)]):
+            for j, (v, *_) in enumerate(nodes[i - 1] if i else [("", 0, 0.0, 0)]):
                 seen = pair.get((v, w), 0)
                 if i and (w == words[i] and v == words[i - 1]):
                     seen = max(0, seen - 1)
@@ -295,27 +279,19 @@ def recased(token: str, seen: str, right: str) -> str:
     return token[:at] + new + token[at + len(seen) :]
 
 
-def examined(row: tuple) -> tuple[list[tuple[int, str]], str]:
-    """(line, kind) of a page's noise, and its repaired text."""
-    text, page, confidence, headers, doubtful, pairs = row
-    lines, role, kinds = roles(text, None if pd.isna(page) else int(page), list(headers) if headers is not None else [])
-    found = {(0, k) for k in kinds} | {(i, r) for i, r in enumerate(role) if r in ("header", "page_number")} | {(i, "hyphen") for i in hyphens(lines, role)}
-    words = body_words(lines, role)
-    cores = [core(w) for w, _ in words]
-    known = {d["w"]: (d["n"], [(c["cand"], c["n"], c["letters"], c["signs"]) for c in d["cands"]]) for d in (doubtful if doubtful is not None else ())}
-    pair = {(p["v"], p["w"]): p["n"] for p in (pairs if pairs is not None else ())}
-    meant_words = decode(cores, known, pair, rate_of(confidence)) if cores else []
-    repaired = []
-    for (token, parts), seen, right in zip(words, cores, meant_words):
-        wrong = seen and seen != right
-        signs = seen and not wrong and re.search(r"[^\W\d_][0-9@+$|][^\W\d_]", seen) and not CODE.match(token.strip(PUNCTUATION)) and len(seen) > 3
-        if wrong:
-            found |= {(i, "misread") for i in wrong_lines(parts, seen, right)}
-            token = recased(token, seen, right)
-        elif signs:
-            found.add((parts[0][0], "misread"))
-        repaired.append(token)
-    return sorted(found), " ".join(repaired)
+def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each page once: its noise by layout, and its body's words with their parts by line."""
+    for b in batches:
+        rows = []
+        for i, text, page, confidence, headers in b[["ocr_id", "text", "page_number", "confidence", "headers"]].itertuples(index=False, name=None):
+            lines, role, kinds = roles(text, None if pd.isna(page) else int(page), list(headers) if headers is not None else [])
+            found = {(0, k) for k in kinds} | {(n, r) for n, r in enumerate(role) if r in ("header", "page_number")} | {(n, "hyphen") for n in hyphens(lines, role)}
+            words = body_words(lines, role)
+            rows.append((i, confidence, [{"line": n, "kind": k} for n, k in sorted(found)], [core(w) for w, _ in words], [{"word": k, "line": n, "part": p} for k, (_, parts) in enumerate(words) for n, p in parts]))
+        yield pd.DataFrame(rows, columns=["ocr_id", "confidence", "found", "cores", "parts"])
+
+
+READ = "ocr_id long, confidence double, found array<struct<line:int,kind:string>>, cores array<string>, parts array<struct<word:int,line:int,part:string>>"
 
 
 class Pages:
@@ -329,7 +305,7 @@ class Pages:
                 rows = []
                 for d, p, t in zip(b["document_id"], b["page_number"], b["text"]):
                     lines = t.split("\n")
-                    rows += [(d, p, key, lines[i].strip()) for i in edges(lines) if not PAGE_LINE.match(lines[i]) and len(key := folded(lines[i])) >= 6 and len(lines[i]) <= 120]
+                    rows += [(d, p, key, lines[i].strip()) for i in edges(lines) if not PAGE_LINE.match(lines[i]) and len(key := folded(lines[i])) >= 6]
                 yield pd.DataFrame(rows, columns=["document_id", "page_number", "key", "line"])
 
         seen = good.where("document_id is not null").mapInPandas(edge_lines, "document_id long, page_number int, key string, line string")
@@ -337,63 +313,79 @@ class Pages:
         often = seen.groupBy("document_id", "key").agg(F.count_distinct("page_number").alias("pages"), F.min("line").alias("line")).where("pages >= 2").join(total, "document_id")
         often = often.where(F.col("pages") >= F.col("total") * REPEATED)  # so a document has at most 4 / REPEATED of them
         headers = often.groupBy("document_id").agg(F.collect_set("line").alias("headers"))
-        self.pages = cut_lineage(good.join(headers, "document_id", "left"))
-        grams = self.pages.mapInPandas(count_grams, "v string, w string, n long").groupBy("v", "w").agg(F.sum("n").alias("n"))
-        self.grams = cut_lineage(grams)
+        self.pages = cut_lineage(good.join(headers, "document_id", "left").mapInPandas(read_pages, READ))
+        self.single = cut_lineage(self.pages.select(F.explode(F.array_distinct("cores")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n")))
+        beside = F.expr("transform(sequence(1, size(cores) - 1), i -> struct(cores[i - 1] as v, cores[i] as w))")
+        both = self.pages.where("size(cores) > 1").select(F.explode(F.array_distinct(beside)).alias("p")).select("p.v", "p.w")
+        self.pairs = cut_lineage(both.where("v <> '' and w <> ''").groupBy("v", "w").agg(F.count("*").alias("n")))
 
     def doubtful(self) -> DataFrame:
-        """(w, n, cands): words that the corpus has a likelier reading of; at most four readings a word, the likeliest by the channel and the counts."""
-        single = self.grams.where("w = ''").select(F.col("v").alias("w"), "n")
+        """(w, n, cands): words that the corpus has a likelier reading of, with all their readings."""
+        channel = learned(self.single)
 
-        def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def readings(batches: Iterator[pd.DataFrame], away, steps: int) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame([(w, n, c, a, s) for w, n in zip(b["w"], b["n"]) for c, a, s in meant(w)], columns=["w", "own", "cand", "letters", "signs"])
+                yield pd.DataFrame([(w, n, c, p, steps) for w, n in zip(b["w"], b["n"]) for c, p in away(w, channel).items()], columns=["w", "own", "cand", "p", "steps"])
 
-        def twice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield pd.DataFrame([(w, n, c, a, s) for w, n in zip(b["w"], b["n"]) for c, (a, s) in meant_twice(w).items()], columns=["w", "own", "cand", "letters", "signs"])
-
-        schema = "w string, own long, cand string, letters int, signs int"
-        corpus = single.select(F.col("w").alias("cand"), "n").where("n >= 3")
-        weight = F.col("n") * F.pow(F.lit(LETTER), F.col("letters")) * F.pow(F.lit(SIGN), F.col("signs"))
-        kept = lambda df: df.join(corpus, "cand").where(weight >= F.col("own") * 0.1)
-        first = cut_lineage(kept(single.mapInPandas(once, schema)))
-        rest = single.where("n <= 3 and length(w) >= 5").join(first.select("w").distinct(), "w", "left_anti")
-        both = first.unionByName(kept(rest.mapInPandas(twice, schema))).withColumn("weight", weight)
-        best = F.slice(F.sort_array(F.collect_list(F.struct("weight", "cand", "n", "letters", "signs")), asc=False), 1, 4)
-        return both.groupBy("w").agg(F.max("own").alias("n"), best.alias("cands"))
+        schema = "w string, own long, cand string, p double, steps int"
+        corpus = self.single.select(F.col("w").alias("cand"), "n")
+        weight = F.col("n") * F.exp("p") * F.pow(F.lit(TRUST), F.col("steps"))
+        kept = lambda df: df.join(corpus, "cand").where((F.col("n") > F.col("own")) & (weight >= F.col("own") * WORTH))
+        first = cut_lineage(kept(self.single.mapInPandas(lambda x: readings(x, meant, 1), schema)))
+        rest = self.single.join(first.select("w").distinct(), "w", "left_anti")
+        found = first.unionByName(kept(rest.mapInPandas(lambda x: readings(x, meant_twice, 2), schema)))
+        return found.groupBy("w").agg(F.max("own").alias("n"), F.collect_list(F.struct("cand", "n", "p", "steps")).alias("cands"))
 
     def examine(self) -> DataFrame:
         """(ocr_id, line_no, kind, text): noise by line, and with line_no -1 the repaired text."""
         doubt = cut_lineage(self.doubtful())
-        of_page = self.pages.mapInPandas(page_words, "ocr_id long, w string").join(doubt, "w").groupBy("ocr_id").agg(F.collect_list(F.struct("w", "n", "cands")).alias("doubtful"))
+        of_page = self.pages.select("ocr_id", F.explode(F.array_distinct("cores")).alias("w")).join(doubt, "w").groupBy("ocr_id").agg(F.collect_list(F.struct("w", "n", "cands")).alias("doubtful"))
         rows = self.pages.join(of_page, "ocr_id", "left")
 
         def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = []
-                for i, text, page, headers, doubtful in zip(b["ocr_id"], b["text"], b["page_number"], b["headers"], b["doubtful"]):
-                    if doubtful is None:
-                        continue
-                    lines, role, _ = roles(text, None if pd.isna(page) else int(page), list(headers) if headers is not None else [])
+                for i, words, doubtful in zip(b["ocr_id"], b["cores"], b["doubtful"]):
                     known = {d["w"]: [d["w"], *(c["cand"] for c in d["cands"])] for d in doubtful}
-                    words = [core(w) for w, _ in body_words(lines, role)]
                     out += [(i, v, w) for v, w in {(v, w) for x, y in zip(words, words[1:]) if x and y and (x in known or y in known) for v in known.get(x, [x]) for w in known.get(y, [y])}]
                 yield pd.DataFrame(out, columns=["ocr_id", "v", "w"])
 
-        pairs = rows.mapInPandas(needed, "ocr_id long, v string, w string").join(self.grams.where("w <> ''"), ["v", "w"]).groupBy("ocr_id").agg(F.collect_list(F.struct("v", "w", "n")).alias("pairs"))
+        asked = rows.where("doubtful is not null").select("ocr_id", "cores", "doubtful").mapInPandas(needed, "ocr_id long, v string, w string")
+        pairs = asked.join(self.pairs, ["v", "w"]).groupBy("ocr_id").agg(F.collect_list(F.struct("v", "w", "n")).alias("pairs"))
 
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = []
-                for i, *row in b[["ocr_id", "text", "page_number", "confidence", "headers", "doubtful", "pairs"]].itertuples(index=False, name=None):
-                    found, text = examined(tuple(row))
+                for i, *row in b[["ocr_id", "confidence", "found", "cores", "parts", "doubtful", "pairs"]].itertuples(index=False, name=None):
+                    found, text = examined(*row)
                     out += [(i, n, k, None) for n, k in found] + [(i, -1, "text", text)]
                 yield pd.DataFrame(out, columns=["ocr_id", "line_no", "kind", "text"])
 
         return rows.join(pairs, "ocr_id", "left").mapInPandas(look, "ocr_id long, line_no int, kind string, text string")
 
 
+def examined(confidence, found, cores, parts, doubtful, pairs) -> tuple[list[tuple[int, str]], str]:
+    """(line, kind) of a page's noise, and its repaired text."""
+    noise_ = {(f["line"], f["kind"]) for f in found}
+    known = {d["w"]: (d["n"], [(c["cand"], c["n"], c["p"], c["steps"]) for c in d["cands"]]) for d in (doubtful if doubtful is not None else ())}
+    pair = {(p["v"], p["w"]): p["n"] for p in (pairs if pairs is not None else ())}
+    by_word: dict[int, list[tuple[int, str]]] = {}
+    for p in parts:
+        by_word.setdefault(p["word"], []).append((p["line"], p["part"]))
+    repaired = []
+    for k, (seen, right) in enumerate(zip(cores, decode(list(cores), known, pair, rate_of(confidence)) if len(cores) else ())):
+        own = by_word[k]
+        token = "".join(p for _, p in own)
+        wrong = seen and seen != right
+        if wrong:
+            noise_ |= {(i, "misread") for i in wrong_lines(own, seen, right)}
+            token = recased(token, seen, right)
+        elif seen and len(seen) > 3 and re.search(r"[^\W\d_][0-9@+$|][^\W\d_]", seen) and not CODE.match(token.strip(PUNCTUATION)):
+            noise_.add((own[0][0], "misread"))
+        repaired.append(token)
+    return sorted(noise_), " ".join(repaired)
+
+
 def noise(ocr: DataFrame) -> DataFrame:
     return Pages(ocr).examine().where("line_no >= 0").select("ocr_id", "line_no", "kind")
 
