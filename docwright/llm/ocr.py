@@ -46,10 +46,10 @@ CODE = re.compile(r"^(?:[A-Z]{1,3}-\w*\d\w*(?:\.\w+)?|v\d[\w.]*|\S+@\S+\.\w+|[\W
 FOLD = str.maketrans("1i|!0589@+hcfq6", "llllosbgatbetgb")
 CONFIDENCE, SMOOTH, REPEATED = 85.0, 0.5, 0.05
 #: Learning: letters that a word and what it shares with another have at least, how much more frequent the other is, rounds, the first guess of a
-#: probability, different words that a confusion must be seen in, and its least share of all misreadings (so at most 1 / LEAST_SHARE are kept).
-LONG, RATIO, ROUNDS, GUESS, SEEN_IN, LEAST_SHARE = 3, 10, 3, 0.002, 3, 0.0005
+#: probability, how likely such a rare word is one of its own, different words that a confusion must be seen in, and its least share of all misreadings (so at most 1 / LEAST_SHARE are kept).
+LONG, RATIO, ROUNDS, GUESS, OWN, SEEN_IN, LEAST_SHARE = 3, 10, 3, 0.002, 0.1, 3, 0.0005
 #: Readings: how far the expected number of misreadings is trusted (texts bear noise in clusters), and the share of a word's count that it must reach.
-TRUST, WORTH = 100.0, 0.1
+TRUST, WORTH = 25.0, 0.1
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 
 
@@ -207,7 +207,7 @@ def learned(words: DataFrame) -> Channel:
     of = Window.partitionBy("w")
     for _ in range(ROUNDS):
         expected = pairs.join(table, ["seen", "meant"]).withColumn("expected", F.col("n_v") * F.col("p"))
-        shared = expected.withColumn("part", F.col("n_w") * F.col("expected") / (F.col("n_w") + F.sum("expected").over(of)))
+        shared = expected.withColumn("part", F.col("n_w") * F.col("expected") / (F.col("n_w") * OWN + F.sum("expected").over(of)))
         counted = shared.groupBy("seen", "meant").agg(F.sum("part").alias("part"), F.count_distinct("w").alias("seen_in"))
         table = cut_lineage(counted.join(chances, "meant").select("seen", "meant", (F.col("part") / F.col("chances")).alias("p"), "part", "seen_in"))
     total = table.agg(F.sum("part")).first()[0] or 0.0
