@@ -1,12 +1,12 @@
 """Problem 1: lines repeated across the documents of one site.
 
-Every (site, line key) owns a bitmap of documents, stored compressed: only the non-zero 64-bit words stay, one row a word
-(`word`, `bits`). Variant spellings of a line (other digits, spaces, case) have one key, so the union of their bitmaps is
-`bit_or` under that key, and an exact cardinality is the sum of `bit_count`. Both steps combine on the map side, so a site
-or a line that holds a third of all rows reaches no task whole.
+Every (site, line) owns a bitmap of documents, stored compressed: only the non-zero 64-bit words stay, one row a word
+(`word`, `bits`). The bitmaps of variant spellings of a line (other digits, spaces, case: one key) are united by `bit_or`, an exact
+cardinality is the sum of `bit_count`, and a line is deleted from a document where the excessive line's bitmap has the document's bit. All
+steps combine on the map side, so a site or a line that holds a third of all rows reaches no task whole.
 
 Nulls: a null text has no lines; a null document_id belongs to no site; a document without metadata takes its site from
-`page_block.site`; one without either takes the site null, which is a site of its own. Lines without letters never count.
+`page_block.site`; one without either takes the site '', which is a site of its own. Lines without letters never count.
 Repeated rows set the same bit twice. Empty tables give empty results. Extra columns are ignored.
 """
 
@@ -30,22 +30,27 @@ def document_sites(blocks: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def line_keys(blocks: DataFrame, *more: str) -> DataFrame:
-    """(block_id, document_id, line_no, k1, k2) and more columns: each line that has letters, with 96 bits of hash over its lower-cased letters."""
+    """(block_id, document_id, line_no, variant, k1, k2) and more columns: each line that has letters, with a hash of it as it stands and 96 bits of hash over its lower-cased letters."""
     lines = blocks.where(F.col("document_id").isNotNull()).select("block_id", "document_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     letters = F.regexp_replace(F.lower("line"), r"[^\p{L}]+", "")
-    return lines.withColumn("letters", letters).where("letters <> ''").select("block_id", "document_id", *more, "line_no", F.xxhash64("letters").alias("k1"), F.hash("letters").alias("k2"))
+    return lines.withColumn("letters", letters).where("letters <> ''").select("block_id", "document_id", *more, "line_no", F.xxhash64("line").alias("variant"), F.xxhash64("letters").alias("k1"), F.hash("letters").alias("k2"))
 
 
 def line_bitmaps(keys: DataFrame) -> DataFrame:
-    """(site, k1, k2, word, bits): the compressed bitmaps, variants united."""
+    """(site, k1, k2, word, bits): the compressed bitmaps of lines, those of variants united."""
     bit = F.expr("shiftleft(1L, int(pmod(document_id, 64)))")
-    return keys.groupBy("site", "k1", "k2", F.floor(F.col("document_id") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    own = keys.groupBy("site", "k1", "k2", "word", "variant").agg(F.bit_or(bit).alias("bits"))
+    return own.groupBy("site", "k1", "k2", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def excessive_lines(blocks: DataFrame, sites: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def sited(blocks: DataFrame, sites: DataFrame) -> DataFrame:
+    """The line keys with their site, and the word of the bitmap that the document's bit is in."""
+    return line_keys(blocks).join(sites, "document_id").withColumn("word", F.floor(F.col("document_id") / 64))
+
+
+def excessive_lines(bitmaps: DataFrame, sites: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(site, k1, k2) of the lines in at least `share` of their site's documents and in at least `least`."""
-    keys = line_keys(blocks).join(sites, "document_id")
-    often = line_bitmaps(keys).groupBy("site", "k1", "k2").agg(F.sum(F.bit_count("bits")).alias("docs")).where(F.col("docs") >= least)
+    often = bitmaps.groupBy("site", "k1", "k2").agg(F.sum(F.bit_count("bits")).alias("docs")).where(F.col("docs") >= least)
     totals = sites.groupBy("site").agg(F.count("*").alias("total"))
     return often.join(totals, "site").where(F.col("docs") >= F.col("total") * share - 1e-9).select("site", "k1", "k2")
 
@@ -53,8 +58,11 @@ def excessive_lines(blocks: DataFrame, sites: DataFrame, share: float = SHARE, l
 def repeated_lines(blocks: DataFrame, metadata: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(block_id, line_no) of every line that stands in at least `share` of its site's documents and in at least `least`."""
     sites = document_sites(blocks, metadata)
-    excessive = excessive_lines(blocks, sites, share, least)
-    return line_keys(blocks).join(sites, "document_id").join(excessive, ["site", "k1", "k2"], "left_semi").select("block_id", "line_no").distinct()
+    keys = sited(blocks, sites)
+    bitmaps = line_bitmaps(keys)
+    marked = bitmaps.join(excessive_lines(bitmaps, sites, share, least), ["site", "k1", "k2"])
+    has = F.expr("(shiftrightunsigned(bits, int(pmod(document_id, 64))) & 1L) = 1L")
+    return keys.join(marked, ["site", "k1", "k2", "word"]).where(has).select("block_id", "line_no").distinct()
 
 
 def without_lines(blocks: DataFrame, found: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boilerplate import document_sites, line_keys, excessive_lines
+from .boilerplate import document_sites, excessive_lines, line_bitmaps, line_keys, sited
 from .common import cut_lineage
 
 #: Texts that must show a word before the corpus speaks of it: at least so many, and at least this share of all.
@@ -338,7 +338,7 @@ def with_notices(texts: DataFrame, blocks: DataFrame, metadata: DataFrame) -> Da
     Only texts in which a line stands next to another one can need it.
     """
     sites = cut_lineage(document_sites(blocks, metadata))
-    excessive = cut_lineage(excessive_lines(blocks, sites))
+    excessive = cut_lineage(excessive_lines(line_bitmaps(sited(blocks, sites)), sites))
     several = texts.where(r"document_id is not null and text rlike '\\n[^\n]*\\S'").select("unit_kind", F.col("unit_id").alias("block_id"), "document_id", "text")
     lines = line_keys(several, "unit_kind").join(sites, "document_id").join(excessive, ["site", "k1", "k2"], "left_semi")
     of_text = lines.groupBy("unit_kind", F.col("block_id").alias("unit_id")).agg(F.collect_set("line_no").alias("notices"))
