@@ -198,11 +198,12 @@ def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learned(words: DataFrame) -> Channel:
     """The channel from the words of a corpus (w, n), by expectation-maximisation over aligned words."""
-    cut = cut_lineage(words.mapInPandas(stretches, "w string, n long, rest string, sub string"))
-    side = lambda x: cut.select("rest", F.col("w").alias(x), F.col("n").alias(f"n_{x}"), F.col("sub").alias(f"sub_{x}"))
+    cut = words.mapInPandas(stretches, "w string, n long, rest string, sub string")
+    often = words.where(F.col("n") >= RATIO).mapInPandas(stretches, "w string, n long, rest string, sub string")
+    side = lambda x, df: df.select("rest", F.col("w").alias(x), F.col("n").alias(f"n_{x}"), F.col("sub").alias(f"sub_{x}"))
     apart = (F.left("sub_w", F.lit(1)) != F.left("sub_v", F.lit(1))) & (F.right("sub_w", F.lit(1)) != F.right("sub_v", F.lit(1)))
-    pairs = cut_lineage(side("w").join(side("v"), "rest").where((F.col("n_v") >= F.col("n_w") * RATIO) & apart).select("w", "n_w", "v", "n_v", F.col("sub_w").alias("seen"), F.col("sub_v").alias("meant")).distinct())
-    chances = cut_lineage(cut.groupBy(F.col("sub").alias("meant")).agg(F.sum("n").alias("chances")))
+    pairs = cut_lineage(side("w", cut).join(side("v", often), "rest").where((F.col("n_v") >= F.col("n_w") * RATIO) & apart).select("w", "n_w", "v", "n_v", F.col("sub_w").alias("seen"), F.col("sub_v").alias("meant")).distinct())
+    chances = cut_lineage(often.groupBy(F.col("sub").alias("meant")).agg(F.sum("n").alias("chances")))
     table = pairs.select("seen", "meant").distinct().withColumn("p", F.lit(GUESS))
     of = Window.partitionBy("w")
     for _ in range(ROUNDS):
@@ -280,18 +281,18 @@ def recased(token: str, seen: str, right: str) -> str:
 
 
 def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each page once: its noise by layout, and its body's words with their parts by line."""
+    """Each page once: its noise by layout, and its body's words by line; words broken over two lines with the size of their first part."""
     for b in batches:
         rows = []
         for i, text, page, confidence, headers in b[["ocr_id", "text", "page_number", "confidence", "headers"]].itertuples(index=False, name=None):
             lines, role, kinds = roles(text, None if pd.isna(page) else int(page), list(headers) if headers is not None else [])
             found = {(0, k) for k in kinds} | {(n, r) for n, r in enumerate(role) if r in ("header", "page_number")} | {(n, "hyphen") for n in hyphens(lines, role)}
             words = body_words(lines, role)
-            rows.append((i, confidence, [{"line": n, "kind": k} for n, k in sorted(found)], [core(w) for w, _ in words], [{"word": k, "line": n, "part": p} for k, (_, parts) in enumerate(words) for n, p in parts]))
-        yield pd.DataFrame(rows, columns=["ocr_id", "confidence", "found", "cores", "parts"])
+            rows.append((i, confidence, [{"line": n, "kind": k} for n, k in sorted(found)], [core(w) for w, _ in words], [w for w, _ in words], [parts[0][0] for _, parts in words], [{"word": k, "size": len(parts[0][1]), "line": parts[1][0]} for k, (_, parts) in enumerate(words) if len(parts) > 1]))
+        yield pd.DataFrame(rows, columns=["ocr_id", "confidence", "found", "cores", "tokens", "lines", "broken"])
 
 
-READ = "ocr_id long, confidence double, found array<struct<line:int,kind:string>>, cores array<string>, parts array<struct<word:int,line:int,part:string>>"
+READ = "ocr_id long, confidence double, found array<struct<line:int,kind:string>>, cores array<string>, tokens array<string>, lines array<int>, broken array<struct<word:int,size:int,line:int>>"
 
 
 class Pages:
@@ -356,7 +357,7 @@ class Pages:
         def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = []
-                for i, *row in b[["ocr_id", "confidence", "found", "cores", "parts", "doubtful", "pairs"]].itertuples(index=False, name=None):
+                for i, *row in b[["ocr_id", "confidence", "found", "cores", "tokens", "lines", "broken", "doubtful", "pairs"]].itertuples(index=False, name=None):
                     found, text = examined(*row)
                     out += [(i, n, k, None) for n, k in found] + [(i, -1, "text", text)]
                 yield pd.DataFrame(out, columns=["ocr_id", "line_no", "kind", "text"])
@@ -364,18 +365,18 @@ class Pages:
         return rows.join(pairs, "ocr_id", "left").mapInPandas(look, "ocr_id long, line_no int, kind string, text string")
 
 
-def examined(confidence, found, cores, parts, doubtful, pairs) -> tuple[list[tuple[int, str]], str]:
+def examined(confidence, found, cores, tokens, lines, broken, doubtful, pairs) -> tuple[list[tuple[int, str]], str]:
     """(line, kind) of a page's noise, and its repaired text."""
     noise_ = {(f["line"], f["kind"]) for f in found}
     known = {d["w"]: (d["n"], [(c["cand"], c["n"], c["p"], c["steps"]) for c in d["cands"]]) for d in (doubtful if doubtful is not None else ())}
     pair = {(p["v"], p["w"]): p["n"] for p in (pairs if pairs is not None else ())}
-    by_word: dict[int, list[tuple[int, str]]] = {}
-    for p in parts:
-        by_word.setdefault(p["word"], []).append((p["line"], p["part"]))
+    second = {x["word"]: (x["size"], x["line"]) for x in broken}
     repaired = []
     for k, (seen, right) in enumerate(zip(cores, decode(list(cores), known, pair, rate_of(confidence)) if len(cores) else ())):
-        own = by_word[k]
-        token = "".join(p for _, p in own)
+        token, own = tokens[k], [(lines[k], tokens[k])]
+        if k in second:
+            size, line = second[k]
+            own = [(lines[k], token[:size]), (line, token[size:])]
         wrong = seen and seen != right
         if wrong:
             noise_ |= {(i, "misread") for i in wrong_lines(own, seen, right)}
