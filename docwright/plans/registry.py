@@ -306,7 +306,40 @@ def _line_tables(spark, d):
     return _cells(spark, d).where(E.big_enough(F.col("cells"))).select("document_id", "page_number", E.markdown(F.col("cells")).alias("markdown"))
 
 
-@query()
+_NUMERIC = r"^(?i)[+-]?((\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf(inity)?|nan)$"
+_MARKDOWN = rf"""lines AS (SELECT document_id, page_number, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10)))))::INTEGER AS r FROM (SELECT document_id, page_number, max(text) AS t FROM ocr_result GROUP BY 1, 2)),
+sized AS (SELECT document_id, page_number, count(*) AS n, max(len(string_split(line, ' '))) AS widest, max(CASE WHEN r = 0 THEN len(string_split(line, ' ')) END) AS head FROM lines GROUP BY 1, 2),
+cells AS (
+  SELECT l.document_id, l.page_number, l.r, c.c, regexp_replace(coalesce(string_split(line, ' ')[c.c + 1], ''), '^[{T.WHITE}]+|[{T.WHITE}]+$', '', 'g') AS cell
+  FROM lines l JOIN sized s USING (document_id, page_number), LATERAL (SELECT unnest(range(s.widest))::INTEGER AS c) c WHERE s.n >= 2 AND s.widest >= 2),
+heads AS (
+  SELECT document_id, page_number, count(*) FILTER (WHERE cell <> '' AND NOT regexp_matches(regexp_replace(regexp_replace(cell, '[,%]', '', 'g'), '^[{T.WHITE}]+|[{T.WHITE}]+$', '', 'g'), '{_NUMERIC}')) >= count(*) * 0.5 AS is_head
+  FROM cells WHERE r = 0 GROUP BY 1, 2),
+every AS (
+  SELECT * FROM cells UNION ALL
+  SELECT c.document_id, c.page_number, -1, c.c, 'col_' || c.c FROM cells c JOIN heads h USING (document_id, page_number) WHERE c.r = 0 AND NOT h.is_head),
+widths AS (SELECT document_id, page_number, c, max(length(cell)) AS w FROM every GROUP BY 1, 2, 3),
+drawn AS (
+  SELECT document_id, page_number, r::DOUBLE AS r, '| ' || string_agg(cell || repeat(' ', w - length(cell)), ' | ' ORDER BY c) || ' |' AS line FROM every JOIN widths USING (document_id, page_number, c) GROUP BY 1, 2, 3
+  UNION ALL SELECT document_id, page_number, CASE WHEN h.is_head THEN 0.5 ELSE -0.5 END, '| ' || string_agg(repeat('-', w), ' | ' ORDER BY c) || ' |' FROM widths JOIN heads h USING (document_id, page_number) GROUP BY 1, 2, 3),
+markdown AS (SELECT document_id, page_number, string_agg(line, chr(10) ORDER BY r) AS markdown FROM drawn GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_MARKDOWN},
+whole AS (SELECT *, greatest(1, length(markdown) // 4) <= 100 AS small FROM markdown),
+ls AS (SELECT document_id, page_number, unnest(string_split(markdown, chr(10))) AS line, unnest(range(len(string_split(markdown, chr(10)))))::INTEGER AS i FROM whole WHERE NOT small),
+head AS (SELECT document_id, page_number, string_agg(line, chr(10) ORDER BY i) AS head FROM ls WHERE i < 2 GROUP BY 1, 2),
+items AS (SELECT l.document_id, l.page_number, i - 1 AS r, line, greatest(1, length(line) // 4)::BIGINT AS w, 100 - greatest(1, length(head) // 4) AS room FROM ls l JOIN head USING (document_id, page_number) WHERE i >= 2),
+packed AS (
+  SELECT document_id, page_number, r, 1 AS grp, w AS total FROM items WHERE r = 1
+  UNION ALL SELECT i.document_id, i.page_number, i.r, CASE WHEN p.total + i.w > i.room THEN p.grp + 1 ELSE p.grp END, CASE WHEN p.total + i.w > i.room THEN i.w ELSE p.total + i.w END
+  FROM packed p JOIN items i ON i.document_id = p.document_id AND i.page_number = p.page_number AND i.r = p.r + 1),
+parts AS (
+  SELECT p.document_id, p.page_number, (grp - 1)::INTEGER AS pos, any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY r) AS text FROM packed p JOIN items USING (document_id, page_number, r) JOIN head USING (document_id, page_number) GROUP BY 1, 2, 3
+  UNION ALL SELECT document_id, page_number, 0, markdown FROM whole WHERE small)
+SELECT document_id::VARCHAR AS doc, page_number AS page, pos, text, greatest(1, length(text) // 4)::INTEGER AS token_count FROM parts"""
+)
 def table_chunks(spark, d):
     t = _line_tables(spark, d).select(F.col("document_id").alias("doc"), F.col("page_number").alias("page"), F.lit(0).alias("table_index"), "markdown", F.lit(None).cast("string").alias("caption"))
     return K.table_chunks(t, 100).select("doc", "page", "pos", "text", "token_count")
@@ -627,25 +660,6 @@ def scanned_pages(spark, d):
     return E.scanned_pages(blocks(spark, d))
 
 
-_NUMERIC = r"^(?i)[+-]?((\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf(inity)?|nan)$"
-_MARKDOWN = rf"""lines AS (SELECT document_id, page_number, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10)))))::INTEGER AS r FROM (SELECT document_id, page_number, max(text) AS t FROM ocr_result GROUP BY 1, 2)),
-sized AS (SELECT document_id, page_number, count(*) AS n, max(len(string_split(line, ' '))) AS widest, max(CASE WHEN r = 0 THEN len(string_split(line, ' ')) END) AS head FROM lines GROUP BY 1, 2),
-cells AS (
-  SELECT l.document_id, l.page_number, l.r, c.c, regexp_replace(coalesce(string_split(line, ' ')[c.c + 1], ''), '^[{T.WHITE}]+|[{T.WHITE}]+$', '', 'g') AS cell
-  FROM lines l JOIN sized s USING (document_id, page_number), LATERAL (SELECT unnest(range(s.widest))::INTEGER AS c) c WHERE s.n >= 2 AND s.widest >= 2),
-heads AS (
-  SELECT document_id, page_number, count(*) FILTER (WHERE cell <> '' AND NOT regexp_matches(regexp_replace(regexp_replace(cell, '[,%]', '', 'g'), '^[{T.WHITE}]+|[{T.WHITE}]+$', '', 'g'), '{_NUMERIC}')) >= count(*) * 0.5 AS is_head
-  FROM cells WHERE r = 0 GROUP BY 1, 2),
-every AS (
-  SELECT * FROM cells UNION ALL
-  SELECT c.document_id, c.page_number, -1, c.c, 'col_' || c.c FROM cells c JOIN heads h USING (document_id, page_number) WHERE c.r = 0 AND NOT h.is_head),
-widths AS (SELECT document_id, page_number, c, max(length(cell)) AS w FROM every GROUP BY 1, 2, 3),
-drawn AS (
-  SELECT document_id, page_number, r::DOUBLE AS r, '| ' || string_agg(cell || repeat(' ', w - length(cell)), ' | ' ORDER BY c) || ' |' AS line FROM every JOIN widths USING (document_id, page_number, c) GROUP BY 1, 2, 3
-  UNION ALL SELECT document_id, page_number, CASE WHEN h.is_head THEN 0.5 ELSE -0.5 END, '| ' || string_agg(repeat('-', w), ' | ' ORDER BY c) || ' |' FROM widths JOIN heads h USING (document_id, page_number) GROUP BY 1, 2, 3),
-markdown AS (SELECT document_id, page_number, string_agg(line, chr(10) ORDER BY r) AS markdown FROM drawn GROUP BY 1, 2)"""
-
-
 @query(f"WITH {_MARKDOWN} SELECT * FROM markdown")
 def table_markdown(spark, d):
     return _line_tables(spark, d)
@@ -741,3 +755,6 @@ def ingest_pdf_path(spark, d):
     cells = _cells(spark, d).select("document_id", "page_number", F.lit(0).alias("table_index"), "cells", F.lit(None).cast("double").alias("confidence"))
     out = ingest_pages(_spans(spark, d), cells, table(spark, d, "ocr_result").select("document_id", "page_number", "text"))
     return out.select("id", "document_id", "chunk_index", "chunk_type", "content", "page_number")
+
+
+from . import pieces  # noqa: E402, F401 - registers its queries

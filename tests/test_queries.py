@@ -12,7 +12,6 @@ def test_agrees_with_sql(spark, data, name):
 #: What queries without SQL must hold: key columns that are never null and never repeated, and columns that are never null.
 HOLDS = {
     "chunk_dispatcher": (("doc", "chunk_index"), ("chunk_id", "text", "chunk_type", "token_count", "total_chunks")),
-    "table_chunks": (("doc", "page", "pos"), ("text", "token_count")),
     "ivf_assign": (("id",), ("list_id",)),
     "ivf_probe_topk": (("qid", "rank"), ("id", "distance")),
     "ivf_recall_at_k": (("qid",), ("recall",)),
