@@ -60,9 +60,11 @@ def repeated_lines(blocks: DataFrame, metadata: DataFrame, share: float = SHARE,
     sites = document_sites(blocks, metadata)
     keys = sited(blocks, sites)
     bitmaps = line_bitmaps(keys)
-    marked = bitmaps.join(excessive_lines(bitmaps, sites, share, least), ["site", "k1", "k2"])
+    excessive = excessive_lines(bitmaps, sites, share, least)
+    of = ["site", "k1", "k2"]
     has = F.expr("(shiftrightunsigned(bits, int(pmod(document_id, 64))) & 1L) = 1L")
-    return keys.join(marked, ["site", "k1", "k2", "word"]).where(has).select("block_id", "line_no").distinct()
+    asked = keys.join(excessive, of, "left_semi")  # few lines are excessive: only theirs are looked up
+    return asked.join(bitmaps.join(excessive, of, "left_semi"), [*of, "word"]).where(has).select("block_id", "line_no").distinct()
 
 
 def without_lines(blocks: DataFrame, found: DataFrame) -> DataFrame:
