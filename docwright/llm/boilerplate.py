@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 SHARE, LEAST = 0.05, 8
 
 
@@ -59,12 +61,11 @@ def repeated_lines(blocks: DataFrame, metadata: DataFrame, share: float = SHARE,
     """(block_id, line_no) of every line that stands in at least `share` of its site's documents and in at least `least`."""
     sites = document_sites(blocks, metadata)
     keys = sited(blocks, sites)
-    bitmaps = line_bitmaps(keys)
-    excessive = excessive_lines(bitmaps, sites, share, least)
     of = ["site", "k1", "k2"]
+    excessive = cut_lineage(excessive_lines(line_bitmaps(keys), sites, share, least))
+    asked = cut_lineage(keys.join(excessive, of, "left_semi"))  # few lines are excessive: only their bitmaps are looked up
     has = F.expr("(shiftrightunsigned(bits, int(pmod(document_id, 64))) & 1L) = 1L")
-    asked = keys.join(excessive, of, "left_semi")  # few lines are excessive: only theirs are looked up
-    return asked.join(bitmaps.join(excessive, of, "left_semi"), [*of, "word"]).where(has).select("block_id", "line_no").distinct()
+    return asked.join(line_bitmaps(asked), [*of, "word"]).where(has).select("block_id", "line_no").distinct()
 
 
 def without_lines(blocks: DataFrame, found: DataFrame) -> DataFrame:
