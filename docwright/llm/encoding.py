@@ -36,12 +36,14 @@ MADE: dict = {}
 
 
 def encoder(path: str):
-    """The encoding and its words' sizes in bytes, made once in a worker."""
+    """The encoding and its words' sizes in bytes, made once in a worker, from the copy of the vocabulary that was sent along (`token_ids`)."""
     import tiktoken
+    from pyspark import SparkFiles
 
     if path in MADE:
         return MADE[path]
-    with open(path, "rb") as f:
+    sent = SparkFiles.get(os.path.basename(path))
+    with open(sent if os.path.exists(sent) else path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     made = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
@@ -114,6 +116,7 @@ def join(parts: list[np.ndarray], safe: list[bool], path: str) -> np.ndarray:
 def token_ids(documents: DataFrame, directory: str = TOKENIZERS) -> DataFrame:
     """(doc_id, ids array<int>), one row for each doc_id."""
     path = os.path.join(directory, VOCABULARY)
+    documents.sparkSession.sparkContext.addFile(path)  # executors need no folder of tokenizers
 
     def cut(batches: Iterator[pd.DataFrame], whole: bool) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -155,6 +155,8 @@ class Counts:
         """The bitmap of the pairs that collided on at least so many lines."""
         planes = [p[rows] for p in self.planes]
         more = np.zeros_like(planes[0])
+        if least >> len(planes):
+            return more
         same = ~more
         for i in range(len(planes) - 1, -1, -1):
             if least >> i & 1:

@@ -6,6 +6,8 @@ fixes what the next piece repeats: the longest run of whole sentences before it
 program minimises the sum of the penalties and of the squared imbalance of the pieces' sizes (as shares of the limit),
 under the hard limit of `LIMIT` characters a piece, its overlap included. `no_boundary` tells that the path cut a sentence above the limit.
 
+Sentences are problem 6's, with the documents' own texts as corpus and without the notices of sites.
+
 Nulls, empty and blank contents give no piece; a content within the limit is one piece, its ends trimmed. Repeated rows of one id
 count once. An audited piece without its document, or that does not stand in the document's content, can only have a wrong
 overlap; a null `overlap_tokens_prev` is never right. Lengths are code points. Empty tables give empty results.

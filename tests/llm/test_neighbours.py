@@ -55,3 +55,48 @@ def test_second_level_cells(spark, monkeypatch):
         got.setdefault(r["id"], set()).add(r["neighbour"])
     want = brute(list(range(2400)), x)
     assert set(got) == set(want) and np.mean([len(got[i] & want[i]) / 5 for i in want]) >= 0.9
+
+
+def test_counts_equal_a_plain_count():
+    rng = np.random.default_rng(3)
+    rows, words = 7, 3
+    for lines in (1, 2, 31, 64, 255):
+        every = rng.random((lines, rows, words * 64)) < rng.random()
+        c = N.Counts(rows, words, 8)
+        for bits in every:
+            c.add(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+        c.settle()
+        for least in (1, lines // 2, lines):
+            got = np.unpackbits(c.at_least(least).view(np.uint8), axis=1, bitorder="little").astype(bool)
+            assert (got == (every.sum(axis=0) >= least)).all()
+
+
+def test_windows_are_taken_from_sorted_projections():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((500, 384)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = N.Lines(x)
+    levels = x @ own.lines
+    for j in (0, 100, 254):
+        low, high = own.window(j, levels[:50, j], 0.7)
+        inside = np.unpackbits((own.below[j][high] ^ own.below[j][low]).view(np.uint8), axis=1, bitorder="little")[:, :500].astype(bool)
+        exact = np.abs(levels[None, :, j] - levels[:50, None, j]) <= 0.7
+        assert (inside | ~exact).all(), "a window is cut outwards"
+        assert (inside & ~exact).sum(axis=1).max() <= 2 * 500 // N.STEPS + 2
+
+
+def test_only_what_passes_the_threshold_is_verified(monkeypatch):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 384))
+    x = (np.repeat(centres, 20, axis=0) + 0.6 * rng.standard_normal((1200, 384))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, most = np.arange(1200), np.full(1200, 165)
+    seen = []
+    plain = np.einsum
+    monkeypatch.setattr(N.np, "einsum", lambda *a: seen.append(len(a[1])) or plain(*a))
+    row, near, _ = N.search(ids, x, most, ids, x, 5)
+    want = brute(list(range(1200)), x.astype(float))
+    assert np.mean([len(set(near[row == i]) & want[i]) / 5 for i in range(1200)]) >= 0.95
+    assert sum(seen) < 1200 * 1200 / 20, "a small share of all pairs is verified"
+    monkeypatch.setattr(N, "needed_collisions", lambda: N.LINES + 1)
+    assert not len(N.search(ids, x, most, ids, x, 5)[0]), "without a collision nothing is found"
