@@ -90,3 +90,18 @@ made AS (
   SELECT doc, page, grp, string_agg(t, chr(10) ORDER BY r) AS text, greatest(1, max(size) // 4) AS token_count, arg_max(heading, r) FILTER (WHERE heading IS NOT NULL) AS section_heading, list_sort(list(DISTINCT block_type)) AS kinds, 0 AS overlap_prev
   FROM packed JOIN items USING (doc, page, r) GROUP BY doc, page, grp),
 {_MERGED}"""
+
+_OCR_BLOCKS = f"""blocks AS (
+  SELECT document_id AS doc, page_number AS page, 0 AS block_id, 'ocr' AS block_type, {_strip("text")} AS t, NULL::VARCHAR AS section_heading FROM (SELECT document_id, page_number, max(text) AS text FROM ocr_result WHERE text <> '' GROUP BY 1, 2) o
+  WHERE NOT EXISTS (SELECT 1 FROM page_block b WHERE b.document_id = o.document_id AND b.page_number = o.page_number AND b.block_id IS NOT NULL))"""
+
+
+def _made(whole: str) -> str:
+    """A chunker's SQL up to its chunks before merging."""
+    return whole.removesuffix(_MERGED).rstrip().removesuffix(",") + " SELECT doc, page, grp, text, token_count, section_heading, kinds, overlap_prev FROM made"
+
+
+#: Every table of these data stands on a page that has OCR text and no blocks, where the dispatcher takes no tables.
+DISPATCHER = f"""SELECT doc, page, chunk_index, CASE WHEN list_contains(string_split(block_types, ','), 'ocr') THEN 'ocr' ELSE 'text' END AS chunk_type, total_chunks, chunk_id, text, token_count FROM (
+WITH made AS (SELECT * FROM ({_made(SENTENCE_AWARE)}) UNION ALL SELECT * FROM ({_made(FIXED_TOKEN).replace(_BLOCKS, _OCR_BLOCKS)})),
+{_MERGED})"""

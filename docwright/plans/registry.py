@@ -262,7 +262,7 @@ def fixed_token_chunks(spark, d):
     return _packed(spark, d, "fixed_token")
 
 
-@query()
+@query(chunk_sql.DISPATCHER)
 def chunk_dispatcher(spark, d):
     b = blocks(spark, d).select(F.col("document_id").alias("doc"), F.col("page_number").alias("page"), F.col("block_id").alias("pos"), "block_type", "text", "section_heading")
     ocr = table(spark, d, "ocr_result").select(F.col("document_id").alias("doc"), F.col("page_number").alias("page"), "text")
