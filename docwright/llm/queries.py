@@ -31,6 +31,10 @@ def p2_checked(spark: SparkSession, d: str) -> DataFrame:
     return splitting.checked(table(spark, d, "app_document"))
 
 
+def p2_audit(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.audit(table(spark, d, "app_chunk"), table(spark, d, "app_document"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return ocr.noise(table(spark, d, "ocr_result"))
 
@@ -82,12 +86,17 @@ def p9_proofs(spark: SparkSession, d: str) -> DataFrame:
     return truncation.proofs(table(spark, d, "documents"))
 
 
+def p9_spikes(spark: SparkSession, d: str) -> DataFrame:
+    """What the length histograms and terminal punctuation alone tell, without the structure of commits and the last words."""
+    return truncation.proofs(table(spark, d, "documents")).where("spike").select("doc_id").distinct()
+
+
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.rates(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (p1_found, p1_clean, p2_found, p2_pieces, p2_checked, p3_found, p3_text, p4_found, p4_pairs, p4_members, p5_found, p6_found, p7_ids, p8_found, p8_paraphrased, p9_found, p9_proofs, p9_rates)
+    made = (p1_found, p1_clean, p2_found, p2_pieces, p2_checked, p2_audit, p3_found, p3_text, p4_found, p4_pairs, p4_members, p5_found, p6_found, p7_ids, p8_found, p8_paraphrased, p9_found, p9_proofs, p9_spikes, p9_rates)
     return {f.__name__: f for f in made}
 
 
@@ -131,6 +140,16 @@ SELECT block_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filt
 _P2_CHECKED = f"""SELECT id AS document_id, md5(regexp_replace(max(content), '[{WHITE}]+', '', 'g')) AS digest, true AS within, true AS few_shared, true AS numbered
 FROM app_document WHERE id IS NOT NULL AND regexp_replace(content, '[{WHITE}]+', '', 'g') <> '' GROUP BY id"""
 
+_WORD = r"regexp_matches({0}, '^[\p{{L}}\p{{N}}]$') AND NOT regexp_matches({0}, '^[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}]$')"
+_P2_AUDIT = f"""WITH stored AS (SELECT DISTINCT document_id, chunk_index, content, overlap_tokens_prev, chunk_type FROM app_chunk WHERE document_id IS NOT NULL AND chunk_index IS NOT NULL AND content <> ''),
+text AS (SELECT * FROM stored WHERE chunk_type = 'text'), docs AS (SELECT id AS document_id, max(content) AS whole FROM app_document WHERE content IS NOT NULL GROUP BY 1),
+placed AS (SELECT t.document_id, t.chunk_index, content, whole, strpos(whole, content) AS place FROM text t JOIN docs USING (document_id)),
+edges AS (SELECT *, CASE WHEN place > 1 THEN substring(whole, place - 1, 1) ELSE '' END AS a, left(content, 1) AS b, right(content, 1) AS c, substring(whole, place + length(content), 1) AS e FROM placed WHERE place > 0),
+pairs AS (SELECT t.document_id, t.chunk_index, t.overlap_tokens_prev, coalesce(list_max(list_filter(range(1, least(length(p.content), length(t.content)) + 1), lambda n: right(p.content, n) = left(t.content, n))), 0) AS n
+  FROM text t JOIN stored p ON p.document_id = t.document_id AND p.chunk_index + 1 = t.chunk_index)
+SELECT DISTINCT document_id, chunk_index, 'cut_in_word' AS kind FROM edges WHERE ({_WORD.format("a")} AND {_WORD.format("b")}) OR ({_WORD.format("c")} AND {_WORD.format("e")})
+UNION ALL SELECT DISTINCT document_id, chunk_index, 'wrong_overlap' FROM pairs WHERE overlap_tokens_prev IS DISTINCT FROM (CASE WHEN n = 0 THEN 0 ELSE greatest(1, n // 4) END)"""
+
 _P4_CLASSES = _P4.split("\nSELECT c.kind")[0] + """,
 same AS (SELECT kind, t, min(id) AS class_id FROM texts WHERE length(t) >= 800 GROUP BY 1, 2),
 alike AS (
@@ -150,5 +169,17 @@ held AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda
 SELECT DISTINCT h.id AS doc_id, g.item_id FROM held h JOIN grams g USING (g)"""
 
 
+_P9_SPIKES = rf"""WITH t AS (SELECT DISTINCT doc_id, coalesce(source, '') AS source, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND regexp_replace(text, '[{WHITE}]+', '', 'g') <> ''),
+d AS (SELECT DISTINCT source, text FROM t),
+lengths AS (SELECT source, 'chars' AS unit, length(text) AS n FROM d UNION ALL SELECT source, 'bytes', strlen(text) FROM d),
+counted AS (SELECT source, unit, n, count(*) AS k, CASE unit WHEN 'bytes' THEN 3 ELSE 0 END AS slack FROM lengths GROUP BY ALL),
+tops AS (SELECT source, unit, max(n) AS most FROM counted GROUP BY 1, 2),
+peaks AS (SELECT source, unit, arg_max(n, k * 1000000000 + n) AS top, max(k) AS height FROM counted JOIN tops USING (source, unit) WHERE n >= most - 8 GROUP BY 1, 2),
+tested AS (SELECT source, unit, top, height, slack, sum(CASE WHEN n >= top - slack THEN k ELSE 0 END) AS here, sum(CASE WHEN n < top - slack AND n >= top * 0.9::DOUBLE THEN k ELSE 0 END) AS near FROM counted JOIN peaks USING (source, unit) GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY height DESC, unit DESC, top DESC) AS r FROM tested WHERE here >= 5 AND here >= near * (slack + 1) / (top * 0.1::DOUBLE) * 8) WHERE r = 1),
+ended AS (SELECT doc_id, source, text, regexp_replace(regexp_replace(text, '[{WHITE}]+$', ''), '["''”’»)\]」』]+$', '') AS tail FROM t)
+SELECT DISTINCT doc_id FROM ended JOIN best USING (source) WHERE CASE unit WHEN 'chars' THEN length(text) ELSE strlen(text) END >= top - slack AND NOT (regexp_matches(tail, '[.!?。！？｡।॥؟]$') AND NOT ends_with(tail, '...'))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p1_clean": _P1_CLEAN, "p2_checked": _P2_CHECKED, "p4_found": _P4, "p4_pairs": _P4_PAIRS, "p4_members": _P4_MEMBERS, "p8_found": _P8}
+    return {"p1_found": _P1, "p1_clean": _P1_CLEAN, "p2_checked": _P2_CHECKED, "p2_audit": _P2_AUDIT, "p4_found": _P4, "p4_pairs": _P4_PAIRS, "p4_members": _P4_MEMBERS, "p8_found": _P8, "p9_spikes": _P9_SPIKES}
