@@ -448,6 +448,16 @@ def ivf_label_topk(spark, d):
     return V.ivf_topk(a, c, q64(spark, d)).withColumn("distance", F.round("distance", 6))
 
 
+@query(_LISTS + """, probes AS (SELECT id AS qid, v AS q, list_id FROM placed WHERE id % 100 = 0 AND nth <= 3),
+near AS (SELECT p.qid, v.id, row_number() OVER (PARTITION BY p.qid ORDER BY round(list_cosine_distance(v.v, p.q), 12), v.id) AS rank FROM probes p JOIN placed v ON v.list_id = p.list_id AND v.nth = 1),
+exact AS (SELECT q.id AS qid, v.id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_distance(v.v, q.v), 12), v.id) AS rank FROM vectors q CROSS JOIN vectors v WHERE q.id % 100 = 0)
+SELECT e.qid, round(avg(CASE WHEN n.id IS NULL THEN 0 ELSE 1 END), 6) AS recall FROM (SELECT * FROM exact WHERE rank <= 10) e LEFT JOIN (SELECT * FROM near WHERE rank <= 10) n ON n.qid = e.qid AND n.id = e.id GROUP BY 1""")
+def ivf_label_recall(spark, d):
+    (a, c), q = _label_lists(spark, d), q64(spark, d)
+    got = V.ivf_topk(a, c, q).select("qid", "id", F.lit(1).alias("hit"))
+    return V.exact_topk(v64(spark, d), q).select("qid", "id").join(got, ["qid", "id"], "left").groupBy("qid").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+
+
 # --- full text ------------------------------------------------------------------------------------------------------
 
 _TEXT = f"WITH {_DOCS}, {_CHUNKS}, {_VECTORS}, {_QUESTIONS}, {_POSTINGS}"
@@ -508,14 +518,18 @@ def rrf_floor_large_k(spark, d):
     return h.select("qid", "id", "rank", F.round("rrf_score", 6).alias("rrf_score"), "keep")
 
 
-_DISPATCH = f"""{_TEXT}, {_RANK}, {_SCORED}
-SELECT qid, id, rank::INTEGER AS rank, round(distance, 4) AS distance, NULL::DOUBLE AS rrf_score, NULL::DOUBLE AS fts_rank, coalesce(distance <= lim, false) AS keep FROM {_NEAR} JOIN (SELECT qid, search_mode FROM questions) USING (qid) WHERE rank <= top_k AND search_mode = 'semantic'
-UNION ALL SELECT qid, id, rank::INTEGER, NULL, NULL, round(score, 6), true FROM {_KEYWORD} JOIN (SELECT qid, search_mode FROM questions) USING (qid) WHERE rank <= top_k AND search_mode = 'keyword'
+def _modes(k: int) -> str:
+    """The three modes' rows, k a question."""
+    return f"""SELECT qid, id, rank::INTEGER AS rank, round(distance, 4) AS distance, NULL::DOUBLE AS rrf_score, NULL::DOUBLE AS fts_rank, coalesce(distance <= lim, false) AS keep FROM {_NEAR} JOIN (SELECT qid, search_mode FROM questions) USING (qid) WHERE rank <= {k} AND search_mode = 'semantic'
+UNION ALL SELECT qid, id, rank::INTEGER, NULL, NULL, round(score, 6), true FROM {_KEYWORD} JOIN (SELECT qid, search_mode FROM questions) USING (qid) WHERE rank <= {k} AND search_mode = 'keyword'
 UNION ALL SELECT qid, id, rank, distance, rrf_score, fts_rank, keep FROM (
-  WITH sem AS (SELECT qid, id, distance, rank FROM {_NEAR} WHERE rank <= 20 AND distance <= lim), kw AS (SELECT qid, id, score, rank FROM {_KEYWORD} WHERE rank <= 20),
+  WITH sem AS (SELECT qid, id, distance, rank FROM {_NEAR} WHERE rank <= {4 * k} AND distance <= lim), kw AS (SELECT qid, id, score, rank FROM {_KEYWORD} WHERE rank <= {4 * k}),
   fused AS (SELECT qid, id, s.distance, k.score, s.rank AS sr, k.rank AS kr, coalesce(0.7::DOUBLE / (60 + s.rank), 0::DOUBLE) + coalesce(0.3::DOUBLE / (60 + k.rank), 0::DOUBLE) AS rrf FROM sem s FULL OUTER JOIN kw k USING (qid, id))
   SELECT f.qid, f.id, row_number() OVER (PARTITION BY f.qid ORDER BY rrf DESC, sr NULLS LAST, kr NULLS LAST, id)::INTEGER AS rank, round(distance, 4) AS distance, round(rrf, 6) AS rrf_score, round(score, 6) AS fts_rank, rrf >= 0.002::DOUBLE AS keep
-  FROM fused f JOIN questions q ON q.qid = f.qid WHERE q.search_mode = 'hybrid') WHERE rank <= 5"""
+  FROM fused f JOIN questions q ON q.qid = f.qid WHERE q.search_mode = 'hybrid') WHERE rank <= {k}"""
+
+
+_DISPATCH = f"{_TEXT}, {_RANK}, {_SCORED} {_modes(5)}"
 
 
 @query(_DISPATCH)
@@ -726,12 +740,39 @@ def rate_limit_per_minute(spark, d):
 @query()
 def answer_path(spark, d):
     """Every third question is in the cache, every sixth was but is too old."""
+    return _answers(spark, d)
+
+
+def _first_sentence(x: str) -> str:
+    cut = rf"regexp_replace({x}, '([.!?])[ \t\n\f\r]+([A-Z])', concat('\1', chr(2), '\2'), 'g')"
+    return f"list_filter(list_transform(string_split({cut}, chr(2)), lambda z: regexp_replace(z, '^[{T.WHITE}]+|[{T.WHITE}]+$', '', 'g')), lambda z: z <> '')[1]"
+
+
+@query(
+    f"""{_TEXT}, {_RANK}, {_SCORED}, fetched AS ({_modes(20)}),
+kept AS (SELECT f.qid, f.id, c.content, f.rank FROM fetched f JOIN chunks c ON c.id = f.id WHERE f.keep), {_LEX.replace('hits h', 'kept h')}, {_CONTEXT},
+said AS (SELECT b.qid, {_first_sentence("b.content")} AS raw, c.context FROM best b JOIN context c USING (qid) WHERE b.place = 1),
+words AS (SELECT qid, raw, list_distinct(regexp_extract_all(lower(raw), '[\\p{{L}}\\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(lower(context), '[\\p{{L}}\\p{{N}}]+')) AS b FROM said),
+judged AS (SELECT qid, raw, CASE WHEN len(a) = 0 THEN 0::DOUBLE ELSE round(len(list_intersect(a, b))::DOUBLE / len(a), 6) END AS score FROM words),
+sources AS (SELECT h.qid, count(*) AS n FROM kept h WHERE EXISTS (SELECT 1 FROM best b WHERE b.qid = h.qid AND b.content = h.content) GROUP BY 1),
+dropped AS (SELECT qid, count(*) FILTER (WHERE NOT keep) AS n FROM fetched GROUP BY 1),
+known AS (SELECT qid, (qid // 100) % 3 = 0 AND (qid // 100) % 6 <> 0 AS held FROM questions)
+SELECT q.qid, CASE WHEN held THEN 'known: ' || question WHEN j.qid IS NULL THEN '{A.NOTHING_FOUND}' WHEN j.score < 0.5 THEN '{A.NOT_SUPPORTED}' ELSE j.raw END AS answer, CASE WHEN NOT held AND j.qid IS NOT NULL THEN j.score ELSE -1 END AS score,
+       CASE WHEN held THEN 0 ELSE coalesce(s.n, 0) END AS n_sources, CASE WHEN held THEN -1 ELSE coalesce(d.n, 0) END AS filtered_count, held AS from_cache, NOT held AND j.qid IS NOT NULL AS cacheable
+FROM questions q JOIN known k USING (qid) LEFT JOIN judged j USING (qid) LEFT JOIN sources s USING (qid) LEFT JOIN dropped d USING (qid)"""
+)
+def answer_path_plain(spark, d):
+    """The same without stemming, which SQL lacks; -1 where an answer from the cache has no score or count."""
+    return _answers(spark, d, False).withColumns({"score": F.coalesce("score", F.lit(-1.0)), "filtered_count": F.coalesce("filtered_count", F.lit(-1)), "n_sources": F.greatest("n_sources", F.lit(0))})
+
+
+def _answers(spark, d, stem=True):
     from .pipelines import answer_questions
 
     c = chunks(spark, d, "content").join(vectors(spark, d).dropDuplicates(["id"]), "id", "left")
     q, now = questions(spark, d), F.lit("2020-01-01").cast("timestamp")
     asked = q.where("(qid div 100) % 3 = 0").select(C.response_key(F.col("question"), F.col("search_mode")).alias("key"), F.concat(F.lit("known: "), "question").alias("value"), (now + F.expr("make_dt_interval(0, 0, 0, case when (qid div 100) % 6 = 0 then -1 else 60 end)")).alias("expires_at"))
-    return answer_questions(q, c, asked, now).select("qid", "answer", "score", F.size(F.coalesce("sources", F.array())).alias("n_sources"), "filtered_count", "from_cache", "cacheable")
+    return answer_questions(q, c, asked, now, stem=stem).select("qid", "answer", "score", F.size(F.coalesce("sources", F.array())).alias("n_sources"), "filtered_count", "from_cache", "cacheable")
 
 
 @query(
