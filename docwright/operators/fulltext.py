@@ -55,7 +55,8 @@ def matched(index: DataFrame, queries: DataFrame, stem: bool = False) -> DataFra
     often = has.groupBy("lexeme").agg(F.count("*").alias("texts"))
     told = asked.join(often, "lexeme", "left")
     sets = told.groupBy("qid").agg(F.sort_array(F.collect_set("lexeme")).alias("all"), F.min_by("lexeme", F.struct(F.coalesce("texts", F.lit(0)), "lexeme")).alias("lexeme"))
-    pairs = has.join(sets, "lexeme").select("qid", "id", "all")
+    wide = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = has.join(sets, "lexeme").select("qid", "id", "all").repartition(wide, "id")  # small rows that much work hangs on: adaptive execution must not put them into one task
     own = index.join(pairs, "id")
     return own.where(F.size(F.array_except("all", F.col("words.lexeme"))) == 0).select("qid", "id", "all", F.filter("words", lambda w: F.array_contains("all", w["lexeme"])).alias("words")).dropDuplicates(["qid", "id"])
 
