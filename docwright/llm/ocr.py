@@ -46,7 +46,7 @@ CODE = re.compile(r"^(?:[A-Z]{1,3}-\w*\d\w*(?:\.\w+)?|v\d[\w.]*|\S+@\S+\.\w+|[\W
 FOLD = str.maketrans("1i|!0589@+hcfq6", "llllosbgatbetgb")
 CONFIDENCE, SMOOTH, REPEATED = 85.0, 0.5, 0.05
 #: Learning: letters that a word and what it shares with another have at least, how much more frequent the other is, rounds, the first guess of a
-#: probability, how likely such a rare word is one of its own, different words that a confusion must be seen in, and its least share of all misreadings (so at most 1 / LEAST_SHARE are kept).
+#: probability, how likely such a rare word is one of its own, different meant words that a confusion must be seen in, and its least share of all misreadings (so at most 1 / LEAST_SHARE are kept).
 LONG, RATIO, ROUNDS, GUESS, OWN, SEEN_IN, LEAST_SHARE = 3, 10, 3, 0.002, 0.1, 3, 0.0005
 #: Readings: how far the expected number of misreadings is trusted (texts bear noise in clusters), and the share of a word's count that it must reach.
 TRUST, WORTH = 25.0, 0.1
@@ -203,13 +203,16 @@ def learned(words: DataFrame) -> Channel:
     side = lambda x, df: df.select("rest", F.col("w").alias(x), F.col("n").alias(f"n_{x}"), F.col("sub").alias(f"sub_{x}"))
     apart = (F.left("sub_w", F.lit(1)) != F.left("sub_v", F.lit(1))) & (F.right("sub_w", F.lit(1)) != F.right("sub_v", F.lit(1)))
     pairs = cut_lineage(side("w", cut).join(side("v", often), "rest").where((F.col("n_v") >= F.col("n_w") * RATIO) & apart).select("w", "n_w", "v", "n_v", F.col("sub_w").alias("seen"), F.col("sub_v").alias("meant")).distinct())
+    pairs = cut_lineage(pairs.join(pairs.select(F.col("w").alias("v")).distinct(), "v", "left_anti"))  # a word that may be a misreading itself teaches nothing
     chances = cut_lineage(often.groupBy(F.col("sub").alias("meant")).agg(F.sum("n").alias("chances")))
     table = pairs.select("seen", "meant").distinct().withColumn("p", F.lit(GUESS))
     of = Window.partitionBy("w")
     for _ in range(ROUNDS):
         expected = pairs.join(table, ["seen", "meant"]).withColumn("expected", F.col("n_v") * F.col("p"))
         shared = expected.withColumn("part", F.col("n_w") * F.col("expected") / (F.col("n_w") * OWN + F.sum("expected").over(of)))
-        counted = shared.groupBy("seen", "meant").agg(F.sum("part").alias("part"), F.count_distinct("w").alias("seen_in"))
+        by_word = shared.groupBy("seen", "meant", "v").agg(F.sum("part").alias("part"))
+        # what one word alone shows is left out: two real words ("seven", "several") are alike only once
+        counted = by_word.groupBy("seen", "meant").agg((F.sum("part") - F.max("part")).alias("part"), F.count("*").alias("seen_in"))
         table = cut_lineage(counted.join(chances, "meant").select("seen", "meant", (F.col("part") / F.col("chances")).alias("p"), "part", "seen_in"))
     total = table.agg(F.sum("part")).first()[0] or 0.0
     out: dict[str, list[tuple[str, float]]] = {}

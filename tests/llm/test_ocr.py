@@ -52,6 +52,7 @@ def test_the_channel_is_learned(spark):
     """Confusions and their rates come from the words alone; inflections and rare words teach nothing."""
     words = {w: 1000 for w in ("sealed", "window", "letters", "harbour", "evening", "between", "several")}
     words |= {w: 3 for w in ("scaled", "lcttcrs", "cvening", "evcning", "bctween", "sevcral", "wiridow", "everiing", "betweeri")} | {w: 200 for w in ("window's", "letter", "evenings")} | {"zebra": 1}
+    words |= {"seven": 60, "scven": 1, "sevcn": 1, "scveral": 12, "sevcral": 12}  # alike by nature, misread by the same scanner
     channel = O.learned(spark.createDataFrame(list(words.items()), "w string, n long"))
     assert {(s, m) for s, ms in channel.items() for m, _ in ms} == {("c", "e"), ("ri", "n")}
     e, n = channel["c"][0][1], channel["ri"][0][1]
