@@ -44,6 +44,8 @@ BARE_START, BARE_END = re.compile(rf"\s*({NUMBER})(?=\s)"), re.compile(rf"(?<=\s
 HEAD_NUMBER, TAIL_NUMBER = re.compile(rf"^\s*{NUMBER}\s*\|\s*"), re.compile(rf"(?:\s{{2,}}|\s*\|\s*){NUMBER}\s*$")
 CODE = re.compile(r"^(?:[A-Z]{1,3}-\w*\d\w*(?:\.\w+)?|v\d[\w.]*|\S+@\S+\.\w+|[\W\d_]+|\d+\S*)$")
 FOLD = str.maketrans("1i|!0589@+hcfq6", "llllosbgatbetgb")
+#: Letters that are often read for one, made one before lines are compared.
+FOLD_PAIRS = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"))
 CONFIDENCE, SMOOTH, REPEATED = 85.0, 0.5, 0.05
 #: Learning: letters that a word and what it shares with another have at least, how much more frequent the other is, rounds, the first guess of a
 #: probability, how likely such a rare word is one of its own, different meant words that a confusion must be seen in, and its least share of all misreadings (so at most 1 / LEAST_SHARE are kept).
@@ -69,7 +71,10 @@ def number(text: str, plain: bool = True) -> int | None:
 
 def folded(line: str) -> str:
     """The letters of a line without page numbers, characters that are easily confused made one."""
-    bare = TAIL_NUMBER.sub("", HEAD_NUMBER.sub("", line)).lower().translate(FOLD)
+    bare = TAIL_NUMBER.sub("", HEAD_NUMBER.sub("", line)).lower()
+    for two, one in FOLD_PAIRS:
+        bare = bare.replace(two, one)
+    bare = bare.translate(FOLD)
     return "".join(c for c in bare if c.isalpha())
 
 
