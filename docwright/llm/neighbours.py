@@ -5,15 +5,19 @@
    rows share never fills a cell.
 2. Cells: centroids of a spherical k-means on a bounded sample (`SAMPLE` rows), and second-level ones in cells that would be
    large, fitted on the workers from one row in 375 (nothing else is fitted on a sample). Every
-   vector is indexed in its nearest cell and asks its `probes` nearest cells as far as their cosines are within `MARGIN`. A cell expected to hold more than `BLOCK`
+   vector asks its `probes` nearest cells as far as their cosines are within `MARGIN`, and is indexed in the nearest `STORED` of these. A cell expected to hold more than `BLOCK`
    rows is dealt to blocks of data and of queries, so no task gets an unbounded group.
 3. In a block every vector has one projection on each of `LINES` fixed random lines, and each line is a sorted array. A
    query's window on a line is centred on the query and found by binary search; virtual rehashing widens all windows with the
    radius, round by round, and counts only what they grew by. The windows are bitmaps (those below the upper end without those below
    the lower), so 64 vectors are counted by one machine operation. Vectors that reach the collision threshold, and no others, are verified: exact
-   cosine (16-bit levels a number, error below 1e-4). A query ends when k verified vectors stand within the round's radius, or when
+   cosine (of 16-bit levels an error below 1e-4). A query ends when k verified vectors stand within the round's radius, or when
    `VERIFY` (in its own cell) or `VERIFY_AWAY` vectors beyond k would be verified; where more collide, those that collide most often are taken.
-4. The best k of all probed cells are kept; equal cosines go to the smaller id.
+4. The best k of all probed cells are a graph. The more cells there are, the oftener two neighbours ask different ones, so vectors that stand within
+   `HOPS` steps of one another meet once more: each takes the smallest hash that its strong links reach, and all of one hash are compared exactly.
+5. The best k of both are kept; equal cosines go to the smaller id.
+
+Vectors travel as whole numbers: exactly, a byte a number, where a power of two makes them such, else as 16-bit levels.
 
 Repeated rows of one id count once. Empty tables give empty results.
 """
@@ -21,6 +25,7 @@ Repeated rows of one id count once. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
 from math import erf, sqrt
 
 import numpy as np
@@ -32,7 +37,9 @@ from pyspark.sql.window import Window
 from .common import cut_lineage
 
 K, DIM = 5, 384
-SAMPLE, CELL, CELLS, SUBS, BLOCK, PROBES, MARGIN = 16_384, 3_000, 2_048, 65_536, 6_000, 6, 0.1
+SAMPLE, CELL, CELLS, SUBS, BLOCK, PROBES, STORED, MARGIN = 16_384, 2_000, 2_048, 65_536, 12_000, 4, 2, 0.1
+#: Steps along links that bring vectors together; a link is strong up to so many times the squared distance of the farthest neighbour of either end; rows compared at once.
+HOPS, STRONG, MEET = 3, 1.5, 4_096
 #: Random lines, boundaries of a sorted array, half width of a window in radii, standard deviations below the mean at which a count still passes, steps
 #: of the tighter threshold, queries counted at once.
 LINES, STEPS, WIDTH, DOUBT, TIGHTER, QUERIES, SEED = 255, 128, 1.3, 2.0, 6, 512, 11
@@ -54,6 +61,28 @@ def unit(rows: pd.Series) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+def packed(rows: pd.Series) -> list[bytes]:
+    """Each vector as whole numbers in its direction: int8 if a power of two times it is that exactly, else int16 levels."""
+    x = np.vstack(rows.to_numpy()).astype(np.float32)
+    part, power = np.frexp(x)
+    whole = np.ldexp(part, 24).astype(np.int32)
+    low = np.frexp((whole & -whole).astype(np.float32))[1] + power  # of the lowest bit that is set
+    grid = np.ldexp(x.astype(np.float64), 25 - np.where(x != 0, low, 9999).min(axis=1)[:, None])
+    most = np.abs(x).max(axis=1, keepdims=True)
+    levels = np.rint(x / most * 32767).astype(np.int16)
+    small = np.abs(grid).max(axis=1) <= 127
+    return [(g.astype(np.int8) if s else v).tobytes() for g, v, s in zip(grid, levels, small)]
+
+
+def unpacked(sent: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The whole numbers of packed vectors, and what makes each vector one of length 1."""
+    x = np.empty((len(sent), dim), np.int16)
+    short = (sent.str.len() == dim).to_numpy()
+    for some, kind in ((short, np.int8), (~short, np.int16)):
+        x[some] = np.frombuffer(b"".join(sent[some]), kind).reshape(-1, dim)
+    return x, 1 / np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64))
+
+
 def centroids(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(SEED)
     c = sample[rng.choice(len(sample), count, replace=False)].copy()
@@ -265,6 +294,73 @@ def search(qid: np.ndarray, q: np.ndarray, most: np.ndarray, xid: np.ndarray, x:
     return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.array([], int),) * 3
 
 
+def cosines(whole: np.ndarray, scale: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The same for a pair wherever it is met: sums of whole numbers are exact in 64 bits."""
+    out = np.empty(len(one))
+    for s in range(0, len(one), 4096):
+        a, b = one[s : s + 4096], other[s : s + 4096]
+        out[s : s + 4096] = np.einsum("ij,ij->i", whole[a], whole[b], dtype=np.float64) * (scale[a] * scale[b])
+    return out.round(12)
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k most similar of the neighbours found of each row, and `reach`, the cosine of the last of these."""
+    one = Window.partitionBy("id")
+    near = found.withColumn("r", F.dense_rank().over(one.orderBy(F.desc("cosine"), "neighbour"))).where(F.col("r") <= k)  # a pair found twice has one cosine and one rank
+    return near.select("id", "neighbour", "cosine", F.min("cosine").over(one).alias("reach")).dropDuplicates(["id", "neighbour"])
+
+
+def meeting_places(found: DataFrame) -> DataFrame:
+    """(id, place) from (id, neighbour, cosine, reach): the smallest hash of an id within HOPS strong links. A link that is far longer than those of either end says only that nearer ones were missed."""
+    ends = found.join(found.select(F.col("id").alias("neighbour"), F.col("reach").alias("other")).distinct(), "neighbour", "left")
+    strong = ends.where(F.expr(f"1 - cosine <= {STRONG} * (1 - greatest(reach, other)) + 1e-9")).select("id", "neighbour")
+    links = cut_lineage(strong.union(strong.select("neighbour", "id")).union(found.select("id", F.col("id").alias("neighbour")).distinct()))
+    places = links.groupBy("id").agg(F.min(F.xxhash64("neighbour")).alias("place"))
+    for _ in range(HOPS - 1):
+        places = links.join(places.withColumnRenamed("id", "neighbour"), "neighbour").groupBy("id").agg(F.min("place").alias("place"))
+    return places
+
+
+def meeting(vectors: DataFrame, found: DataFrame, k: int, dim: int) -> DataFrame:
+    """(id, neighbour, cosine): of each row up to k best at its meeting place."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"id": b["id"], "v": packed(b["embedding"])})
+
+    def compare(ids: np.ndarray, x: np.ndarray, scale: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        _, first = np.unique(ids, return_index=True)  # once each, in order: equal cosines then go to the smaller id
+        ids, x, scale = ids[first], x[first], scale[first]
+        for q in range(0, len(ids), MEET):
+            for d in range(0, len(ids), MEET):
+                s = x[q : q + MEET].astype(np.float64) @ x[d : d + MEET].T.astype(np.float64) * scale[d : d + MEET]
+                if q == d:
+                    np.fill_diagonal(s, -np.inf)
+                top = np.argsort(-s, axis=1, kind="stable")[:, : min(k, s.shape[1] - (q == d))]
+                one, other = np.repeat(np.arange(q, q + len(s)), top.shape[1]), (d + top).ravel()
+                yield ids[one], ids[other], cosines(x, scale, one, other)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # rows of the last place, which may go on in the next batch
+        for b in chain(batches, [None]):
+            rows, held = pd.concat([x for x in (held, b) if x is not None] or [pd.DataFrame({"place": []})]), None
+            place = rows["place"].to_numpy()
+            if b is not None:
+                cut = np.searchsorted(place, place[-1]) if len(place) else 0
+                rows, held, place = rows.iloc[:cut], rows.iloc[cut:], place[:cut]
+            if not len(rows):
+                continue
+            ids, (x, scale) = rows["id"].to_numpy(), unpacked(rows["v"], dim)
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(place)])).tolist()
+            made = [m for s, e in pairwise(edges) if e - s > 1 for m in compare(ids[s:e], x[s:e], scale[s:e])]
+            if made:
+                yield pd.DataFrame(dict(zip(("id", "neighbour", "cosine"), (np.concatenate(v) for v in zip(*made)))))
+
+    rows = vectors.mapInPandas(pack, "id long, v binary").join(meeting_places(found), "id").select("place", "id", "v")
+    return rows.repartition("place").sortWithinPartitions("place").mapInPandas(meet, "id long, neighbour long, cosine double")
+
+
 def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES) -> DataFrame:
     """(id, neighbour, cosine): up to k rows of every usable vector."""
     spark = vectors.sparkSession
@@ -300,8 +396,9 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
     base = np.concatenate(([0], np.cumsum([len(x) for x in subs])))
     top, asks = nearest_cells(sample, c, subs, base, ask)
     at, scale = top[np.arange(top.shape[1]) < asks[:, None]], total / len(sample)
-    data_blocks = np.maximum(1, np.ceil(np.bincount(top[:, 0], minlength=base[-1]) * scale / BLOCK)).astype(int)
-    query_blocks = np.maximum(1, np.ceil(np.bincount(at, minlength=base[-1]) * scale / (6 * BLOCK))).astype(int)
+    stored = top[np.arange(top.shape[1]) < np.minimum(asks, STORED)[:, None]]
+    data_blocks = np.maximum(1, np.ceil(np.bincount(stored, minlength=base[-1]) * scale / BLOCK)).astype(int)
+    query_blocks = np.maximum(1, np.ceil(np.bincount(at, minlength=base[-1]) * scale / (3 * BLOCK))).astype(int)
     router, plan = spark.sparkContext.broadcast((c, subs, base)), (data_blocks, query_blocks)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,41 +408,43 @@ def nearest(vectors: DataFrame, k: int = K, dim: int = DIM, probes: int = PROBES
                 continue
             x = unit(b["embedding"])
             top, asks = nearest_cells(x, *router.value, ask)
-            scale = np.abs(x).max(axis=1)
-            levels = np.rint(x / scale[:, None] * 32767).astype(np.int16)
             ids = b["id"].to_numpy(np.int64)
             row, probe = np.nonzero(np.arange(top.shape[1]) < asks[:, None])
-            at, home = top[row, probe], probe == 0
+            at, home, kept = top[row, probe], probe == 0, probe < STORED
             own_d, own_q = ids[row] // 7 % nd[at], ids[row] % nq[at]
-            # a query goes to all data blocks of its cells, a vector's data to all query blocks of its home; where both meet they are one row
+            # a query goes to all data blocks of its cells, a vector's data to all query blocks of the cells that keep it; where both meet they are one row
             i = np.repeat(np.arange(len(row)), nd[at])
             d = np.arange(len(i)) - np.repeat(np.cumsum(nd[at]) - nd[at], nd[at])
-            here = pd.DataFrame({"row": row[i], "cell": at[i], "d": d, "q": own_q[i], "data": home[i] & (d == own_d[i]), "query": True, "home": home[i]})
-            copies = np.where(home, nq[at], 0)
+            here = pd.DataFrame({"row": row[i], "cell": at[i], "d": d, "q": own_q[i], "data": kept[i] & (d == own_d[i]), "query": True, "home": home[i]})
+            copies = np.where(kept, nq[at], 0)
             j = np.repeat(np.arange(len(row)), copies)
             block = np.arange(len(j)) - np.repeat(np.cumsum(copies) - copies, copies)
-            more = pd.DataFrame({"row": row[j], "cell": at[j], "d": own_d[j], "q": block, "data": True, "query": False, "home": True})[block != own_q[j]]
+            more = pd.DataFrame({"row": row[j], "cell": at[j], "d": own_d[j], "q": block, "data": True, "query": False, "home": home[j]})[block != own_q[j]]
             out = pd.concat([here, more])
-            sent = np.array([v.tobytes() for v in levels], object)
-            yield out.assign(id=ids[out["row"]], scale=scale[out["row"]], v=sent[out["row"]])[["cell", "d", "q", "id", "data", "query", "home", "scale", "v"]]
+            sent = np.array(packed(b["embedding"]), object)
+            yield out.assign(id=ids[out["row"]], v=sent[out["row"]])[["cell", "d", "q", "id", "data", "query", "home", "v"]]
 
     def look(b: pd.DataFrame) -> pd.DataFrame:
         b = b.drop_duplicates(["id", "data", "query"])
-        v = np.frombuffer(b"".join(b["v"]), np.int16).reshape(len(b), -1).astype(np.float32) * (b["scale"].to_numpy(np.float32)[:, None] / 32767)
+        whole, scale = unpacked(b["v"], dim)
+        v = whole * scale[:, None].astype(np.float32)
         ids, data, query = b["id"].to_numpy(), b["data"].to_numpy(), b["query"].to_numpy()
         if not data.any() or not query.any():
             return pd.DataFrame({"id": [], "neighbour": [], "cosine": []})
         most = k + np.where(b["home"].to_numpy()[query], VERIFY, VERIFY_AWAY)
-        row, near, cos = search(ids[query], v[query], most, ids[data], v[data], k)
-        return pd.DataFrame({"id": ids[query][row], "neighbour": near, "cosine": cos.astype(float)})
+        row, near, _ = search(ids[query], v[query], most, ids[data], v[data], k)
+        place, order = np.flatnonzero(data), np.argsort(ids[data], kind="stable")
+        one, other = np.flatnonzero(query)[row], place[order[np.searchsorted(ids[data], near, sorter=order)]]
+        return pd.DataFrame({"id": ids[one], "neighbour": near, "cosine": cosines(whole, scale, one, other)})
 
-    routed = own.mapInPandas(route, "cell int, d int, q int, id long, data boolean, query boolean, home boolean, scale float, v binary")
+    routed = own.mapInPandas(route, "cell int, d int, q int, id long, data boolean, query boolean, home boolean, v binary")
     groups = int((data_blocks * query_blocks).sum())
     routed = routed.repartition(min(20_000, 3 * groups), "cell", "d", "q")  # so that large cells seldom share a task
     found = routed.groupBy("cell", "d", "q").applyInPandas(look, "id long, neighbour long, cosine double")
-    best = Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour")
-    both = found.unionByName(copies).distinct()
-    return both.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("id", "neighbour", "cosine")
+    if base[-1] > 1:
+        found = cut_lineage(best(found, k))
+        found = found.drop("reach").unionByName(meeting(own, found, k, dim))
+    return best(found.unionByName(copies), k).drop("reach")
 
 
 def pairs(near: DataFrame) -> DataFrame:

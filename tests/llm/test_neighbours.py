@@ -100,3 +100,53 @@ def test_only_what_passes_the_threshold_is_verified(monkeypatch):
     assert sum(seen) < 1200 * 1200 / 20, "a small share of all pairs is verified"
     monkeypatch.setattr(N, "needed_collisions", lambda: N.LINES + 1)
     assert not len(N.search(ids, x, most, ids, x, 5)[0]), "without a collision nothing is found"
+
+
+def test_recall_holds_where_cells_are_many(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 50)
+    monkeypatch.setattr(N, "SAMPLE", 500)
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    topic, own = rng.standard_normal(384), rng.standard_normal((500, 384))
+    x = unit(np.repeat(0.65 * unit(topic) + 0.76 * unit(own), 12, axis=0) + 0.65 * unit(rng.standard_normal((6000, 384))))
+    x = np.rint(x * 512) / 512
+    got = {(r["id"], r["neighbour"]) for r in N.nearest(spark.createDataFrame([(i, v.tolist(), "t") for i, v in enumerate(x)], SCHEMA)).collect()}
+    want = [(i, j) for i, near in brute(list(range(6000)), x).items() for j in near]
+    assert np.mean([p in got for p in want]) >= 0.95
+
+
+def test_vectors_travel_exactly_in_a_byte_a_number():
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    grid = rng.integers(-127, 128, (20, 384))
+    rows = [*(grid / 512).tolist(), *(grid[:2] * 2.0**30).tolist(), *(grid[:2] * 2.0**-100).tolist(), *rng.standard_normal((5, 384)).tolist(), (grid[0] * 3 / 512).tolist(), [0.0] * 383 + [-2.5]]
+    sent = N.packed(pd.Series(rows))
+    assert [len(v) for v in sent] == [384] * 24 + [768] * 6 + [384]
+    whole, scale = N.unpacked(pd.Series(sent), 384)
+    x = np.array(rows, np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    back = whole * scale[:, None]
+    assert np.abs(back - x)[[*range(24), 30]].max() < 1e-12 and np.abs(back - x).max() < 1e-5
+
+
+def test_rows_that_meet_are_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(N, "MEET", 7)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 384))
+    x[30:34] = x[5]  # copies: equal cosines go to the smaller id
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] * 2, "id long, embedding array<float>")
+    chain = spark.createDataFrame([(i, i + 1, 0.5) for i in range(59)], "id long, neighbour long, cosine double")
+    monkeypatch.setattr(N, "meeting_places", lambda found: found.selectExpr("id", "1L as place").union(spark.sql("select 59L, 1L")))
+    got = {}
+    for r in N.best(N.meeting(df, chain, 5, 384), 5).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    assert got == brute(list(range(60)), x.astype(np.float32).astype(float))
+
+
+def test_weak_links_bring_nothing_together(spark):
+    near = [(i, j, 0.8, 0.8) for a in (0, 10) for i in range(a, a + 6) for j in range(a, a + 6) if i != j]
+    far = [(20, 0, 0.3, 0.3), (20, 10, 0.3, 0.3), (21, 20, 0.9, 0.9)]
+    places = {r["id"]: r["place"] for r in N.meeting_places(spark.createDataFrame(near + far, "id long, neighbour long, cosine double, reach double")).collect()}
+    assert len({places[i] for i in range(6)}) == len({places[i] for i in range(10, 16)}) == 1 and places[0] != places[10]
+    assert places[20] not in (places[0], places[10]) and places[20] == places[21]
